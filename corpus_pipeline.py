@@ -7,25 +7,55 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import jaccard
-from quantloom.llm.common import ship, stored, table
+from quantloom.llm import jaccard, mixing, packing, pii, toxicity
+from quantloom.llm.common import ship, stored, table, tokenizer_path
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    ship(spark)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
     ship(spark)
     groups = jaccard.near_duplicates(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    gone = stored(groups.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind; n_chars follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by their sources' target weights, repeated where the mix takes them twice."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place there."""
+    ship(spark)
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
+#: SQL can express neither the classifier nor the tokenizer; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each one's result written and read again."""
+    """The stages in order; each one's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    last = len(STAGES) - 1
-    return functools.reduce(lambda d, s: stored(s[1][1](spark, d, sf_dir), s[1][0]) if s[0] < last else s[1][1](spark, d, sf_dir), enumerate(STAGES), docs)
+    held = functools.reduce(lambda d, stage: stored(stage[1](spark, d, sf_dir), stage[0]), STAGES[:-1], docs)
+    return STAGES[-1][1](spark, held, sf_dir)

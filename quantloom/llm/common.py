@@ -75,3 +75,10 @@ def text_slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, i
 
 def binary_column(chunks: list[bytes | None]) -> pa.Array:
     return pa.array(chunks, pa.binary())
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; every machine has it installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -35,6 +35,7 @@ class Encoder:
     """Token ids of texts by the tokenizer file, its pre-tokens each encoded once and remembered.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in turn.
+    Strings of the tokenizer's added tokens in a text stand for those tokens, as it encodes them itself.
     """
 
     #: Fixed value: the pre-token pattern of the byte-level tokenizer.
@@ -45,10 +46,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = regex.compile(self.PATTERN).findall
+        self.words = regex.compile(self.PATTERN).findall
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.forget()
 
+    def split(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return self.words(text)
+        pieces = self.added.split(text)  # text and added tokens in turn
+        return [w for i, p in enumerate(pieces) for w in ([p] if i % 2 else self.words(p))]
+
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.sizes: list[np.ndarray] = []

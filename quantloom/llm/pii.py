@@ -66,7 +66,7 @@ def _luhn(digits: Column) -> Column:
     turned = F.reverse(F.substring(digits, 1, 19))
 
     def value(i: Column) -> Column:
-        x = F.substring(turned, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+        x = F.substring(turned, i, F.lit(1)).try_cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
         return F.when(x > 9, x - 9).otherwise(x)
 
     total = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(turned))), F.lit(0), lambda a, i: a + F.coalesce(value(i), F.lit(0)))
@@ -87,11 +87,12 @@ def _holds(kind: str, m: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end>>, by kind as listed, then start."""
-    parts = []
-    for k, kind in enumerate(KINDS):
-        kept = F.filter(_positions(text, BASE[kind], HINT[kind]), lambda x, kind=kind: _holds(kind, x["m"]))
-        parts.append(F.transform(kept, lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"))))
-    return F.concat(*parts)
+
+    def of(k: int, kind: str) -> Column:
+        kept = F.filter(_positions(text, BASE[kind], HINT[kind]), lambda x: _holds(kind, x["m"]))
+        return F.transform(kept, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end")))
+
+    return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))
 
 
 def _features(text: Column, start: Column, m: Column) -> dict[str, Column]:
@@ -113,7 +114,7 @@ def _features(text: Column, start: Column, m: Column) -> dict[str, Column]:
         "marked": yes(F.regexp_like(m, F.lit(r"^\(|^00|\[at\]|\(at\)"))),
         "letters": yes(F.regexp_like(m, F.lit("[A-Za-z]"))),
         "domain": yes(F.regexp_like(m, F.lit(r"(?i)(com|org|net|edu|io|de|fr|es|uk)$"))),
-        "high_part": F.coalesce(F.array_max(F.transform(runs, lambda x: F.substring(x, 1, 9).cast("double"))), F.lit(0.0)),
+        "high_part": F.coalesce(F.array_max(F.transform(runs, lambda x: F.substring(x, 1, 9).try_cast("double"))), F.lit(0.0)),
         "dots": (F.length(m) - F.length(F.replace(m, F.lit("."), F.lit("")))).cast("double"),
         "blanks": (F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit("")))).cast("double"),
     }
@@ -237,11 +238,12 @@ def _model(application: str) -> tuple[tuple[list[Tree], float], ...]:
 
 def added_spans(text: Column, models: tuple) -> Column:
     """array<struct<kind, start, end>> of the candidates above their kind's threshold."""
-    parts = []
-    for k, (trees, threshold) in enumerate(models):
-        kept = F.filter(_candidates(text, k), lambda x, trees=trees, threshold=threshold: _value(trees, x) > F.lit(threshold))
-        parts.append(F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
-    return F.concat(*parts)
+
+    def of(k: int, trees: list[Tree], threshold: float) -> Column:
+        kept = F.filter(_candidates(text, k), lambda x: _value(trees, x) > F.lit(threshold))
+        return F.transform(kept, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+    return F.concat(*(of(k, *model) for k, model in enumerate(models)))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -283,5 +285,9 @@ def _listed(spans: Column) -> Column:
 
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, base counts by kind, the base spans' hash sum and all spans as text."""
-    counts = (F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS))
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = (count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS))
     return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

@@ -1,4 +1,4 @@
-"""Registry of the market queries and their SQL counterparts."""
+"""The market queries by name, and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import charts, prices  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

@@ -19,7 +19,7 @@ def days_between(a: Column, b: Column) -> Column:
 
 def from_nanos(c: Column) -> Column:
     """UTC date of a time in nanoseconds."""
-    return F.to_date(F.timestamp_micros((c / 1000).cast("long")))
+    return F.to_date(F.timestamp_micros(F.call_function("div", c, F.lit(1000))))
 
 
 def in_news_window(ts: Column, start: Column, end: Column, now: Column) -> Column:

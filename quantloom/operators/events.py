@@ -143,7 +143,13 @@ def spread_band(value: Column, low: float, mid: float, high: float) -> Column:
 def credit_stress(hy: Column, ccc: Column, bb: Column) -> dict[str, Column]:
     """The worst band of the spreads known: its level and scale."""
     worst = F.greatest(spread_band(hy, 3.0, 4.5, 5.5), spread_band(ccc, 8.0, 11.0, 15.0), spread_band(bb, 3.0, 4.5, 5.5))
-    pick = lambda values, none: F.coalesce(F.element_at(F.array(*map(F.lit, values)), worst + 1), F.lit(none))
+
+    def pick(values: tuple, none) -> Column:
+        out = F.when(worst == 0, values[0])
+        for i, v in enumerate(values[1:], 1):
+            out = out.when(worst == i, v)
+        return out.otherwise(none)
+
     return {"level": pick(("low", "moderate", "high", "severe"), "unknown"), "scale": pick((1.0, 0.85, 0.7, 0.5), 1.0)}
 
 

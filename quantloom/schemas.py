@@ -12,5 +12,6 @@ TRADE_JOURNAL = (
     "exit_class string, fomo boolean, note string"
 )
 DECISIONS = "date date, ticker string, rating string, pending boolean, raw double, alpha double, holding_days int, decision string, reflection string"
-NOI_FRAME = "ev string, T string, t long, at long, a string, x string, o double, p double, b double"
+#: Imbalance frames have keys that differ only in case (T, t), so they are read as maps.
+NOI_FRAME = "map<string, string>"
 PREDICTION_EVENTS = "title string, markets array<struct<question: string, outcomes: string, outcomePrices: string, volumeNum: double, endDate: string, closed: boolean>>"

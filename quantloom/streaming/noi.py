@@ -18,10 +18,11 @@ EVENT = "type string, ticker string, timestamp_ns long, planned_at long, auction
 def parse_frames(messages: DataFrame) -> DataFrame:
     """Rows of JSON text in `value` -> events; frames of other kinds and broken ones are left out."""
     m = F.from_json("value", schemas.NOI_FRAME)
-    rows = messages.select(m.alias("m")).where("m.ev = 'NOI'")
+    at = lambda key, kind="string": F.col("m")[key].try_cast(kind)
+    rows = messages.select(m.alias("m")).where(F.col("m")["ev"] == "NOI")
     return rows.select(
-        F.col("m.ev").alias("type"), F.col("m.T").alias("ticker"), F.col("m.t").alias("timestamp_ns"), F.col("m.at").alias("planned_at"), F.col("m.a").alias("auction"), F.col("m.x").alias("exchange"),
-        F.col("m.o").alias("imbalance"), F.col("m.p").alias("paired"), F.col("m.b").alias("clearing_price"), F.timestamp_micros((F.col("m.t") / 1000).cast("long")).alias("ts"),
+        at("ev").alias("type"), at("T").alias("ticker"), at("t", "long").alias("timestamp_ns"), at("at", "long").alias("planned_at"), at("a").alias("auction"), at("x").alias("exchange"),
+        at("o", "double").alias("imbalance"), at("p", "double").alias("paired"), at("b", "double").alias("clearing_price"), F.timestamp_micros(F.call_function("div", at("t", "long"), F.lit(1000))).alias("ts"),
     )
 
 

@@ -307,20 +307,20 @@ def hmm_regime(spark, sf):
 @query(
     S.with_(
         S.BARS,
-        "SELECT ticker, session, round(sum(vwap * volume) / sum(volume), 6) AS session_vwap, arg_max(close, date) AS last_close, count(*) AS n_bars, arg_max(close, date) > sum(vwap * volume) / sum(volume) AS holds_session_vwap FROM (SELECT *, CAST(date_trunc('month', date) AS DATE) AS session FROM bars) GROUP BY 1, 2",
+        f"SELECT ticker, session, round(sum(vwap * volume) / sum(volume) + {S.OFF}, 6) AS session_vwap, arg_max(close, date) AS last_close, count(*) AS n_bars, arg_max(close, date) > sum(vwap * volume) / sum(volume) AS holds_session_vwap FROM (SELECT *, CAST(date_trunc('month', date) AS DATE) AS session FROM bars) GROUP BY 1, 2",
     )
 )
 def session_vwap(spark, sf):
     rows = wh.bars(spark, sf).select("ticker", F.trunc("date", "month").cast("timestamp").alias("ts"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), F.col("vwap").alias("vw"), "date")
     out = rows.groupBy("ticker", F.to_date("ts").alias("session")).agg(F.max_by("c", "date").alias("last_close"))
     vw = setups.session_vwap(rows).select("ticker", "session", "session_vwap", "n_bars")
-    return vw.join(out, ["ticker", "session"]).select("ticker", "session", F.round("session_vwap", 6).alias("session_vwap"), "last_close", "n_bars", (F.col("last_close") > F.col("session_vwap")).alias("holds_session_vwap"))
+    return vw.join(out, ["ticker", "session"]).select("ticker", "session", F.round(F.col("session_vwap") + S.OFF, 6).alias("session_vwap"), "last_close", "n_bars", (F.col("last_close") > F.col("session_vwap")).alias("holds_session_vwap"))
 
 
-@query(S.with_(S.STEPS, f"t AS (SELECT *, avg(true_range) OVER {S.over(14)} AS atr, lag(close, 5) OVER ({S.W}) AS entry FROM steps)", "SELECT ticker, date, round(entry + atr, 6) AS be_stop, round(close + 4 * atr, 6) AS exit_target, CASE WHEN close >= close + 4 * atr THEN 'target' WHEN close < entry + atr THEN 'stop' ELSE 'hold' END AS exit_action FROM t WHERE bar >= 6"))
+@query(S.with_(S.STEPS, f"t AS (SELECT *, avg(true_range) OVER {S.over(14)} AS atr, lag(close, 5) OVER ({S.W}) AS entry FROM steps)", f"SELECT ticker, date, round(entry + atr + {S.OFF}, 6) AS be_stop, round(close + 4 * atr + {S.OFF}, 6) AS exit_target, CASE WHEN close >= close + 4 * atr THEN 'target' WHEN close < entry + atr THEN 'stop' ELSE 'hold' END AS exit_action FROM t WHERE bar >= 6"))
 def exit_check(spark, sf):
     from ..operators import portfolio as pf
 
     df = ind.with_steps(wh.bars(spark, sf)).withColumns({"atr": ind.atr(), "entry": F.lag("close", 5).over(windows.by())}).where("bar >= 6")
     df = df.withColumns(pf.exit_check(F.col("entry"), F.col("close"), F.col("atr")))
-    return df.select("ticker", "date", r("be_stop", 6).alias("be_stop"), r("exit_target", 6).alias("exit_target"), "exit_action")
+    return df.select("ticker", "date", r(F.col("be_stop") + S.OFF, 6).alias("be_stop"), r(F.col("exit_target") + S.OFF, 6).alias("exit_target"), "exit_action")

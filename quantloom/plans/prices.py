@@ -177,13 +177,13 @@ _SET = ",\n".join([
         f"""SELECT ticker, date, round({S.sma("close", 50)}, 8) AS close_50_sma, round({S.sma("close", 200)}, 8) AS close_200_sma, round(close_10_ema, 6) AS close_10_ema, round(macd, 6) + 0e0 AS macd, round(macds, 6) + 0e0 AS macds,
         round(macd - macds, 6) + 0e0 AS macdh, round(CASE WHEN bar < 2 THEN NULL WHEN g + l = 0 THEN 50 WHEN l > 0 THEN 100 - 100 / (1 + g / l) ELSE 100 END, 6) AS rsi, round({S.sma("close", 20)}, 8) AS boll,
         round({S.sma("close", 20)} + 2 * stddev_samp(close) OVER {S.over(20)}, 6) AS boll_ub, round({S.sma("close", 20)} - 2 * stddev_samp(close) OVER {S.over(20)}, 6) AS boll_lb, round(atr, 6) AS atr,
-        round(sum(tp * volume) OVER {S.over(14)} / sum(volume) OVER {S.over(14)}, 6) AS vwma,
+        round(sum(tp * volume) OVER {S.over(14)} / sum(volume) OVER {S.over(14)} + {S.OFF}, 6) AS vwma,
         round(CASE WHEN bar >= 15 THEN sum(CASE WHEN mv > 0 THEN tp * volume ELSE 0 END) OVER {S.over(14)} / nullif(sum(CASE WHEN mv > 0 THEN tp * volume ELSE 0 END) OVER {S.over(14)} + sum(CASE WHEN mv < 0 THEN tp * volume ELSE 0 END) OVER {S.over(14)}, 0) * 100 END, 6) AS mfi FROM i9""",
     )
 )
 def indicator_set(spark, sf):
     plain = ("close_50_sma", "close_200_sma", "boll")
-    df = ind.with_indicator_set(wh.bars(spark, sf)).drop("bar", "close")
+    df = ind.with_indicator_set(wh.bars(spark, sf)).drop("bar", "close").withColumn("vwma", F.col("vwma") + S.OFF)
     return rounded(rounded(df, *plain), *(c for c in ind.INDICATORS if c not in plain), digits=6)
 
 

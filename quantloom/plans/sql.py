@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: Added before rounding to six places where exact ties occur: sums in another order then can't part them.
+OFF = 3.3e-10
+
 BARS = """
 daily AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, SUM(CAST(round(l_discount * 100) AS BIGINT)) AS d,
   SUM(CAST(round(l_tax * 100) AS BIGINT)) AS t, COUNT(*) AS n, SUM(l_quantity) AS volume FROM lineitem GROUP BY 1, 2),

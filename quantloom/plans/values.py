@@ -190,9 +190,10 @@ def gate_cascade(spark, sf):
 _RET = S.BARS + f",\nrr AS (SELECT * FROM (SELECT ticker, date, bar, close / lag(close) OVER ({S.W}) - 1 AS r FROM bars) WHERE r IS NOT NULL)"
 
 
-@query(S.with_(_RET, "k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(r, 9)) AS p, greatest(1, floor(0.05e0 * count(*) OVER (PARTITION BY ticker))) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM rr)", "SELECT ticker, max(n) AS n, round(max(round(r, 9)), 8) + 0e0 AS var, round(avg(round(r, 9)), 8) + 0e0 AS cvar FROM k WHERE p <= k GROUP BY ticker"))
+@query(S.with_(_RET, "k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY round(r, 9)) AS p, greatest(1, floor(0.05e0 * count(*) OVER (PARTITION BY ticker))) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM rr)", "SELECT ticker, max(n) AS n, round(max(round(r, 9)), 9) + 0e0 AS var, round(avg(round(r, 9)) + 3.3e-10, 6) + 0e0 AS cvar FROM k WHERE p <= k GROUP BY ticker"))
 def var_cvar(spark, sf):
-    return rounded(evl.tail_risk(wh.returns(wh.bars(spark, sf)), ["ticker"]), "var", "cvar", digits=8)
+    out = evl.tail_risk(wh.returns(wh.bars(spark, sf)), ["ticker"])
+    return out.select("ticker", "n", r("var", 9).alias("var"), r(F.col("cvar") + S.OFF, 6).alias("cvar"))
 
 
 _PERF = "count(r) AS n, round(exp(sum(ln(1 + r))) - 1, 6) + 0e0 AS total_return, round(pow(exp(sum(ln(1 + r))), 252e0 / count(r)) - 1, 6) + 0e0 AS cagr, round(stddev_samp(r) * sqrt(252), 6) AS volatility, round((pow(exp(sum(ln(1 + r))), 252e0 / count(r)) - 1) / (stddev_samp(r) * sqrt(252)), 6) + 0e0 AS sharpe, round((pow(exp(sum(ln(1 + r))), 252e0 / count(r)) - 1) / (stddev_samp(r) * sqrt(252)) - sqrt(2 * ln(100)), 6) + 0e0 AS deflated_sharpe"
@@ -302,12 +303,12 @@ def kelly_contract(spark, sf):
         "t1 AS (SELECT *, p1 - a AS p2, p1 - 2 * a AS p3, p1 - 2 * a - 1.5e0 * a AS stop, 0.3e0 * p1 + 0.3e0 * (p1 - a) + 0.4e0 * (p1 - 2 * a) AS en FROM t0)",
         "t2 AS (SELECT *, coalesce(a > 0 AND p1 > 0 AND stop > 0 AND en - stop > 0, false) AS valid, CAST(floor(1500e0 / CASE WHEN a > 0 AND stop > 0 THEN en - stop END) AS BIGINT) AS sh FROM t1)",
         "t3 AS (SELECT *, CAST(floor(sh * 0.3e0) AS BIGINT) AS n1, CAST(floor(sh * 0.3e0) AS BIGINT) AS n2 FROM t2)",
-        "SELECT ticker, date, valid, sh AS total_shares, n1, n2, sh - n1 - n2 AS n3, round((n1 * (p1 - stop) + n2 * (p2 - stop) + (sh - n1 - n2) * (p3 - stop)) / 100000, 8) AS capital_at_risk_pct, round((n1 * p1 + n2 * p2 + (sh - n1 - n2) * p3) / 100000, 6) AS peak_deployed_pct FROM t3",
+        "SELECT ticker, date, valid, sh AS total_shares, n1, n2, sh - n1 - n2 AS n3, round((n1 * (p1 - stop) + n2 * (p2 - stop) + (sh - n1 - n2) * (p3 - stop)) / 100000 + 3.3e-10, 6) AS capital_at_risk_pct, round((n1 * p1 + n2 * p2 + (sh - n1 - n2) * p3) / 100000 + 3.3e-10, 6) AS peak_deployed_pct FROM t3",
     )
 )
 def tranche_plan(spark, sf):
     df = pf.tranche_plan(ind.with_steps(wh.bars(spark, sf)).withColumn("atr", ind.atr()))
-    return df.select("ticker", "date", "valid", "total_shares", "n1", "n2", "n3", r("capital_at_risk_pct", 8).alias("capital_at_risk_pct"), r("peak_deployed_pct", 6).alias("peak_deployed_pct"))
+    return df.select("ticker", "date", "valid", "total_shares", "n1", "n2", "n3", r(F.col("capital_at_risk_pct") + S.OFF, 6).alias("capital_at_risk_pct"), r(F.col("peak_deployed_pct") + S.OFF, 6).alias("peak_deployed_pct"))
 
 
 @query(

@@ -11,6 +11,7 @@ plan's ranges of ranks gives its sequence and its place there.
 from __future__ import annotations
 
 import bisect
+import functools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,73 +21,172 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import textvec
 from .common import stored, text_slices
 
 CAPACITY, END = 1024, 2
 #: A rank is counted inside a salt of about so many pieces.
 SALT_ROWS = 4000
-#: Distinct pieces of text whose ids a task remembers.
-REMEMBERED = 1 << 18
+#: Distinct pre-tokens whose ids a task remembers.
+REMEMBERED = 1 << 20
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point in the tokenizer's pre-token pattern."""
+    import regex
+
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    out = np.full(0x110000, _OTHER, np.uint8)
+    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    out[0xD800:0xE000] = _OTHER
+    return out
+
+
+def _contractions(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Letters after each apostrophe that make one token with it: 1 (s, t, m, d), 2 (re, ve, ll) or 0."""
+    a = points[np.minimum(at + 1, len(points) - 1)]
+    b = points[np.minimum(at + 2, len(points) - 1)]
+    two = ((a == ord("r")) & (b == ord("e"))) | ((a == ord("v")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+    return np.where(np.isin(a, np.frombuffer("stmd".encode("utf-32-le"), "<u4")), 1, np.where(two, 2, 0))
+
+
+def pretokens(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """First code point of every pre-token; rows start at `edges` (the last edge is the end).
+
+    Pre-tokens are runs of letters, of numbers or of other characters, each with a blank before it;
+    white space but for that last blank is one, a last other white space is its own; an apostrophe
+    that starts its run without a blank makes one with s, t, m, d, re, ve or ll.
+    """
+    n = len(points)
+    kind = _classes()[points]
+    row_start = np.zeros(n + 1, bool)
+    row_start[edges] = True
+    new = row_start[:-1].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    first = np.flatnonzero(new)
+    after = np.append(first[1:], n)
+    k = kind[first]
+    blank = k == _SPACE
+    inner = blank & ~row_start[after]  # white space that a run follows
+    glued = inner & (points[after - 1] == 32)
+    starts = [first[~blank], first[blank & ~(glued & (after - first == 1))]]  # a lone blank starts the token of its run
+    taken = np.zeros(n + 1, bool)  # runs that start with the blank before them
+    taken[after[glued]] = True
+    starts[0] = starts[0][~taken[starts[0]]]
+    starts.append(after[inner] - 1)  # the last of the white space: with the run, or alone
+    apostrophe = first[(k == _OTHER) & (after - first == 1) & (points[first] == 39)]
+    apostrophe = apostrophe[~taken[apostrophe]]
+    apostrophe = apostrophe[~row_start[apostrophe + 1]]
+    if len(apostrophe):
+        tail = _contractions(points, apostrophe)
+        tail[(tail == 2) & row_start[np.minimum(apostrophe + 2, n)]] = 0
+        apostrophe, tail = apostrophe[tail > 0], tail[tail > 0]
+        drop = np.zeros(n + 1, bool)
+        drop[apostrophe + 1] = True
+        starts[0] = starts[0][~drop[starts[0]]]
+        rest = apostrophe + 1 + tail  # letters left of the run, if any
+        rest = rest[(rest < n) & ~row_start[np.minimum(rest, n)]]
+        starts.append(rest[kind[rest] == _LETTER])
+    marked = np.zeros(n, bool)
+    for s in starts:
+        marked[s] = True
+    return np.flatnonzero(marked)
+
+
 class Encoder:
     """Token ids of texts by the tokenizer file, its pre-tokens each encoded once and remembered.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in turn.
-    Strings of the tokenizer's added tokens in a text stand for those tokens, as it encodes them itself.
+    Pre-tokens are found for many texts at once and told apart by 64-bit hashes of their bytes.
+    Strings of special tokens in a text are ordinary text.
     """
 
-    #: Fixed value: the pre-token pattern of the byte-level tokenizer.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(self.PATTERN).findall
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        (self.newline,) = self._ids("\n")
         self.forget()
 
-    def split(self, text: str) -> list[str]:
-        if self.added is None or not self.added.search(text):
-            return self.words(text)
-        pieces = self.added.split(text)  # text and added tokens in turn
-        return [w for i, p in enumerate(pieces) for w in ([p] if i % 2 else self.words(p))]
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.sizes: list[np.ndarray] = []
-        self.known: list[np.ndarray] = []
-        self.n = 0
+        self.hashes, self.size, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        parts = [self.split(t) for t in texts]
-        if self.n > REMEMBERED:
+        raw = "".join(texts)
+        edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        return self._plain(raw, edges)
+
+    def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids) of pre-tokens: those with ink as lines of one text, others one by one."""
+        ink = np.fromiter((not w.isspace() for w in words), bool, len(words))
+        lines = [w for w, i in zip(words, ink.tolist()) if i]
+        joined = np.array(self._ids("\n".join([*lines, ""])), np.uint32)
+        stop = np.flatnonzero(joined == self.newline)
+        rest = [self._ids(w) for w, i in zip(words, ink.tolist()) if not i]
+        if len(stop) != len(lines):  # a pattern unlike the one assumed
+            raise ValueError("the tokenizer doesn't cut at line ends")
+        size = np.empty(len(words), np.int64)
+        size[ink] = np.diff(stop, prepend=-1) - 1
+        size[~ink] = [len(x) for x in rest]
+        ids = np.empty(int(size.sum()), np.uint32)
+        held = np.repeat(ink, size)
+        ids[held] = joined[joined != self.newline]
+        ids[~held] = [i for x in rest for i in x]
+        return size, ids
+
+    def _plain(self, raw: str, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not raw:
+            return np.zeros(0, np.uint32), np.zeros(len(edges) - 1, np.int64)
+        points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4")
+        data = np.frombuffer(raw.encode("utf-8", "surrogatepass"), np.uint8)
+        start = pretokens(points, edges)
+        if len(data) == len(points):
+            byte = start
+        else:  # continuation bytes are no code points of their own
+            byte = np.flatnonzero((data & 0xC0) != 0x80)[start]
+        h = textvec.hash_spans(data, byte, np.append(byte[1:], len(data)))
+        unique, first, code = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
             self.forget()
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in self.code))
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.code.update(zip(new, range(self.n, self.n + len(new))))
-            self.n += len(new)
-            self.sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            self.known.append(np.fromiter((i for f in found for i in f), np.uint32))
-            if len(self.sizes) > 1:  # one table of sizes, one of ids
-                self.sizes, self.known = [np.concatenate(self.sizes)], [np.concatenate(self.known)]
-            self.at = np.concatenate([[0], np.cumsum(self.sizes[0])])
-        count = [len(p) for p in parts]
-        codes = np.fromiter((c for p in parts for c in map(self.code.__getitem__, p)), np.int64, sum(count))
-        if not len(codes):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        size = self.sizes[0][codes]
-        total = np.cumsum(size)
-        place = np.arange(total[-1]) - np.repeat(total - size, size) + np.repeat(self.at[codes], size)
-        edge = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(count)])]
-        return self.known[0][place], np.diff(edge)
+        known = np.searchsorted(self.hashes, unique)
+        known[known == len(self.hashes)] = 0
+        fresh = np.flatnonzero(self.hashes[known] != unique) if len(self.hashes) else np.arange(len(unique))
+        if len(fresh):
+            end = np.append(start[1:], len(points))
+            size, found = self._look_up([raw[a:b] for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())])
+            hashes = np.concatenate([self.hashes, unique[fresh]])
+            sizes = np.concatenate([self.size, size])
+            at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+            self.ids = np.concatenate([self.ids, found])
+            order = np.argsort(hashes)
+            self.hashes, self.size, self.at = hashes[order], sizes[order], at[order]
+            known = np.searchsorted(self.hashes, unique)
+        place = known[code]
+        total = np.cumsum(np.append(0, self.size[place]))
+        step = np.ones(total[-1], np.int32)  # ids of one pre-token follow each other; a jump leads to the next one's
+        at, last = self.at[place], self.at[place] + self.size[place] - 1
+        step[total[:-1]] = at - np.append(0, last[:-1])
+        return self.ids[np.cumsum(step, dtype=np.int32)], np.diff(total[np.searchsorted(start, edges)])
+
+
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps it from task to task."""
+    return Encoder(path)
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -97,7 +197,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             for first, after, _, _ in text_slices(batch.column(1)):
                 part = batch.slice(first, after - first)
@@ -224,16 +324,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return reduce_instance(left, capacity) + best_fit(left, capacity)
 
 
-def _ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank after the last, sequence of the first, offset)."""
+def _ranges(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank after the last, sequence of the first, offset, pieces a sequence).
+
+    A row for each pattern and length in it: best fit makes a few patterns for each of `capacity`
+    lengths, and lengths that differ and fit together number sqrt(2 * capacity) at most, so the table
+    is bounded whatever the number of pieces.
+    """
     used: Counter = Counter()
     out, sequence = [], 0
     for pattern, n in patterns:
         offset = 0
-        for w in pattern:
-            out.append((w, used[w], used[w] + n, sequence, offset))
-            used[w] += n
-            offset += w
+        for w, each in Counter(pattern).items():
+            out.append((w, used[w], used[w] + n * each, sequence, offset, each))
+            used[w] += n * each
+            offset += w * each
         sequence += n
     return out
 
@@ -258,10 +363,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     base = stored(by_salt.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases")
     within = Window.partitionBy("length", "_salt").orderBy(*[c for c in ("doc_id", "piece") if c in pieces.columns] or ["_salt"])
     ranked = pieces.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    schema = "length long, _from long, _to long, _sequence long, offset long"
-    ranges = spark.createDataFrame(_ranges(plan(counts, capacity)), schema)  # some ranges for each of capacity lengths
+    schema = "length long, _from long, _to long, _sequence long, _offset long, _each long"
+    ranges = spark.createDataFrame(_ranges(plan(counts, capacity)), schema)  # bounded by capacity, see _ranges
     placed = ranked.join(F.broadcast(ranges), ["length"]).where("_rank >= _from and _rank < _to")
-    return placed.withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_from")).select(*(c for c in pieces.columns if c != "_salt"), "sequence_id", "offset")
+    place = F.col("_rank") - F.col("_from")
+    placed = placed.withColumns({"sequence_id": F.col("_sequence") + F.floor(place / F.col("_each")), "offset": F.col("_offset") + place % F.col("_each") * F.col("length")})
+    return placed.select(*(c for c in pieces.columns if c != "_salt"), "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

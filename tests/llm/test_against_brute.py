@@ -79,7 +79,7 @@ def test_packing(docs, rows):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = False
+    tokenizer.encode_special_tokens = True
     got = packing.pack_documents(docs, path).collect()
     pieces = defaultdict(list)
     for r in got:
@@ -109,6 +109,24 @@ def test_packing(docs, rows):
     assert len(held) <= -(-total // 1024) * 1.02 + 1
 
 
+def test_encoder_cuts_like_the_tokenizer():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(1)
+    tokenizer.encode_special_tokens = True
+    parts = ["'s", "'t", "'re", "'ll", "'", "''", " ", "  ", "\n", "\t", "a", "é", "Z", "7", "½", "!", "<|endoftext|>", "\u00a0", "\U0001f600", "s", "re", "l", "d", "ve", " '", "\u3000", "\x1c", "\x85", "\u2177", "\x00"]
+    for _ in range(1500):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
+        ids, sizes = encoder.encode(texts)
+        at = 0
+        for t, n in zip(texts, sizes.tolist()):
+            assert ids[at : at + n].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+            at += n
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_packing_reduction_keeps_the_optimum(seed):
     """What the reduction fixes never costs a sequence: compared with a search over all packings."""

@@ -294,6 +294,16 @@ def test_substring(spark):
     assert out[1] == texts[0][1] and out[2] == "Second starts. End of two." and out[5] == "" and out[3] == texts[2][1]
 
 
+def test_substring_finds_a_passage_inside_other_sentences(spark):
+    rng = __import__("random").Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = ", ".join(" ".join(word() for _ in range(9)) for _ in range(6))
+    texts = [(i, f"{' '.join(word() for _ in range(8))} {passage} {' '.join(word() for _ in range(8))}.") for i in range(4)]
+    clean = [(9, " ".join(word() for _ in range(90)))]
+    got = substring.repeated_spans(spark.createDataFrame(texts + clean, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["first_doc_id"]) for r in got) == [(1, 0), (2, 0), (3, 0)]
+
+
 def _naive_repeats(rows):
     """(doc_id, sentence) that a non-first run covers, by comparing the runs' words themselves."""
     import numpy as np
@@ -309,7 +319,7 @@ def _naive_repeats(rows):
                 if i + n > len(words):
                     break
                 total += int(count[i + n - 1])
-                if total >= (substring.HUGE if n == 1 else substring.LONG if n == 2 else substring.SHORT):
+                if total >= (substring.LONG if n <= 2 else substring.SHORT):
                     key = tuple(words[i : i + n])
                     if key in first:
                         places.append((doc_id, i, n))

@@ -108,6 +108,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as in docs."""
-    chosen = mix(docs, weights, share, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(chosen, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """The documents of the mix, each as often as it is taken; columns as in docs.
+
+    Rows that share a doc_id (or have none), a source and a size are taken alike, as often as the
+    one of them that is taken most.
+    """
+    chosen = mix(docs, weights, share, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"), "_copies")
+    same = F.col("_id").eqNullSafe(docs["doc_id"].cast("long")) & F.col("_of").eqNullSafe(docs["source"].cast("string")) & (F.col("_words") == word_count(docs["text"].cast("string")))
+    return docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

@@ -246,25 +246,25 @@ def added_spans(text: Column, models: tuple) -> Column:
     return F.concat(*(of(k, *model) for k, model in enumerate(models)))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
     """docs with base (the base spans) and spans (these and the added ones that overlap none).
 
-    Null texts are empty and have no spans. Other columns stay as they are, whatever their names but
-    base and spans.
+    Null texts are empty and have no spans. Columns that already have one of the two names are
+    replaced, others stay as they are.
     """
     models = _model(docs.sparkSession.sparkContext.applicationId)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("base", base_spans(text)).withColumn("_added", added_spans(text, models))
-    apart = F.filter("_added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("_added")
+    out = docs.withColumn(base, base_spans(text)).withColumn("_added", added_spans(text, models))
+    apart = F.filter("_added", lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return out.withColumn(spans, F.array_sort(F.concat(base, apart))).drop("_added")
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of personal data in text replaced by its kind in angle brackets."""
-    found = find_pii(docs)
+    found = find_pii(docs, "_pii_base", "_pii_spans")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def step(acc: Column, s: Column) -> Column:
         between = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
@@ -275,7 +275,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.aggregate(order, first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).select(docs.columns)
+    return found.withColumn("text", F.when(F.size("_pii_spans") > 0, whole).otherwise(F.col("text"))).select(docs.columns)
 
 
 def _listed(spans: Column) -> Column:

@@ -96,3 +96,12 @@ def overfit(splits: DataFrame, threshold: float = -0.1) -> DataFrame:
     wide = splits.groupBy("ticker", "split").agg(F.max(F.when(F.col("part") == "train", F.round("sharpe", 9))).alias("in_s"), F.max(F.when(F.col("part") == "test", F.round("sharpe", 9))).alias("oos_s"))
     out = wide.groupBy("ticker").agg(F.count("*").alias("n_splits"), F.max("in_s").alias("in_best"), F.max_by("oos_s", F.struct("in_s", -F.col("split"))).alias("oos_of_best"), F.max("oos_s").alias("oos_best"))
     return out.withColumn("overfit", F.col("oos_of_best") < threshold)
+
+
+def config_gate(returns: DataFrame, train: int = 60, test: int = 20, trials: int = 20) -> DataFrame:
+    """ticker, ok, reason: walk-forward splits must not overfit and the deflated Sharpe ratio be positive."""
+    split = overfit(walk_forward(returns, train, test))
+    whole = performance(returns, ["ticker"], trials=trials).select("ticker", "deflated_sharpe")
+    out = whole.join(split, "ticker", "left")
+    reason = F.when(F.col("n_splits").isNull(), "too few samples").when(F.col("overfit"), "PBO").when(F.col("deflated_sharpe") <= 0, "deflated_sharpe<=0").otherwise("pass")
+    return out.select("ticker", F.when(F.col("n_splits").isNotNull(), reason == "pass").alias("ok"), reason.alias("reason"), "deflated_sharpe", "n_splits")

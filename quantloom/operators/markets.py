@@ -132,3 +132,71 @@ def short_volume(rows: DataFrame) -> DataFrame:
 def pivot_statement(items: DataFrame, periods: list[str]) -> DataFrame:
     """Line items as rows, the given periods as columns: a pivot with a stated list reads the data once."""
     return items.groupBy("ticker", "item").pivot("period", periods).agg(F.first("value"))
+
+
+def named_fields(items: DataFrame, names: DataFrame) -> DataFrame:
+    """items (field_id, ...) -> with field: the display name of the id, or the id itself. names is a fixed list."""
+    return items.join(names.select("field_id", "name"), "field_id", "left").withColumn("field", F.coalesce("name", F.col("field_id").cast("string"))).drop("name")
+
+
+def revenue_breakdown(reports: DataFrame) -> DataFrame:
+    """reports (ticker, breakdown_list array<struct<kind, item_list array<struct<name, value>>>>) -> a row for each item."""
+    kinds = reports.select("ticker", F.explode("breakdown_list").alias("b"))
+    return kinds.select("ticker", "b.kind", F.explode("b.item_list").alias("i")).select("ticker", "kind", "i.name", "i.value")
+
+
+def corporate_actions(dividends: DataFrame, splits: DataFrame, each: int = 5) -> DataFrame:
+    """The latest actions of both kinds, up to `each` of a kind per ticker; columns that one kind lacks are null."""
+    newest = [F.desc("date"), F.desc("ord")]
+    last = lambda df, kind: top_per(df, ["ticker"], newest, each).withColumn("kind", F.lit(kind))
+    return last(dividends, "dividend").unionByName(last(splits, "split"), allowMissingColumns=True)
+
+
+def first_known(*values: Column) -> Column:
+    """The first value that is not null, empty or "none"."""
+    return F.coalesce(*(F.when(~F.lower(F.trim(v)).isin("", "none"), v) for v in values))
+
+
+def net_side(net: Column) -> Column:
+    return F.when(net > 0, "BUY").when(net < 0, "SELL").otherwise("flat")
+
+
+def first_number_by_date(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """key, value: the latest row's value among those that are numbers."""
+    number = value.try_cast("double")
+    return rows.withColumn("_v", number).where("_v is not null").groupBy(key).agg(F.max_by("_v", "date").alias("value"))
+
+
+def surprise_history(prints: DataFrame, bars: DataFrame) -> DataFrame:
+    """Distinct prints (ticker, period, date) with surprise in percent and the move of the bar of the same date, if any."""
+    first = prints.groupBy("ticker", "period", "date").agg(F.min_by(F.struct("eps_actual", "eps_estimate"), "ord").alias("e"))
+    move = bars.select("ticker", "date", (F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("date")) - 1).alias("day_move"))
+    pct = F.when(F.col("e.eps_estimate") != 0, (F.col("e.eps_actual") - F.col("e.eps_estimate")) / F.abs("e.eps_estimate") * 100)
+    return first.join(move, ["ticker", "date"], "left").select("ticker", "period", "date", pct.alias("surprise_pct"), "day_move")
+
+
+def expected_move(history: DataFrame, closes: DataFrame) -> DataFrame:
+    """ticker, move, low, high: the current row's implied move, else the first row's, about the last close."""
+    current = F.max_by("move", F.when(F.col("is_current"), -F.col("ord")))
+    best = history.groupBy("ticker").agg(F.coalesce(current, F.min_by("move", "ord")).alias("move"))
+    out = best.join(closes.groupBy("ticker").agg(F.max_by("close", "date").alias("close")), "ticker")
+    return out.select("ticker", "move", (F.col("close") * (1 - F.col("move"))).alias("low"), (F.col("close") * (1 + F.col("move"))).alias("high"))
+
+
+def contract_walk(levels: list[DataFrame], limits: tuple[int, ...] = (2, 3, 2, 20)) -> DataFrame:
+    """Category, series, event, contract: each level (id, parent, ord, ...) keeps its first rows per parent and
+    meets the level above; contracts priced strictly between 0 and 1 stay."""
+    out = None
+    for i, (level, n) in enumerate(zip(levels, limits)):
+        kept = top_per(level, ["parent"], [F.col("ord").asc()], n).drop("place", "ord")
+        if out is None:
+            out = kept.select(F.col("id").alias("id0"))
+        else:
+            rest = [c for c in kept.columns if c not in ("id", "parent")]
+            out = out.join(kept.withColumnRenamed("parent", f"id{i - 1}").withColumnRenamed("id", f"id{i}"), f"id{i - 1}").select(*out.columns, f"id{i}", *rest)
+    return out.where("price > 0 and price < 1")
+
+
+def trading_days(bars: DataFrame, start: str, end: str) -> DataFrame:
+    """date, n_tickers of every session between two dates, both included."""
+    return bars.where(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).groupBy("date").agg(F.count("*").alias("n_tickers"))

@@ -131,3 +131,14 @@ def govern(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     none = F.array().cast("array<string>")
     df = df.withColumns({"reasons": F.when(c("halted"), F.array(F.lit("halt"))).when(sized, held(reasons)).otherwise(none), "touches": F.when(sized & ~c("halted"), held(near)).otherwise(none)})
     return df.withColumn("governor", F.when(F.size("reasons") > 0, "REJECT").when(F.size("touches") > 0, "WARN").otherwise("PASS"))
+
+
+def rebalance_due(days_since: Column, interval: int = 30) -> Column:
+    return F.coalesce(days_since >= max(1, interval), F.lit(False))
+
+
+def snapshot_text() -> Column:
+    """One line for a governed row: verdict, size, stop and reasons; unknown parts are left out."""
+    pct = lambda c: F.concat(F.lit(f"{c}="), F.format_number(F.col(c) * 100, 1), F.lit("%"))
+    reasons = F.when(F.size("reasons") > 0, F.concat(F.lit("reasons="), F.array_join("reasons", " | ")))
+    return F.concat(F.lit("risk snapshot: "), F.concat_ws("; ", F.concat(F.lit("verdict="), F.col("governor")), pct("size_pct"), pct("drawdown_pct"), reasons))

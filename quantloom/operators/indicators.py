@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .windows import by, decayed_sum, ema, full, prior, sma, trail, weighted_mean
+from .windows import by, decayed_sum, decayed_sums, ema, emas, full, prior, sma, trail, weighted_means
 
 YEAR = 252.0
 
@@ -35,10 +35,11 @@ def with_rsi_series(df: DataFrame, n: int = 14, wilder: bool = False, name: str
     """Recursive RSI. It starts from the sums of the first n gains and losses and then averages
     (value - value / n + step / n); with `wilder` it starts from their means."""
     start = F.lit(1.0 / n if wilder else 1.0)
-    for side, sign in (("_up", 1), ("_down", -1)):
-        df = df.withColumn("_step", F.greatest(sign * F.col("change"), F.lit(0.0)))
-        term = F.when(F.col("bar") > n + 1, F.col("_step") / n).when(F.col("bar") == n + 1, F.sum("_step").over(trail(n)) * start)
-        df = decayed_sum(df.withColumn("_t", term), F.col("_t"), 1 - 1 / n, side).drop("_step", "_t")
+    bar = F.col("bar")
+    df = df.withColumns({"_gain": F.greatest("change", F.lit(0.0)), "_loss": F.greatest(-F.col("change"), F.lit(0.0))})
+    df = df.withColumns({f"{c}0": F.sum(c).over(trail(n)) for c in ("_gain", "_loss")})
+    term = lambda c: F.when(bar > n + 1, F.col(c) / n).when(bar == n + 1, F.col(f"{c}0") * start)
+    df = decayed_sums(df, {"_up": (term("_gain"), 1 - 1 / n), "_down": (term("_loss"), 1 - 1 / n)}).drop("_gain", "_loss", "_gain0", "_loss0")
     return df.withColumn(name, full(n + 1, _strength(F.col("_up"), F.col("_down")))).drop("_up", "_down")
 
 
@@ -49,7 +50,7 @@ def atr(n: int = 14) -> Column:
 
 def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """Add macd, macd_signal, macd_hist; the signal starts where the line does."""
-    df = ema(ema(df, "close", fast, "_fast"), "close", slow, "_slow")
+    df = emas(df, {"_fast": ("close", fast), "_slow": ("close", slow)})
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     return ema(df, "macd", signal, "macd_signal", first=slow).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
@@ -140,13 +141,11 @@ def with_indicator_set(bars: DataFrame) -> DataFrame:
     """The named indicator set: means, MACD, smoothed RSI, bands by sample deviation, smoothed ATR,
     volume-weighted mean, money flow. Exponential means are normalised by the weights seen."""
     out = with_steps(bars)
-    out = weighted_mean(out, "close", 1 - 2 / 11, "close_10_ema")
-    out = weighted_mean(weighted_mean(out, "close", 1 - 2 / 13, "_fast"), "close", 1 - 2 / 27, "_slow").withColumn("macd", F.col("_fast") - F.col("_slow"))
-    out = weighted_mean(out, "macd", 1 - 2 / 10, "macds").withColumn("macdh", F.col("macd") - F.col("macds"))
-    out = out.withColumns({"_up": F.greatest("change", F.lit(0.0)), "_down": F.greatest(-F.col("change"), F.lit(0.0))})
-    out = weighted_mean(weighted_mean(out, "_up", 13 / 14, "_gain"), "_down", 13 / 14, "_loss").withColumn("rsi", full(2, _strength(F.col("_gain"), F.col("_loss"))))
-    out = out.withColumn("_tr", F.coalesce("true_range", F.col("high") - F.col("low")))
-    out = weighted_mean(out, "_tr", 13 / 14, "atr")
+    out = out.withColumns({"_up": F.greatest("change", F.lit(0.0)), "_down": F.greatest(-F.col("change"), F.lit(0.0)), "_tr": F.coalesce("true_range", F.col("high") - F.col("low"))})
+    day, smooth = lambda n: ("close", 1 - 2 / (n + 1)), 13 / 14
+    out = weighted_means(out, {"close_10_ema": day(10), "_fast": day(12), "_slow": day(26), "_gain": ("_up", smooth), "_loss": ("_down", smooth), "atr": ("_tr", smooth)})
+    out = out.withColumn("macd", F.col("_fast") - F.col("_slow")).withColumn("rsi", full(2, _strength(F.col("_gain"), F.col("_loss"))))
+    out = weighted_means(out, {"macds": ("macd", 1 - 2 / 10)}).withColumn("macdh", F.col("macd") - F.col("macds"))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     out = out.withColumn("_flow", typical * F.col("volume")).withColumn("_typical", typical)
     move = F.col("_typical") - F.lag("_typical").over(by())

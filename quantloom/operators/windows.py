@@ -32,38 +32,59 @@ def sma(c: str | Column, n: int) -> Column:
     return full(n, F.avg(c).over(trail(n)))
 
 
-def decayed_sum(df: DataFrame, term: Column, q: float, name: str) -> DataFrame:
-    """Add name = sum over bars up to the current one of q^(bars ago) * term.
+def decayed_sums(df: DataFrame, sums: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Add for each name (term, q) the sum over bars up to the current one of q^(bars ago) * term.
 
     The powers are taken inside blocks of bars short enough for doubles; a block starts from the sum
     at the end of the one before. What is older weighs less than a double can hold (q^block < 1e-17).
+    All sums of a call share their blocks, and so one sort of each ticker's bars.
     """
-    block = math.ceil(40 / -math.log(q))
-    at = df.withColumn("_b", F.floor((F.col("bar") - 1) / block)).withColumn("_r", (F.col("bar") - 1) % block)
+    rates = [-math.log(q) for _, q in sums.values()]
+    block = math.ceil(40 / min(rates))
+    if block * max(rates) > 600:  # powers would leave the range of doubles: the slowest on its own
+        slow = max(sums, key=lambda n: sums[n][1])
+        return decayed_sums(decayed_sums(df, {slow: sums[slow]}), {n: x for n, x in sums.items() if n != slow})
+    at = df.withColumns({f"_t{i}": F.coalesce(term, F.lit(0.0)) for i, (term, _) in enumerate(sums.values())})
+    at = at.withColumns({"_b": F.floor((F.col("bar") - 1) / block), "_r": (F.col("bar") - 1) % block})
     inner = Window.partitionBy("ticker", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.sum(F.coalesce(term, F.lit(0.0)) * F.pow(F.lit(q), -F.col("_r"))).over(inner) * F.pow(F.lit(q), F.col("_r"))
-    at = at.withColumn("_own", own)
-    before = F.max_by("_own", "_r").over(Window.partitionBy("ticker").orderBy("_b").rangeBetween(-1, -1))
-    at = at.withColumn("_before", before)
-    return at.withColumn(name, F.col("_own") + F.coalesce(F.col("_before"), F.lit(0.0)) * F.pow(F.lit(q), F.col("_r") + 1)).drop("_b", "_r", "_own", "_before")
+    power = lambda q, e: F.pow(F.lit(q), e)
+    at = at.withColumns({f"_s{i}": F.sum(F.col(f"_t{i}") * power(q, -F.col("_r"))).over(inner) * power(q, F.col("_r")) for i, (_, q) in enumerate(sums.values())})
+    before = Window.partitionBy("ticker").orderBy("_b").rangeBetween(-1, -1)
+    last = F.max_by(F.struct(*(f"_s{i}" for i in range(len(sums)))), "_r").over(before)
+    at = at.withColumn("_last", last)
+    out = {name: F.col(f"_s{i}") + F.coalesce(F.col(f"_last._s{i}"), F.lit(0.0)) * power(q, F.col("_r") + 1) for i, (name, (_, q)) in enumerate(sums.items())}
+    return at.withColumns(out).drop("_b", "_r", "_last", *(f"_{x}{i}" for i in range(len(sums)) for x in "ts"))
 
 
-def ema(df: DataFrame, c: str, n: int, name: str, first: int = 1) -> DataFrame:
-    """Exponential mean with k = 2 / (n + 1), seeded with the plain mean of its first n values.
+def decayed_sum(df: DataFrame, term: Column, q: float, name: str) -> DataFrame:
+    return decayed_sums(df, {name: (term, q)})
+
 
-    `first` is the bar at which the series c starts; the result is null before first + n - 1.
+def emas(df: DataFrame, means: dict[str, tuple[str, int]], first: int = 1) -> DataFrame:
+    """Add for each name (column, n) the exponential mean with k = 2 / (n + 1), seeded with the plain mean of the first n values.
+
+    `first` is the bar at which the columns start; a result is null before first + n - 1.
     """
-    k, seed = 2.0 / (n + 1), first + n - 1
-    bar = F.col("bar")
-    term = F.when(bar > seed, k * F.col(c)).when(bar == seed, F.avg(c).over(trail(n)))
-    return decayed_sum(df.withColumn("_term", term), F.col("_term"), 1 - k, name).withColumn(name, F.when(bar >= seed, F.col(name))).drop("_term")
+    bar, sums = F.col("bar"), {}
+    df = df.withColumns({f"_m{i}": F.avg(c).over(trail(n)) for i, (c, n) in enumerate(means.values())})
+    for i, (name, (c, n)) in enumerate(means.items()):
+        k, seed = 2.0 / (n + 1), first + n - 1
+        sums[name] = (F.when(bar > seed, k * F.col(c)).when(bar == seed, F.col(f"_m{i}")), 1 - k)
+    out = decayed_sums(df, sums)
+    return out.withColumns({name: F.when(bar >= first + n - 1, F.col(name)) for name, (_, n) in means.items()}).drop(*(f"_m{i}" for i in range(len(means))))
+
+
+def ema(df: DataFrame, c: str, n: int, name: str, first: int = 1) -> DataFrame:
+    return emas(df, {name: (c, n)}, first)
 
 
-def weighted_mean(df: DataFrame, c: str, q: float, name: str) -> DataFrame:
-    """Exponential mean whose weights q^i are normalised by their sum, from the first non-null value."""
-    out = decayed_sum(df, F.col(c), q, "_top")
-    out = decayed_sum(out, F.when(F.col(c).isNotNull(), 1.0), q, "_weight")
-    return out.withColumn(name, F.try_divide("_top", "_weight")).drop("_top", "_weight")
+def weighted_means(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
+    """Add for each name (column, q) the exponential mean whose weights q^i are normalised by their sum over the values that are not null."""
+    sums = {}
+    for name, (c, q) in means.items():
+        sums |= {f"_{name}_top": (F.col(c), q), f"_{name}_all": (F.when(F.col(c).isNotNull(), 1.0), q)}
+    out = decayed_sums(df, sums)
+    return out.withColumns({name: F.try_divide(f"_{name}_top", f"_{name}_all") for name in means}).drop(*sums)
 
 
 def latest(df: DataFrame) -> DataFrame:

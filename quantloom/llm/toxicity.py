@@ -1,8 +1,8 @@
 """Convolutional text classifier: hashed word embeddings, filters of several widths, max pooling.
 
 A word's vector is the sum of the embeddings of its hashed prefixes, so that inflected forms share
-most of it. Filters of one, two and three words slide over the whole text, the largest response of
-each is kept, and a logistic layer scores them. The network is trained in numpy on the driver, on
+most of it and stems are told from inflected forms. Filters of one, two and three words slide over the
+whole text, the three largest responses of each are kept, and a logistic layer scores them. The network is trained in numpy on the driver, on
 at most `positives + negatives` labelled rows; it scores every row in Spark tasks.
 
 Thresholds are calibrated by language. The language is told from the letters of the text itself;
@@ -24,7 +24,9 @@ from . import textvec
 from .common import text_slices
 
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 18, 4, (1, 2, 3), 4
-PREFIXES = (3, 4, 5, 6)
+#: Responses of a filter that are kept: its largest ones in the text.
+POOLED = 3
+PREFIXES = (3, 4, 5, 6, 8, 12)
 #: Letters that tell a text's language; a text with none of them falls in the first group.
 MARKS = {"de": "äöüß", "es": "ñóíáú¿¡", "fr": "çèêàâîùœé"}
 THRESHOLD = 0.7
@@ -47,7 +49,7 @@ def featurise(data: np.ndarray, offsets: np.ndarray) -> Words:
         h = textvec.hash_spans(data, start, np.minimum(end, start + width), textvec.LOWER)
         ids[:, j] = textvec.mix(h + np.uint64(width)) & np.uint64(BUCKETS - 1)
     rows = len(offsets) - 1
-    return Words(ids, row, rows, _tongue(data, offsets, rows))
+    return Words(ids, row.astype(np.int32), rows, _tongue(data, offsets, rows))
 
 
 def _tongue(data: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
@@ -88,21 +90,30 @@ class Network:
             r[:n] = total
         return r
 
-    def pooled(self, words: Words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-        x = self.vectors(words)
-        pool = np.zeros((words.rows, len(WIDTHS) * FILTERS), np.float32)
-        first = np.searchsorted(words.row, np.arange(words.rows))
-        full = np.flatnonzero(np.bincount(words.row, minlength=words.rows))
-        every = []
+    def pooled(self, words: Words, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the largest responses of every filter in each text, 0 at least; the words they start at, or -1)."""
+        pool = np.zeros((words.rows, POOLED, len(WIDTHS), FILTERS), np.float32)
+        place = np.full(pool.shape, -1, np.int64)
+        held, first, count = np.unique(words.row, return_index=True, return_counts=True)
+        if not len(held):
+            return pool.reshape(words.rows, -1), place.reshape(words.rows, -1)
+        of = np.repeat(np.arange(len(held)), count)
         for at in range(len(WIDTHS)):
             r = self.responses(x, words.row, at)
-            every.append(r)
-            if len(full):
-                pool[full, at * FILTERS : (at + 1) * FILTERS] = np.maximum(0, np.maximum.reduceat(r, first[full], axis=0))
-        return pool, x, every, full
+            for k in range(POOLED):
+                top = np.maximum.reduceat(r, first, axis=0)
+                for f in range(FILTERS):
+                    hit = np.flatnonzero((r[:, f] == top[of, f]) & (r[:, f] > 0))
+                    if not len(hit):
+                        continue
+                    hit = hit[np.append(True, of[hit][1:] != of[hit][:-1])]  # the first of a text's equals
+                    rows = held[of[hit]]
+                    pool[rows, k, at, f], place[rows, k, at, f] = r[hit, f], hit
+                    r[hit, f] = -np.inf
+        return pool.reshape(words.rows, -1), place.reshape(words.rows, -1)
 
     def logits(self, words: Words) -> np.ndarray:
-        return self.pooled(words)[0] @ self.out + self.out_bias
+        return self.pooled(words, self.vectors(words))[0] @ self.out + self.out_bias
 
     def scores(self, words: Words) -> np.ndarray:
         z = self.slope * (self.logits(words) - self.shift[words.tongue]) + np.log(THRESHOLD / (1 - THRESHOLD))
@@ -111,10 +122,15 @@ class Network:
 
 def _start(words: Words, label: np.ndarray, rng: np.random.Generator) -> Network:
     """The first dimension starts as each feature's smoothed log-odds, the rest at random."""
-    key = np.unique((words.ids.astype(np.int64) * words.rows + words.row[:, None]).ravel())
-    feature, of = key // words.rows, key % words.rows
-    bad = np.bincount(feature[label[of] == 1], minlength=BUCKETS)
-    good = np.bincount(feature[label[of] == 0], minlength=BUCKETS)
+    bad, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for j in range(words.ids.shape[1]):  # a column at a time: few copies
+        key = words.ids[:, j].astype(np.int64) * words.rows + words.row
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        toxic = label[key % words.rows] == 1
+        key //= words.rows
+        bad += np.bincount(key[toxic], minlength=BUCKETS)
+        good += np.bincount(key[~toxic], minlength=BUCKETS)
     odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((good + 0.5) / ((1 - label).sum() + 1))
     odds *= (bad + good) / (bad + good + 5.0)
     embed = rng.normal(0, 0.01, (BUCKETS, DIMS)).astype(np.float32)
@@ -122,8 +138,8 @@ def _start(words: Words, label: np.ndarray, rng: np.random.Generator) -> Network
     kernel = [rng.normal(0, 0.1, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for w, k in zip(WIDTHS, kernel):
         k[:, 0, 0] = 1.0 / w
-    out = np.full(len(WIDTHS) * FILTERS, 0.05, np.float32)
-    out[::FILTERS] = 0.5
+    out = np.full(POOLED * len(WIDTHS) * FILTERS, 0.05, np.float32)
+    out[::FILTERS] = 0.5 / POOLED
     return Network(embed, kernel, np.zeros((len(WIDTHS), FILTERS), np.float32), out, -2.0, np.zeros(1 + len(MARKS)))
 
 
@@ -131,8 +147,8 @@ def _pick(words: Words, rows: np.ndarray) -> Words:
     """The words of some rows, in ascending order of the rows."""
     rows = np.sort(rows)
     lo, hi = np.searchsorted(words.row, rows), np.searchsorted(words.row, rows, "right")
-    take = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)]) if len(rows) else np.zeros(0, np.int64)
-    return Words(words.ids[take], np.repeat(np.arange(len(rows)), hi - lo), len(rows), words.tongue[rows])
+    ids = np.concatenate([words.ids[a:b] for a, b in zip(lo, hi)]) if len(rows) else words.ids[:0]
+    return Words(ids, np.repeat(np.arange(len(rows), dtype=np.int32), hi - lo), len(rows), words.tongue[rows])
 
 
 def train(words: Words, label: np.ndarray, epochs: int = 6, rate: float = 0.05, seed: int = 7) -> Network:
@@ -151,25 +167,21 @@ def train(words: Words, label: np.ndarray, epochs: int = 6, rate: float = 0.05,
         for lot in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
             lot = np.sort(lot)
             part, y = _pick(words, lot), label[lot]
-            pool, x, every, full = net.pooled(part)
+            x = net.vectors(part)
+            pool, place = net.pooled(part, x)
             p = 1 / (1 + np.exp(-np.clip(pool @ net.out + net.out_bias, -30, 30)))
             g = (p - y) / len(lot)
-            down = g[:, None] * net.out * (pool > 0)
+            down = (g[:, None] * net.out * (place >= 0)).reshape(len(lot), POOLED, len(WIDTHS), FILTERS)
+            place = place.reshape(down.shape)
             d_out, d_b = pool.T @ g, g.sum()
-            d_embed, d_bias, seen = np.zeros((0, DIMS), np.float32), np.zeros_like(net.bias), []
-            parts = []
+            d_bias, seen, parts = np.zeros_like(net.bias), [], []
             for at, width in enumerate(WIDTHS):
                 d_kernel = np.zeros_like(net.kernel[at])
                 for f in range(FILTERS):
-                    c = at * FILTERS + f
-                    on = np.flatnonzero(down[:, c])
-                    if not len(on):
+                    on = place[:, :, at, f] >= 0
+                    if not on.any():
                         continue
-                    hit = np.flatnonzero(every[at][:, f] == pool[part.row, c])
-                    rows, first = np.unique(part.row[hit], return_index=True)
-                    place = np.zeros(part.rows, np.int64)
-                    place[rows] = hit[first]
-                    t, gd = place[on], down[on, c]
+                    t, gd = place[:, :, at, f][on], down[:, :, at, f][on]
                     d_bias[at, f] = gd.sum()
                     for j in range(width):
                         d_kernel[j, :, f] = gd @ x[t + j]
@@ -239,14 +251,22 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 2000, negatives: in
     sample = labelled_sample(docs, labels, positives, negatives)
     parts = [featurise(d, o) for _, _, d, o in text_slices(sample.column("text"))]
     label = sample.column("toxic").to_numpy().astype(np.int64)
+    del sample
     if not parts or label.min() == label.max():
         rng = np.random.default_rng(0)
         net = _start(Words(np.zeros((0, len(PREFIXES)), np.int32), np.zeros(0, np.int64), 1, np.zeros(1, np.int64)), np.zeros(1, np.int64), rng)
         net.embed[:], net.shift[:] = 0, 5.0
         return net
     base = np.cumsum([0] + [p.rows for p in parts])
-    words = Words(np.concatenate([p.ids for p in parts]), np.concatenate([p.row + b for p, b in zip(parts, base)]), int(base[-1]), np.concatenate([p.tongue for p in parts]))
-    return train(words, label)
+    row = np.concatenate([p.row + np.int32(b) for p, b in zip(parts, base)])
+    tongue = np.concatenate([p.tongue for p in parts])
+    ids = np.empty((len(row), len(PREFIXES)), np.int32)
+    at = 0
+    while parts:
+        part = parts.pop(0).ids
+        ids[at : at + len(part)] = part
+        at += len(part)
+    return train(Words(ids, row, int(base[-1]), tongue), label)
 
 
 def _scorer(shared, text: int, names: list[str]):

@@ -34,15 +34,18 @@ def risk_penalty(expected: Column, baseline: float = 0.02) -> Column:
 def asof_forward(events: DataFrame, bars: DataFrame, columns: tuple[str, ...] = ("date", "bar", "close")) -> DataFrame:
     """Each event (ticker, event_date, ...) with the first bar on or after its date, as bar_<column>; null without.
 
-    Events and bars are put in one series per ticker and read backwards once: no range join.
+    The distinct dates of a ticker's events, bounded by the calendar however many the events, and its
+    bars are read backwards once in one series; the events then join by ticker and date. No range
+    join, and a ticker with most of the events does not sort them in one task.
     """
-    keep = [c for c in events.columns if c not in ("ticker", "event_date")]
-    left = events.select("ticker", F.col("event_date").alias("_at"), F.struct(*keep).alias("_event"), F.lit(None).cast(bars.select(F.struct(*columns).alias("s")).schema["s"].dataType).alias("_bar"))
-    right = bars.select("ticker", F.col("date").alias("_at"), F.lit(None).cast(left.schema["_event"].dataType).alias("_event"), F.struct(*columns).alias("_bar"))
+    days = events.select("ticker", F.col("event_date").alias("_at")).distinct().withColumn("_day", F.lit(True))
+    right = bars.select("ticker", F.col("date").alias("_at"), F.struct(*columns).alias("_bar"))
+    both = days.unionByName(right, allowMissingColumns=True)
     # bars come first among equals when read backwards from the event
     order = Window.partitionBy("ticker").orderBy("_at", F.col("_bar").isNotNull().cast("int")).rowsBetween(0, Window.unboundedFollowing)
-    both = left.unionByName(right).withColumn("_next", F.first("_bar", ignorenulls=True).over(order)).where("_event is not null")
-    return both.select("ticker", F.col("_at").alias("event_date"), "_event.*", *(F.col(f"_next.{c}").alias(f"bar_{c}") for c in columns))
+    found = both.withColumn("_next", F.first("_bar", ignorenulls=True).over(order)).where("_day")
+    found = found.select("ticker", F.col("_at").alias("event_date"), *(F.col(f"_next.{c}").alias(f"bar_{c}") for c in columns))
+    return events.join(found, ["ticker", "event_date"], "left")
 
 
 def with_drift_window(bars: DataFrame, hold: int = 4) -> DataFrame:

@@ -27,12 +27,21 @@ def insider_summary(trades: DataFrame) -> DataFrame:
 
 
 def half_trend(rows: DataFrame) -> DataFrame:
-    """ticker, n, recent, earlier, trend: sums of `change` over the newer half of the rows (one at least) and the rest."""
-    by = Window.partitionBy("ticker")
-    place = F.row_number().over(by.orderBy(F.desc("date"), F.desc("ord")))
-    rows = rows.withColumns({"_p": place, "_n": F.count("*").over(by)})
-    new = F.col("_p") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 2))
-    out = rows.groupBy("ticker").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(new, F.col("change"))), F.lit(0.0)).alias("recent"), F.coalesce(F.sum(F.when(~new, F.col("change"))), F.lit(0.0)).alias("earlier"))
+    """ticker, n, recent, earlier, trend: sums of `change` over the newer half of the rows (one at least) and the rest.
+
+    Days are counted first; only the rows of the day on which the half ends are ranked, by ord.
+    """
+    days = rows.groupBy("ticker", "date").agg(F.count("*").alias("_n"), F.sum("change").alias("_sum"))
+    later = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumns({"_after": F.coalesce(F.sum("_n").over(later), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy("ticker"))})
+    days = days.withColumn("_left", F.greatest(F.lit(1), F.floor(F.col("_all") / 2)) - F.col("_after"))  # of the half, from this day on
+    cut = days.where("_left > 0 and _left < _n").select("ticker", "date", "_left")
+    place = F.row_number().over(Window.partitionBy("ticker", "date").orderBy(F.desc("ord")))
+    split = rows.join(cut, ["ticker", "date"]).withColumn("_new", place <= F.col("_left")).groupBy("ticker", "_new").agg(F.sum("change").alias("_sum"))
+    whole = days.where("not (_left > 0 and _left < _n)").select("ticker", (F.col("_left") > 0).alias("_new"), "_sum")
+    part = lambda test: F.coalesce(F.sum(F.when(test, F.col("_sum"))), F.lit(0.0))
+    sums = whole.unionByName(split).groupBy("ticker").agg(part(F.col("_new")).alias("recent"), part(~F.col("_new")).alias("earlier"))
+    out = days.groupBy("ticker").agg(F.sum("_n").alias("n")).join(sums, "ticker")
     return out.withColumn("trend", F.when(F.col("recent") > F.col("earlier"), "rising").when(F.col("recent") < F.col("earlier"), "falling").otherwise("flat"))
 
 

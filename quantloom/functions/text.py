@@ -11,6 +11,7 @@ RATINGS = ("buy", "overweight", "hold", "underweight", "sell")
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 #: Exchange suffixes with their market prefix and the width numeric codes are padded to.
 MARKETS = {".HK": ("HK.", 5), ".SS": ("SH.", 0), ".SZ": ("SZ.", 0), ".SI": ("SG.", 0), ".T": ("JP.", 0), ".AX": ("AU.", 0)}
+#: Coins and currencies that make pairs.
 CRYPTO = ("BTC", "ETH", "SOL", "XRP", "DOGE", "ADA", "LTC", "BNB")
 CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "NZD")
 

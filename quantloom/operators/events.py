@@ -143,9 +143,14 @@ def spread_band(value: Column, low: float, mid: float, high: float) -> Column:
     return F.when(value < low, 0).when(value < mid, 1).when(value <= high, 2).when(value.isNotNull(), 3)
 
 
+#: Bounds of the bands of high-yield (and BB) and of CCC spreads; names and scales by band.
+HY_BANDS, CCC_BANDS = (3.0, 4.5, 5.5), (8.0, 11.0, 15.0)
+LEVELS, SCALES = ("low", "moderate", "high", "severe"), (1.0, 0.85, 0.7, 0.5)
+
+
 def credit_stress(hy: Column, ccc: Column, bb: Column) -> dict[str, Column]:
     """The worst band of the spreads known: its level and scale."""
-    worst = F.greatest(spread_band(hy, 3.0, 4.5, 5.5), spread_band(ccc, 8.0, 11.0, 15.0), spread_band(bb, 3.0, 4.5, 5.5))
+    worst = F.greatest(spread_band(hy, *HY_BANDS), spread_band(ccc, *CCC_BANDS), spread_band(bb, *HY_BANDS))
 
     def pick(values: tuple, none) -> Column:
         out = F.when(worst == 0, values[0])
@@ -153,7 +158,7 @@ def credit_stress(hy: Column, ccc: Column, bb: Column) -> dict[str, Column]:
             out = out.when(worst == i, v)
         return out.otherwise(none)
 
-    return {"level": pick(("low", "moderate", "high", "severe"), "unknown"), "scale": pick((1.0, 0.85, 0.7, 0.5), 1.0)}
+    return {"level": pick(LEVELS, "unknown"), "scale": pick(SCALES, 1.0)}
 
 
 def regime_label(vol_pct: Column, trend: Column, chop: Column) -> Column:

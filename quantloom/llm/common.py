@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -15,10 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+#: Session settings that replace Spark's defaults (given first): whole texts are long, and batches of
+#: 10,000 rows or 64 MB take much memory outside the heap of executors and Python workers.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each application."""
+    """Send this package's code to the executors, once for each application, and cut Arrow batches of
+    the default sizes as BATCHES says."""
+    for key, (default, own) in BATCHES.items():
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, own)
     if (app := spark.sparkContext.applicationId) not in _shipped:
         top = Path(__file__).resolve().parents[2]
         target = Path(tempfile.mkdtemp(prefix="quantloom-")) / f"quantloom-{uuid.uuid4().hex}"
@@ -51,18 +60,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about `limit` bytes (one row at least).
 
     Yields (first row, last row + 1, bytes as uint8, offsets of the rows in them). Null is empty.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     n = len(column)
     if not n:
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     lo = 0
@@ -71,10 +82,21 @@ def text_slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, i
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    _give_back()
 
 
-def binary_column(chunks: list[bytes | None]) -> pa.Array:
-    return pa.array(chunks, pa.binary())
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda keep: 0
+
+
+def _give_back() -> None:
+    """Return freed memory to the machine: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def tokenizer_path(name: str) -> str:

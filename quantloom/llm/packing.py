@@ -28,7 +28,7 @@ CAPACITY, END = 1024, 2
 #: A rank is counted inside a salt of about so many pieces.
 SALT_ROWS = 4000
 #: Distinct pre-tokens whose ids a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 _PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -121,7 +121,7 @@ class Encoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def forget(self) -> None:
-        self.hashes, self.size, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.size, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +169,10 @@ class Encoder:
             end = np.append(start[1:], len(points))
             size, found = self._look_up([raw[a:b] for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist())])
             hashes = np.concatenate([self.hashes, unique[fresh]])
-            sizes = np.concatenate([self.size, size])
-            at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+            sizes = np.concatenate([self.size, size.astype(np.int32)])
+            at = np.concatenate([self.at, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
             self.ids = np.concatenate([self.ids, found])
-            order = np.argsort(hashes)
+            order = np.argsort(hashes, kind="stable")  # two sorted runs are merged
             self.hashes, self.size, self.at = hashes[order], sizes[order], at[order]
             known = np.searchsorted(self.hashes, unique)
         place = known[code]
@@ -362,7 +362,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(by_salt.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases")
     within = Window.partitionBy("length", "_salt").orderBy(*[c for c in ("doc_id", "piece") if c in pieces.columns] or ["_salt"])
-    ranked = pieces.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    # base grows with the pieces; the ranked rows are already partitioned and sorted by its keys
+    ranked = pieces.withColumn("_rank", F.row_number().over(within) - 1).join(base.hint("merge"), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     schema = "length long, _from long, _to long, _sequence long, _offset long, _each long"
     ranges = spark.createDataFrame(_ranges(plan(counts, capacity)), schema)  # bounded by capacity, see _ranges
     placed = ranked.join(F.broadcast(ranges), ["length"]).where("_rank >= _from and _rank < _to")

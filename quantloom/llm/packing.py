@@ -199,7 +199,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            for first, after, _, _ in text_slices(batch.column(1)):
+            for first, after, _, _ in text_slices(batch.column(1), 1 << 19):
                 part = batch.slice(first, after - first)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids, sizes = encoder.encode(texts)

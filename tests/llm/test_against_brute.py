@@ -336,6 +336,50 @@ def test_substring_against_naive(spark, sf):
     assert got == _naive_repeats(rows)
 
 
+def test_substring_extends_to_the_end_of_the_copy(spark):
+    rng = __import__("random").Random(7)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)) + "."
+    a, b, c = line(30), line(10), line(4)
+    texts = [(1, f"{a} {b}"), (2, f"{a} {b}"), (3, f"{line(3)} {c} {a} {b} {line(6)}"), (4, f"{line(7)} {c} {a}")]
+    got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["first_doc_id"]) for r in substring.whole_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {(2, 0, 2, 1), (3, 2, 2, 1), (4, 1, 2, 3)}
+
+
+def _naive_whole(rows):
+    """(doc_id, sentence) of every run that the first place of its seed shares, by words, run by run."""
+    import numpy as np
+
+    texts, first, hits = {}, {}, []
+    for doc_id, text in sorted((i, t) for i, t in rows if i is not None and t):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, start, end, _, _ = substring.sentences(data, np.array([0, len(data)]))
+        words = texts[doc_id] = [tuple(text.encode()[a:b].split()) for a, b in zip(start.tolist(), end.tolist())]
+        for i in range(len(words)):
+            for n in range(1, substring.SHORT + 2):
+                if i + n <= len(words) and sum(map(len, words[i : i + n])) >= (substring.LONG if n <= 2 else substring.SHORT):
+                    where = first.setdefault(tuple(words[i : i + n]), (doc_id, i))
+                    if where != (doc_id, i):
+                        hits.append((doc_id, i, *where))
+                    break
+    out = set()
+    for d, i, e, j in hits:
+        x, y = texts[d], texts[e]
+        a, b = 0, 0
+        while i + b < len(x) and j + b < len(y) and x[i + b] == y[j + b]:
+            b += 1
+        while i - a > 0 and j - a > 0 and x[i - a - 1] == y[j - a - 1]:
+            a += 1
+        out |= {(d, k) for k in range(i - a, i + b)}
+    return out
+
+
+def test_whole_repeats_against_naive(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+    got = {(r["doc_id"], j) for r in substring.whole_repeats(table).collect() for j in range(r["first_sentence"], r["first_sentence"] + r["n_sentences"])}
+    assert got >= _naive_repeats(rows) and got == _naive_whole(rows)
+
+
 def test_substring_none(none):
     assert substring.repeated_spans(none).count() == 0
 

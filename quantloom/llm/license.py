@@ -44,7 +44,8 @@ FREEDOM = {
 }
 
 _DELIMITERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_AFTER_TAG = re.compile(r"spdx-license-identifier\s*:\s*([^\n\r*/]{1,400})", re.IGNORECASE)
+#: The rest of the line is looked ahead at, so that a further tag on it is found too.
+_AFTER_TAG = re.compile(r"spdx-license-identifier\s*:\s*(?=([^\n\r*/]+))", re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -61,7 +62,7 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
     """Labels of an expression and its freedom: or takes the freest side, and the strictest; with
     an exception adds a little to what it stands on. None where the expression is not well formed."""
     output, waiting, operand = [], [], False
-    for token in _TOKEN.findall(expression.lower()):
+    for token in (m[0] for m in _TOKEN.finditer(expression.lower())):
         if token in _BINDS:
             if not operand:
                 return None
@@ -116,7 +117,7 @@ def _automaton():
 def scan(text: str, machine) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(_DELIMITERS).split()
     line = b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass")
-    base, places, found, freedom = set(), [], set(), []
+    base, places, found, freedom, tagged = set(), [], set(), [], False
     for end, phrase in machine.iter(line):
         if phrase in BASE:
             base.add(BASE[phrase])
@@ -124,10 +125,11 @@ def scan(text: str, machine) -> tuple:
         elif phrase in NOTICES:
             found.add(NOTICES[phrase])
         else:
-            for m in _AFTER_TAG.finditer(text):
-                if value := evaluate(m[1]):
-                    found |= value[0]
-                    freedom.append(value[1])
+            tagged = True
+    for m in _AFTER_TAG.finditer(text) if tagged else ():
+        if value := evaluate(m[1]):
+            found |= value[0]
+            freedom.append(value[1])
     every = base | found
     freedom += [FREEDOM.get(x, 0.5) for x in every if not freedom or x in base]
     score = min(freedom) if freedom else 0.0

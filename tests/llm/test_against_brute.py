@@ -265,6 +265,17 @@ def test_license_expressions_not_well_formed(expression):
     assert license.evaluate(expression) is None
 
 
+def test_license_reads_long_expressions_to_their_end(spark):
+    names = [f"LicenseRef-{i:04d}" for i in range(400)]
+    text = f"// SPDX-License-Identifier: {' AND '.join(names)} AND Apache-2.0\nMIT is named in prose."
+    frame = spark.createDataFrame([(1, text), (2, f"/* SPDX-License-Identifier: ({' OR '.join(names)}) AND GPL-2.0-only */")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in license.license_scan(frame).collect()}
+    own = [n.lower() for n in names]
+    both = license.scan(f"SPDX-License-Identifier: MIT {'prose ' * 100} SPDX-License-Identifier: GPL-2.0-only", license._automaton())
+    assert both[5] == "gpl,mit"
+    assert got == {1: (sorted([*own, "apache-2"]), 0.5), 2: (sorted([*own, "gpl"]), 0.3)}
+
+
 def test_toxicity(spark):
     dir_ = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{dir_}/documents.parquet"), spark.read.parquet(f"{dir_}/labels.parquet")

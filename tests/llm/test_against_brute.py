@@ -352,8 +352,10 @@ def test_substring_extends_to_the_end_of_the_copy(spark):
     line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)) + "."
     a, b, c = line(30), line(10), line(4)
     texts = [(1, f"{a} {b}"), (2, f"{a} {b}"), (3, f"{line(3)} {c} {a} {b} {line(6)}"), (4, f"{line(7)} {c} {a}")]
-    got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["first_doc_id"]) for r in substring.whole_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == {(2, 0, 2, 1), (3, 2, 2, 1), (4, 1, 2, 3)}
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r["doc_id"], r["first_doc_id"]) for r in substring.whole_repeats(frame).collect()} == {(2, 1), (3, 1), (4, 3)}
+    out = {r["doc_id"]: r["text"] for r in substring.substring_dedup(frame).collect()}
+    assert out[1] == texts[0][1] and out[2] == "" and [len(out[i].split()) for i in (3, 4)] == [3 + 4 + 6, 7]
 
 
 def _naive_whole(rows):
@@ -363,7 +365,7 @@ def _naive_whole(rows):
     texts, first, hits = {}, {}, []
     for doc_id, text in sorted((i, t) for i, t in rows if i is not None and t):
         data = np.frombuffer(text.encode(), np.uint8)
-        _, start, end, _, _ = substring.sentences(data, np.array([0, len(data)]))
+        _, start, end, *_ = substring.parts(data, np.array([0, len(data)]))
         words = texts[doc_id] = [tuple(text.encode()[a:b].split()) for a, b in zip(start.tolist(), end.tolist())]
         for i in range(len(words)):
             for n in range(1, substring.SHORT + 2):
@@ -381,6 +383,21 @@ def _naive_whole(rows):
         while i - a > 0 and j - a > 0 and x[i - a - 1] == y[j - a - 1]:
             a += 1
         out |= {(d, k) for k in range(i - a, i + b)}
+    return out, texts
+
+
+def _held_twice(texts, n):
+    """(doc_id, sentence) that runs of n words cover which stand in two places."""
+    flat = {d: [w for s in x for w in s] for d, x in texts.items()}
+    times = Counter(tuple(w[i : i + n]) for w in flat.values() for i in range(len(w) - n + 1))
+    out = set()
+    for d, w in flat.items():
+        covered = {j for i in range(len(w) - n + 1) if times[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        at = 0
+        for k, s in enumerate(texts[d]):
+            if covered.issuperset(range(at, at + len(s))):
+                out.add((d, k))
+            at += len(s)
     return out
 
 
@@ -388,7 +405,32 @@ def test_whole_repeats_against_naive(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"]) for r in table.collect()]
     got = {(r["doc_id"], j) for r in substring.whole_repeats(table).collect() for j in range(r["first_sentence"], r["first_sentence"] + r["n_sentences"])}
-    assert got >= _naive_repeats(rows) and got == _naive_whole(rows)
+    want, texts = _naive_whole(rows)
+    assert want <= got <= want | _held_twice(texts, substring.LONG)
+
+
+def test_passages_are_found_whatever_marks_and_lines_do(spark):
+    rng = __import__("random").Random(11)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        p = some(50 + i % 10)
+        q = list(p)
+        if i % 4 == 1:  # inner marks after words 18 and 40
+            p[17] = q[17] = f"{p[17]},"
+            p[39] = q[39] = f"{p[39]};"
+        if i % 4 == 2:  # wrapped at other line ends
+            p, q = ([w + ("\n" if j % n == n - 1 else "") for j, w in enumerate(p)] for n in (7, 11))
+        if i % 4 == 3:  # marks inside quotes
+            p = q = [w + ('."' if j % 6 == 5 else "") for j, w in enumerate(p)]
+        rows += [(2 * i + k, " ".join(some(rng.randint(3, 90)) + x + some(rng.randint(3, 90)))) for k, x in enumerate((p, q))]
+    got = substring.whole_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(2 * i + 1, 2 * i) for i in range(40)}
+    out = {r["doc_id"]: r["text"].split() for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(40):
+        before, after = rows[2 * i + 1][1].split(), out[2 * i + 1]
+        gone = set(before) - set(after)
+        assert gone and gone <= set(rows[2 * i][1].split()) and out[2 * i] == rows[2 * i][1].split()
 
 
 def test_substring_none(none):

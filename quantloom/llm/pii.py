@@ -26,8 +26,10 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Cheap tests that hold for every text with a match of either pattern of the kind.
+#: Cheap tests that hold for every text with a match of the wide pattern of the kind.
 HINT = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9]\x20?\.\x20?[0-9]", "card": r"[0-9][\x20.-]?[0-9]", "phone": r"[0-9][\x20)./-]{0,2}[0-9]"}
+#: The same for the base patterns; a base phone may have any number of marks between digits.
+BASE_HINT = HINT | {"phone": r"\+[0-9]"}
 
 #: Wider patterns that propose candidates.
 WIDE = {
@@ -89,7 +91,7 @@ def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end>>, by kind as listed, then start."""
 
     def of(k: int, kind: str) -> Column:
-        kept = F.filter(_positions(text, BASE[kind], HINT[kind]), lambda x: _holds(kind, x["m"]))
+        kept = F.filter(_positions(text, BASE[kind], BASE_HINT[kind]), lambda x: _holds(kind, x["m"]))
         return F.transform(kept, lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end")))
 
     return F.concat(*(of(k, kind) for k, kind in enumerate(KINDS)))

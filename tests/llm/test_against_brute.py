@@ -199,6 +199,13 @@ def test_pii_adds_and_redacts(spark):
     assert out[2].startswith("mail <email>, <phone>") and out[4] == "card <card>." and out[5] == "\U0001f600 <email> <ip>"
 
 
+def test_pii_finds_a_base_phone_of_distant_digits(spark):
+    text = "+1 - 2 - 3 - 4 - 5 - 6 - 7 - 8"
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert brute.pii(text) == ["phone:0:30"] and pii.digests(pii.find_pii(frame)).first()["n_phone"] == 1
+    assert pii.redact(frame).first()["text"] == "<phone>"
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     sizes, taken, most = Counter(), Counter(), Counter()

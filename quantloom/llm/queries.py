@@ -50,7 +50,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.whole_repeats(table(spark, sf_dir, "documents"))
+    return substring.removals(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {

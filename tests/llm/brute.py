@@ -157,3 +157,57 @@ def targets(sizes):
             open_.discard(s)
         left -= sum(2.0 * sizes[s] for s in over)
     return out
+
+
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def sentences(text):
+    """The sentences of a text, with the white space after each, by walking over its words."""
+    text = text.lstrip(SPACE)
+    pieces, start = [], 0
+    for m in re.finditer(r"[^ \t-\r]+[ \t-\r]*", text):
+        word = m[0].rstrip(SPACE)
+        blank = m[0][len(word) :]
+        if blank and (word.rstrip("\"'\u201d\u2019\u00bb)]}")[-1:] in (".", "!", "?") or blank.count("\n") > 1) or m.end() == len(text):
+            pieces.append(text[start : m.end()])
+            start = m.end()
+    out = []
+    for piece in pieces:
+        words = re.findall(r"[^ \t-\r]+[ \t-\r]*", piece)
+        if len(words) <= 40 or "\x01" in piece:
+            out.append(piece)
+            continue
+        own = ""
+        for w in words:
+            own += w
+            if hashlib.md5(w.rstrip(SPACE).encode()).hexdigest()[0] in "0123":
+                out.append(own)
+                own = ""
+        out += [own] if own else []
+    return out
+
+
+def without_repeats(rows):
+    """{doc_id: (sentences gone, words gone, rest)} of the documents that lose a stretch of runs of two
+    or more sentences, each run standing in an earlier document too, of 30 words or more."""
+    texts = {i: sentences(t) for i, t in rows if i is not None and t is not None}
+    whole = dict(rows)
+    norm = {i: [tuple(WORD.findall(x)) for x in s] for i, s in texts.items()}
+    first = {}
+    for i in sorted(norm):
+        for a, b in itertools.pairwise(norm[i]):
+            first.setdefault((a, b), i)
+    out = {}
+    for i, s in norm.items():
+        again = [a != b and first[a, b] != i for a, b in itertools.pairwise(s)]
+        covered = [(j < len(again) and again[j]) or (j > 0 and again[j - 1]) for j in range(len(s))]
+        gone = set()
+        for flag, group in itertools.groupby(range(len(s)), key=lambda j: covered[j]):
+            group = list(group)
+            if flag and sum(len(s[j]) for j in group) >= 30:
+                gone.update(group)
+        if gone:
+            lead = whole[i][: len(whole[i]) - len(whole[i].lstrip(SPACE))]
+            out[i] = (len(gone), sum(len(s[j]) for j in gone), lead + "".join(x for j, x in enumerate(texts[i]) if j not in gone))
+    return out

@@ -304,54 +304,21 @@ def test_toxicity_without_labels(docs, labels):
 
 def test_substring(spark):
     passage = "The quick brown fox jumps over the lazy dog today again. It then sleeps for a long while under the old tree. After that the story of the fox goes on and on for many further words."
-    texts = [(1, f"First alone here. {passage} End of one."), (2, f"Second starts. {passage} End of two."), (3, "Nothing is shared in this text. It stands alone."), (4, None), (5, f"{passage} {passage}"), (None, passage)]
-    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("run", F.lit(1))
-    got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["first_doc_id"]) for r in substring.repeated_spans(frame).collect()}
-    assert got == {(2, 1, 3, 1), (5, 0, 6, 1)}
+    texts = [(1, f"First alone here. {passage} End of one."), (2, f"  Second starts. {passage} End of two."), (3, "Nothing is shared in this text. It stands alone."), (4, None), (5, f"{passage} {passage}"), (None, passage), (6, ""), (7, " \n\n ")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"run": F.lit(1), "key": F.lit("k"), "place": F.lit(2)})
+    got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["n_words"], r["first_doc_id"]) for r in substring.repeated_spans(frame).collect()}
+    n = len(passage.split())
+    assert got == {(2, 1, 3, n, 1), (5, 0, 6, 2 * n, 1)}
     out = {r["doc_id"]: r["text"] for r in substring.substring_dedup(frame).collect()}
-    assert out[1] == texts[0][1] and out[2] == "Second starts. End of two." and out[5] == "" and out[3] == texts[2][1]
+    assert out == {**dict(texts), 2: "  Second starts. End of two.", 5: ""}
+    assert substring.substring_dedup(frame).columns == frame.columns
 
 
-def test_substring_finds_a_passage_inside_other_sentences(spark):
-    rng = __import__("random").Random(5)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    passage = ", ".join(" ".join(word() for _ in range(9)) for _ in range(6))
-    texts = [(i, f"{' '.join(word() for _ in range(8))} {passage} {' '.join(word() for _ in range(8))}.") for i in range(4)]
-    clean = [(9, " ".join(word() for _ in range(90)))]
-    got = substring.repeated_spans(spark.createDataFrame(texts + clean, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["first_doc_id"]) for r in got) == [(1, 0), (2, 0), (3, 0)]
-
-
-def _naive_repeats(rows):
-    """(doc_id, sentence) that a non-first run covers, by comparing the runs' words themselves."""
-    import numpy as np
-
-    first, places = {}, []
-    for doc_id, text in sorted((i, t) for i, t in rows if i is not None and t):
-        data = np.frombuffer(text.encode(), np.uint8)
-        _, start, end, count, _ = substring.sentences(data, np.array([0, len(data)]))
-        words = [tuple(text.encode()[a:b].split()) for a, b in zip(start.tolist(), end.tolist())]
-        for i in range(len(words)):
-            total = 0
-            for n in range(1, substring.SHORT + 2):
-                if i + n > len(words):
-                    break
-                total += int(count[i + n - 1])
-                if total >= (substring.LONG if n <= 2 else substring.SHORT):
-                    key = tuple(words[i : i + n])
-                    if key in first:
-                        places.append((doc_id, i, n))
-                    else:
-                        first[key] = (doc_id, i)
-                    break
-    return {(d, j) for d, i, n in places for j in range(i, i + n)}
-
-
-def test_substring_against_naive(spark, sf):
-    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
-    got = {(r["doc_id"], j) for r in substring.repeated_spans(table).collect() for j in range(r["first_sentence"], r["first_sentence"] + r["n_sentences"])}
-    assert got == _naive_repeats(rows)
+def test_substring_of_repeats_inside_one_document(spark):
+    passage = " ".join(f"word{i} of a sentence that says {i} again and again." for i in range(4))
+    frame = spark.createDataFrame([(1, f"{passage} Between. {passage}"), (1, f"{passage} Between. {passage}")], "doc_id long, text string")
+    assert substring.repeated_spans(frame).count() == 0
+    assert {(r["first_sentence"], r["n_sentences"]) for r in substring.repeated_spans(frame, within=True).collect()} == {(5, 4)}
 
 
 def test_substring_extends_to_the_end_of_the_copy(spark):
@@ -360,88 +327,55 @@ def test_substring_extends_to_the_end_of_the_copy(spark):
     a, b, c = line(30), line(10), line(4)
     texts = [(1, f"{a} {b}"), (2, f"{a} {b}"), (3, f"{line(3)} {c} {a} {b} {line(6)}"), (4, f"{line(7)} {c} {a}")]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
-    assert {(r["doc_id"], r["first_doc_id"]) for r in substring.whole_repeats(frame).collect()} == {(2, 1), (3, 1), (4, 3)}
+    assert {(r["doc_id"], r["first_doc_id"], r["n_words"]) for r in substring.removals(frame).collect()} == {(2, 1, 40), (3, 1, 40), (4, 3, 34)}
     out = {r["doc_id"]: r["text"] for r in substring.substring_dedup(frame).collect()}
     assert out[1] == texts[0][1] and out[2] == "" and [len(out[i].split()) for i in (3, 4)] == [3 + 4 + 6, 7]
 
 
-def _naive_whole(rows):
-    """(doc_id, sentence) of every run that the first place of its seed shares, by words, run by run."""
-    import numpy as np
-
-    texts, first, hits = {}, {}, []
-    for doc_id, text in sorted((i, t) for i, t in rows if i is not None and t):
-        data = np.frombuffer(text.encode(), np.uint8)
-        _, start, end, *_ = substring.parts(data, np.array([0, len(data)]))
-        words = texts[doc_id] = [tuple(text.encode()[a:b].split()) for a, b in zip(start.tolist(), end.tolist())]
-        for i in range(len(words)):
-            for n in range(1, substring.SHORT + 2):
-                if i + n <= len(words) and sum(map(len, words[i : i + n])) >= (substring.LONG if n <= 2 else substring.SHORT):
-                    where = first.setdefault(tuple(words[i : i + n]), (doc_id, i))
-                    if where != (doc_id, i):
-                        hits.append((doc_id, i, *where))
-                    break
-    out = set()
-    for d, i, e, j in hits:
-        x, y = texts[d], texts[e]
-        a, b = 0, 0
-        while i + b < len(x) and j + b < len(y) and x[i + b] == y[j + b]:
-            b += 1
-        while i - a > 0 and j - a > 0 and x[i - a - 1] == y[j - a - 1]:
-            a += 1
-        out |= {(d, k) for k in range(i - a, i + b)}
-    return out, texts
-
-
-def _held_twice(texts, n):
-    """(doc_id, sentence) that runs of n words cover which stand in two places."""
-    flat = {d: [w for s in x for w in s] for d, x in texts.items()}
-    times = Counter(tuple(w[i : i + n]) for w in flat.values() for i in range(len(w) - n + 1))
-    out = set()
-    for d, w in flat.items():
-        covered = {j for i in range(len(w) - n + 1) if times[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
-        at = 0
-        for k, s in enumerate(texts[d]):
-            if covered.issuperset(range(at, at + len(s))):
-                out.add((d, k))
-            at += len(s)
-    return out
-
-
-def test_whole_repeats_against_naive(spark, sf):
-    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    rows = [(r["doc_id"], r["text"]) for r in table.collect()]
-    got = {(r["doc_id"], j) for r in substring.whole_repeats(table).collect() for j in range(r["first_sentence"], r["first_sentence"] + r["n_sentences"])}
-    want, texts = _naive_whole(rows)
-    assert want <= got <= want | _held_twice(texts, substring.LONG)
+def test_substring_against_brute(spark, sf, docs):
+    """Every document's removed sentences, words and rest, on the small table and the edge rows."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text").where("doc_id > 1000").distinct())
+    want = brute.without_repeats([(r["doc_id"], r["text"]) for r in table.collect()])
+    got = {r["doc_id"]: (r["n_sentences"], r["n_words"], r["text"]) for r in substring.removals(table).collect()}
+    assert got == want and len(want) > 10
 
 
 def test_passages_are_found_whatever_marks_and_lines_do(spark):
     rng = __import__("random").Random(11)
     some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
     rows = []
-    for i in range(40):
-        p = some(50 + i % 10)
+    for i in range(60):
+        p = some(58 + i % 10)
         q = list(p)
-        if i % 4 == 1:  # inner marks after words 18 and 40
-            p[17] = q[17] = f"{p[17]},"
-            p[39] = q[39] = f"{p[39]};"
+        if i % 4 == 1:  # marks, some inside quotes
+            p = q = [w + ('."' if j % 9 == 8 else ".") if j % 9 == 8 or j % 13 == 3 else w for j, w in enumerate(p)]
         if i % 4 == 2:  # wrapped at other line ends
             p, q = ([w + ("\n" if j % n == n - 1 else "") for j, w in enumerate(p)] for n in (7, 11))
-        if i % 4 == 3:  # marks inside quotes
-            p = q = [w + ('."' if j % 6 == 5 else "") for j, w in enumerate(p)]
+        if i % 4 == 3:  # commas only
+            p = q = [w + ("," if j % 6 == 5 else "") for j, w in enumerate(p)]
         rows += [(2 * i + k, " ".join(some(rng.randint(3, 90)) + x + some(rng.randint(3, 90)))) for k, x in enumerate((p, q))]
-    got = substring.whole_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["first_doc_id"]) for r in got} == {(2 * i + 1, 2 * i) for i in range(40)}
-    out = {r["doc_id"]: r["text"].split() for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i in range(40):
-        before, after = rows[2 * i + 1][1].split(), out[2 * i + 1]
-        gone = set(before) - set(after)
-        assert gone and gone <= set(rows[2 * i][1].split()) and out[2 * i] == rows[2 * i][1].split()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["first_doc_id"]) for r in substring.removals(frame).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(60)} and len(got) >= 57
+    out = {r["doc_id"]: r["text"].split() for r in substring.substring_dedup(frame).collect()}
+    for i in range(60):
+        gone = set(rows[2 * i + 1][1].split()) - set(out[2 * i + 1])
+        assert gone <= set(rows[2 * i][1].split()) and out[2 * i] == rows[2 * i][1].split()
+
+
+def test_substring_reads_long_texts_whole(spark):
+    """A text of a megabyte without marks, and one of ten thousand short sentences with a copy at its end."""
+    passage = " ".join(f"p{i} sees q{i} here." for i in range(20))
+    long = " ".join(f"word{i % 977}{i % 13}" for i in range(120_000))
+    many = " ".join(f"a{i} b{i}." for i in range(10_000))
+    frame = spark.createDataFrame([(1, passage), (2, f"{many} {passage}"), (3, long), (4, f"x. {long}")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring.removals(frame).collect()}
+    assert set(got) == {2, 4} and got[2]["n_words"] == 80 and got[2]["text"] == f"{many} "
+    assert got[4]["n_words"] >= 119_950
 
 
 def test_substring_none(none):
-    assert substring.repeated_spans(none).count() == 0
+    assert substring.repeated_spans(none).count() == 0 and substring.substring_dedup(none).count() == 0
 
 
 def test_queries_are_registered():

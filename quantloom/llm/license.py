@@ -8,6 +8,8 @@ a shunting-yard parser.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -44,9 +46,9 @@ FREEDOM = {
 }
 
 _DELIMITERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: The rest of the line is looked ahead at, so that a further tag on it is found too.
-_AFTER_TAG = re.compile(r"spdx-license-identifier\s*:\s*(?=([^\n\r*/]+))", re.IGNORECASE)
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
+_TAG = re.compile(r"spdx-license-identifier\s*:[^\S\r\n]*", re.IGNORECASE | re.ASCII)
+#: Brackets, identifiers and operators, line ends, and what else is not blank.
+_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*|[\r\n]|[^\s]", re.ASCII)
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -60,8 +62,12 @@ def label_of(identifier: str) -> str:
 
 def evaluate(expression: str) -> tuple[set[str], float] | None:
     """Labels of an expression and its freedom: or takes the freest side, and the strictest; with
-    an exception adds a little to what it stands on. None where the expression is not well formed."""
-    output, waiting, operand = [], [], False
+    an exception adds a little to what it stands on. None where the expression is not well formed.
+
+    An expression ends where prose follows, and at a line end or another character outside brackets;
+    inside brackets these are passed over (comment marks before a further line).
+    """
+    output, waiting, operand, depth = [], [], False, 0
     for token in (m[0] for m in _TOKEN.finditer(expression.lower())):
         if token in _BINDS:
             if not operand:
@@ -74,12 +80,17 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
             if operand:
                 break
             waiting.append(token)
+            depth += 1
         elif token == ")":
             while waiting and waiting[-1] != "(":
                 output.append(waiting.pop())
             if not waiting or not operand:
                 return None
             waiting.pop()
+            depth -= 1
+        elif not ("a" <= token[0] <= "z" or "0" <= token[0] <= "9"):
+            if not depth:
+                break
         elif operand:
             break  # prose follows the expression
         else:
@@ -99,8 +110,10 @@ def evaluate(expression: str) -> tuple[set[str], float] | None:
         (right, b), (left, a) = stack.pop(), stack.pop()
         if item == "with":
             stack.append((left, min(1.0, a + 0.1)))
-        else:
-            stack.append((left | right, max(a, b) if item == "or" else min(a, b)))
+        else:  # the smaller set goes into the larger one
+            both, other = (left, right) if len(left) >= len(right) else (right, left)
+            both |= other
+            stack.append((both, max(a, b) if item == "or" else min(a, b)))
     return stack[0] if len(stack) == 1 else None
 
 
@@ -114,26 +127,35 @@ def _automaton():
     return machine
 
 
+def expressions(text: str) -> Iterator[str]:
+    """What follows each identifier tag, up to the next one: together no more than the text."""
+    tags = [m.span() for m in _TAG.finditer(text)]
+    for (_, start), (end, _) in zip(tags, [*tags[1:], (len(text), 0)]):
+        yield text[start:end]
+
+
 def scan(text: str, machine) -> tuple:
-    words = text.encode("utf-8", "surrogatepass").translate(_DELIMITERS).split()
-    line = b" ".join([b"", *words, b""]).decode("utf-8", "surrogatepass")
-    base, places, found, freedom, tagged = set(), [], set(), [], False
-    for end, phrase in machine.iter(line):
+    words = text.encode("utf-8", "surrogatepass").translate(_DELIMITERS).decode("utf-8", "surrogatepass").split(" ")
+    words = [w for w in words if w]
+    base, ends, found, freedom, tagged = set(), [], set(), [], False
+    for end, phrase in machine.iter(f" {' '.join(words)} "):
         if phrase in BASE:
             base.add(BASE[phrase])
-            places.append(line.count(" ", 0, end - len(phrase) - 1))
+            ends.append(end - len(phrase))  # where its first word starts
         elif phrase in NOTICES:
             found.add(NOTICES[phrase])
         else:
             tagged = True
-    for m in _AFTER_TAG.finditer(text) if tagged else ():
-        if value := evaluate(m[1]):
+    places = []
+    if ends:
+        starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=1))
+        places = [bisect.bisect_left(starts, at) for at in ends]
+    freedom = [FREEDOM.get(x, 0.5) for x in base | found]
+    for expression in expressions(text) if tagged else ():
+        if value := evaluate(expression):
             found |= value[0]
             freedom.append(value[1])
-    every = base | found
-    freedom += [FREEDOM.get(x, 0.5) for x in every if not freedom or x in base]
-    score = min(freedom) if freedom else 0.0
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(every)), score
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), min(freedom, default=0.0)
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -142,8 +164,10 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def license_scan(docs: DataFrame) -> DataFrame:
     """A row for every document: words, base places and labels, all labels, freedom of reuse.
 
-    score is the least freedom of the text's licences, 0 without any. Null texts are empty; a null
-    doc_id stays null; repeated rows are scanned each; extra columns are ignored.
+    score is the least freedom of the text's licences, 0 without any: those of phrases by their labels,
+    those of identifier tags by their whole expression. Null texts are empty; a null doc_id stays null;
+    repeated rows are scanned each; extra columns are ignored. Texts of any length are read whole, each
+    word and each expression once.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

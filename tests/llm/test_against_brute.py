@@ -283,6 +283,34 @@ def test_license_reads_long_expressions_to_their_end(spark):
     assert got == {1: (sorted([*own, "apache-2"]), 0.5), 2: (sorted([*own, "gpl"]), 0.3)}
 
 
+def test_license_scores_and_brackets_over_lines():
+    machine = license._automaton()
+    both = license.scan("Under the GNU General Public License. SPDX-License-Identifier: MIT", machine)
+    assert both[5:] == ("gpl,mit", 0.3)
+    lines = license.scan("// SPDX-License-Identifier: (MIT OR\n//   Apache-2.0)\n// GPL in prose", machine)
+    assert lines[5:] == ("apache-2,mit", 1.0)
+    assert license.scan("SPDX-License-Identifier: MIT\nOR GPL-2.0", machine)[5] == "mit"
+
+
+def test_license_is_linear_in_tags_and_places():
+    import time
+
+    machine = license._automaton()
+    began = time.perf_counter()
+    tags = license.scan("x SPDX-License-Identifier: MIT AND LicenseRef-a " * 20_000, machine)
+    assert tags[5] == "licenseref-a,mit"
+    text = "Under the MIT License or CC BY NC, " * 20_000
+    got = license.scan(text, machine)
+    assert got[:6] == (160_000, 40_000, 0, 159_997, "cc-by-nc,mit", "cc-by-nc,mit")
+    names = " OR ".join(f"LicenseRef-{i}" for i in range(20_000))
+    assert len(license.scan(f"SPDX-License-Identifier: {names}", machine)[5].split(",")) == 20_000
+    assert time.perf_counter() - began < 20
+
+
+def test_license_none(none):
+    assert license.license_scan(none).count() == 0
+
+
 def test_toxicity(spark):
     dir_ = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{dir_}/documents.parquet"), spark.read.parquet(f"{dir_}/labels.parquet")

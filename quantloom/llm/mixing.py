@@ -1,10 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every source's target is filled with whole documents. A document is expected in the mix
-target / size-of-source times; the whole part of that is certain copies, the rest is its inclusion
-odds in a sample of fixed size. Documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a uniform
-number hashed from the document, and taken in that order until the source's remaining words are
-full; one further document, the nearest in size to what is then missing, closes the gap.
+Every source's target is filled with whole documents. A document is expected in the mix c * w(size)
+times, at most `most` times: w falls slowly with the document's length (32 less the number of binary
+digits after the first), so that repeats go to shorter documents first, and c is the source's level at
+which the expected words are its target. The whole part of that is certain copies; the rest, p, is
+the document's inclusion odds in a sample, unlike for documents of unlike length. The source's documents
+are ranked in one order by (u / (1 - u)) / (p / (1 - p)), u a uniform number hashed from the document,
+and taken from its start. The size that is fixed is the source's remaining words, in which targets are set:
+the sample ends before the document that would exceed them, and what is then missing, less than that one
+document, is rounded by the one further document that comes nearest.
 
 The cut in a source's order is found by counts over digits of the rank, two rounds of at most 4,096
 buckets a source, so no task sorts a whole source.
@@ -53,9 +57,32 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return out.select("source", "source_size", target.alias("target"))
 
 
-def _uniform(*columns: str) -> Column:
-    """A number in (0, 1) hashed from the columns."""
-    return (F.shiftrightunsigned(F.xxhash64(*columns, F.lit(20260101)), 11) + 0.5) / float(1 << 53)
+def _uniform(*columns: str, seed: int) -> Column:
+    """A number in (0, 1) hashed from the columns: 52 bits of an MD5 sum."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns), F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+
+
+def weight(size: Column) -> Column:
+    """32 less the number of binary digits after the first, 1 at least; sizes are 1 or more."""
+    return F.greatest(F.lit(1), F.lit(33) - F.length(F.bin(size))).cast("long")
+
+
+def levels(classes: DataFrame, most: float) -> DataFrame:
+    """classes (_key, _w, _words, target) -> with _times: the expected copies of a class's documents.
+
+    A source's weights number 32 at most. Classes by falling weight: those before the cut get `most`,
+    the others c * weight, with c found directly from the words that are left.
+    """
+    by = Window.partitionBy("_key").orderBy(F.desc("_w"))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    after = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    full = F.coalesce(F.sum("_words").over(before), F.lit(0))
+    out = classes.withColumn("_c", (F.col("target") - most * full) / F.sum(F.col("_w") * F.col("_words")).over(after))
+    cut = F.min(F.when(F.col("_c") * F.col("_w") <= most, F.struct(F.lit(-1) * F.col("_w"), F.col("_c").alias("_c")))).over(Window.partitionBy("_key"))
+    out = out.withColumn("_cut", cut)
+    below = F.col("_cut").isNotNull() & (F.col("_w") <= -F.col("_cut").getField("col1"))
+    return out.withColumn("_times", F.when(below, F.least(F.lit(most), F.col("_cut._c") * F.col("_w"))).otherwise(F.lit(most))).drop("_cut", "_c")
 
 
 def _cut(rows: DataFrame, digit: str, keys: list[str], room: str) -> DataFrame:
@@ -67,22 +94,25 @@ def _cut(rows: DataFrame, digit: str, keys: list[str], room: str) -> DataFrame:
     return first.select(*keys, F.col("_first").getField(digit).alias(f"{digit}_cut"), F.col("_first.col2").alias(f"{digit}_before"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 20260101) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken of every row.
 
     Null texts have size 0 and are taken 0 times; null sources are one source, the last. The same
-    rows give the same mix. Repeated rows are ranked each. A source without words has target 0.
+    rows and seed give the same mix. Repeated rows are ranked each, and taken alike. A source without
+    words has target 0. Texts of any length are counted whole.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     sized = stored(sized, "sized")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_key")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stored(targets(sums, weights, share, most).select(key, "source_size", "target"), "targets")
-    rows = sized.withColumn("_key", key).join(goal, "_key")
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("_whole", F.floor(times + 1e-12).cast("long")).withColumn("_p", F.greatest(times - F.col("_whole"), F.lit(0.0)))
-    rows = rows.withColumn("_room", F.col("target") - F.col("_whole") * F.col("source_size"))
-    u, p = _uniform("doc_id", "size", "source"), F.col("_p")
+    keyed = sized.withColumn("_key", key).withColumn("_w", F.when(F.col("size") > 0, weight(F.col("size"))).otherwise(0))
+    classes = keyed.where("size > 0").groupBy("_key", "_w").agg(F.sum("size").alias("_words")).join(goal, "_key")
+    classes = levels(classes, most).withColumn("_whole", F.floor(F.col("_times") + 1e-12).cast("long"))
+    room = F.col("target") - F.sum(F.col("_whole") * F.col("_words")).over(Window.partitionBy("_key"))
+    classes = stored(classes.select("_key", "_w", "_whole", F.greatest(F.col("_times") - F.col("_whole"), F.lit(0.0)).alias("_p"), room.alias("_room")), "levels")
+    rows = keyed.join(goal, "_key").join(classes, ["_key", "_w"], "left").fillna(0, ["_whole", "_p", "_room"])
+    u, p = _uniform("doc_id", "size", "source", seed=seed), F.col("_p")
     odds = (u / (1 - u)) / (p / (1 - p))
     rows = rows.withColumn("_q", F.when(p > 0, odds)).withColumn("_v", F.col("_q") / (1 + F.col("_q")) * BUCKETS)
     rows = rows.withColumn("_d1", F.floor("_v")).withColumn("_d2", F.floor((F.col("_v") - F.col("_d1")) * BUCKETS))

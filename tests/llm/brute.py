@@ -211,3 +211,17 @@ def without_repeats(rows):
             lead = whole[i][: len(whole[i]) - len(whole[i].lstrip(SPACE))]
             out[i] = (len(gone), sum(len(s[j]) for j in gone), lead + "".join(x for j, x in enumerate(texts[i]) if j not in gone))
     return out
+
+
+def expected_copies(held, goals):
+    """{(source, size): copies} from {(source, size): documents}: level times weight, found by halving."""
+    out = {}
+    for source, goal in goals.items():
+        own = {n: k for (s, n), k in held.items() if s == source}
+        times = lambda c: {n: min(2.0, c * max(1, 32 - (n.bit_length() - 1))) for n in own}  # noqa: B023, E731
+        lo, hi = 0.0, 2.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(x * n * own[n] for n, x in times(mid).items()) < goal else (lo, mid)
+        out.update({(source, n): x for n, x in times(hi).items()})
+    return out

@@ -255,6 +255,23 @@ def test_mixing(docs, rows):
     assert again == {(r["doc_id"], r["size"], r["taken"]) for r in got}
 
 
+def test_mixing_takes_documents_as_often_as_expected(spark):
+    """Ninety sources with the same documents, each with other ranks: every length is taken as often as
+    its level says, in one order a source."""
+    lengths = [1 + 7 * (i % 50) ** 2 for i in range(150)]
+    rows = [(1000 * s + i, f"s{s:02}", "w " * n) for s in range(90) for i, n in enumerate(lengths)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(8)
+    taken = defaultdict(Counter)
+    for r in mixing.mix(frame).collect():
+        taken[int(r["source"][1:]) % 3][r["size"]] += r["copies"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    held = {(f"s{s:02}", n): k for s in range(90) for n, k in Counter(lengths).items()}
+    want = brute.expected_copies(held, brute.targets({f"s{s:02}": sum(lengths) for s in range(90)}))
+    off = [taken[s][n] / (30 * k) - want[f"s{s:02}", n] for s in range(3) for n, k in Counter(lengths).items()]
+    assert len({round(x, 6) for x in want.values()}) > 8
+    assert max(map(abs, off)) < 0.25 and sum(map(abs, off)) / len(off) < 0.05, (max(map(abs, off)), sum(map(abs, off)) / len(off))
+
+
 def test_mixing_none(none, docs):
     assert mixing.mix(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns

@@ -106,14 +106,15 @@ class Encoder:
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are its pre-tokens' ids in turn.
     Pre-tokens are found for many texts at once and told apart by 64-bit hashes of their bytes.
-    Strings of special tokens in a text are ordinary text.
+    Texts that hold the string of a special token are encoded by the tokenizer itself, which gives the
+    token's id for it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.newline,) = self._ids("\n")
         self.forget()
 
@@ -126,6 +127,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if odd:
+            whole = {i: np.array(self._ids(texts[i]), np.uint32) for i in odd}
+            ids, sizes = self.encode(["" if i in whole else t for i, t in enumerate(texts)])
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            parts = [whole.get(i, part) for i, part in enumerate(parts)]
+            return np.concatenate(parts).astype(np.uint32), np.array([len(x) for x in parts], np.int64)
         raw = "".join(texts)
         edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         return self._plain(raw, edges)

@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _shipped: set[str] = set()
 #: Session settings that replace Spark's defaults (given first): whole texts are long, and batches of
@@ -42,17 +43,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set in code.
 
-    A folder of our own is set only where the session names none, as in tests.
+    Only a local master may do without: it gets a folder of its own, as driver and tasks are one
+    machine. On a cluster a folder that is not shared would lose data, so there its lack is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quantloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (of a sample bounded in number) in the order of a hash of doc_id, while their text has `most` bytes."""
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = rows.withColumn("_upto", upto)
+    return sizes.where(F.coalesce(F.col("_upto"), F.lit(0)) <= most).drop("_upto")
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/quantloom/{what}-{uuid.uuid4().hex}"

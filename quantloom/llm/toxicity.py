@@ -1,9 +1,10 @@
 """Convolutional text classifier: hashed word embeddings, filters of several widths, max pooling.
 
-A word's vector is the sum of the embeddings of its hashed prefixes, so that inflected forms share
+A word's vector is the sum of the embeddings of the whole word and of its prefixes, all hashed, so that inflected forms share
 most of it and stems are told from inflected forms. Filters of one, two and three words slide over the
-whole text, the three largest responses of each are kept, and a logistic layer scores them. The network is trained in numpy on the driver, on
-at most `positives + negatives` labelled rows; it scores every row in Spark tasks.
+whole text, the largest response of each is kept (max pooling), and a logistic layer scores them. The
+network is trained in numpy on the driver, on at most `positives + negatives` labelled rows and
+`SAMPLE_BYTES` of their text; it scores every row in Spark tasks, whole texts of any length.
 
 Thresholds are calibrated by language. The language is told from the letters of the text itself;
 the lang column is never read. A score of 0.7 is the calibrated threshold of the text's language.
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import text_slices
+from .common import bounded, text_slices
 
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 18, 4, (1, 2, 3), 4
-#: Responses of a filter that are kept: its largest ones in the text.
-POOLED = 3
-PREFIXES = (3, 4, 5, 6, 8, 12)
+#: Bytes of a word's hashed prefixes; the last one is the whole word.
+PREFIXES = (4, 5, 6, 7, 8, 1 << 30)
 #: Letters that tell a text's language; a text with none of them falls in the first group.
-MARKS = {"de": "äöüß", "es": "ñóíáú¿¡", "fr": "çèêàâîùœé"}
+MARKS = {"de": "äöüß", "es": "ñóíáú", "fr": "çèêàâîùé"}
 THRESHOLD = 0.7
+#: Bound on the text of the labelled sample; a larger sample gives up its last rows.
+SAMPLE_BYTES = 64 << 20
 
 
 @dataclass
@@ -91,8 +93,8 @@ class Network:
         return r
 
     def pooled(self, words: Words, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(the largest responses of every filter in each text, 0 at least; the words they start at, or -1)."""
-        pool = np.zeros((words.rows, POOLED, len(WIDTHS), FILTERS), np.float32)
+        """(the largest response of every filter in each text, 0 at least; the words they start at, or -1)."""
+        pool = np.zeros((words.rows, len(WIDTHS), FILTERS), np.float32)
         place = np.full(pool.shape, -1, np.int64)
         held, first, count = np.unique(words.row, return_index=True, return_counts=True)
         if not len(held):
@@ -100,16 +102,13 @@ class Network:
         of = np.repeat(np.arange(len(held)), count)
         for at in range(len(WIDTHS)):
             r = self.responses(x, words.row, at)
-            for k in range(POOLED):
-                top = np.maximum.reduceat(r, first, axis=0)
-                for f in range(FILTERS):
-                    hit = np.flatnonzero((r[:, f] == top[of, f]) & (r[:, f] > 0))
-                    if not len(hit):
-                        continue
+            top = np.maximum.reduceat(r, first, axis=0)
+            for f in range(FILTERS):
+                hit = np.flatnonzero((r[:, f] == top[of, f]) & (r[:, f] > 0))
+                if len(hit):
                     hit = hit[np.append(True, of[hit][1:] != of[hit][:-1])]  # the first of a text's equals
                     rows = held[of[hit]]
-                    pool[rows, k, at, f], place[rows, k, at, f] = r[hit, f], hit
-                    r[hit, f] = -np.inf
+                    pool[rows, at, f], place[rows, at, f] = r[hit, f], hit
         return pool.reshape(words.rows, -1), place.reshape(words.rows, -1)
 
     def logits(self, words: Words) -> np.ndarray:
@@ -132,14 +131,14 @@ def _start(words: Words, label: np.ndarray, rng: np.random.Generator) -> Network
         bad += np.bincount(key[toxic], minlength=BUCKETS)
         good += np.bincount(key[~toxic], minlength=BUCKETS)
     odds = np.log((bad + 0.5) / (label.sum() + 1)) - np.log((good + 0.5) / ((1 - label).sum() + 1))
-    odds *= (bad + good) / (bad + good + 5.0)
+    odds *= (bad + good) / (bad + good + 20.0)
     embed = rng.normal(0, 0.01, (BUCKETS, DIMS)).astype(np.float32)
     embed[:, 0] = odds / len(PREFIXES)
     kernel = [rng.normal(0, 0.1, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for w, k in zip(WIDTHS, kernel):
         k[:, 0, 0] = 1.0 / w
-    out = np.full(POOLED * len(WIDTHS) * FILTERS, 0.05, np.float32)
-    out[::FILTERS] = 0.5 / POOLED
+    out = np.full(len(WIDTHS) * FILTERS, 0.05, np.float32)
+    out[::FILTERS] = 0.5
     return Network(embed, kernel, np.zeros((len(WIDTHS), FILTERS), np.float32), out, -2.0, np.zeros(1 + len(MARKS)))
 
 
@@ -171,17 +170,17 @@ def train(words: Words, label: np.ndarray, epochs: int = 6, rate: float = 0.05,
             pool, place = net.pooled(part, x)
             p = 1 / (1 + np.exp(-np.clip(pool @ net.out + net.out_bias, -30, 30)))
             g = (p - y) / len(lot)
-            down = (g[:, None] * net.out * (place >= 0)).reshape(len(lot), POOLED, len(WIDTHS), FILTERS)
+            down = (g[:, None] * net.out * (place >= 0)).reshape(len(lot), len(WIDTHS), FILTERS)
             place = place.reshape(down.shape)
             d_out, d_b = pool.T @ g, g.sum()
             d_bias, seen, parts = np.zeros_like(net.bias), [], []
             for at, width in enumerate(WIDTHS):
                 d_kernel = np.zeros_like(net.kernel[at])
                 for f in range(FILTERS):
-                    on = place[:, :, at, f] >= 0
+                    on = place[:, at, f] >= 0
                     if not on.any():
                         continue
-                    t, gd = place[:, :, at, f][on], down[:, :, at, f][on]
+                    t, gd = place[:, at, f][on], down[:, at, f][on]
                     d_bias[at, f] = gd.sum()
                     for j in range(width):
                         d_kernel[j, :, f] = gd @ x[t + j]
@@ -238,8 +237,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, positives: int, negative
     known = known.where(~_held_out()).withColumn("turn", F.xxhash64("doc_id"))
     few = known.where("toxic = 1").orderBy("turn").limit(positives).unionByName(known.where("toxic = 0").orderBy("turn").limit(negatives))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(few.select("doc_id", "toxic")), "doc_id")  # positives + negatives rows at most
-    return found.select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    found = texts.join(F.broadcast(few.select("doc_id", "toxic")), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))  # one row a label
+    return bounded(found, SAMPLE_BYTES).select("doc_id", "toxic", "text").toArrow().sort_by([("doc_id", "ascending")])
 
 
 def _held_out():

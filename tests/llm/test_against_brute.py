@@ -79,7 +79,6 @@ def test_packing(docs, rows):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     got = packing.pack_documents(docs, path).collect()
     pieces = defaultdict(list)
     for r in got:
@@ -116,7 +115,6 @@ def test_encoder_cuts_like_the_tokenizer():
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(1)
-    tokenizer.encode_special_tokens = True
     parts = ["'s", "'t", "'re", "'ll", "'", "''", " ", "  ", "\n", "\t", "a", "é", "Z", "7", "½", "!", "<|endoftext|>", "\u00a0", "\U0001f600", "s", "re", "l", "d", "ve", " '", "\u3000", "\x1c", "\x85", "\u2177", "\x00"]
     for _ in range(1500):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6))]
@@ -285,6 +283,40 @@ def test_quality(docs, rows, labels):
     assert quality.quality(docs, labels.limit(0)).where("kept").count() > 0
 
 
+def test_quality_on_held_out_rows_and_lines(spark):
+    """Rows outside the fitted sample, by their documents' labels; then lines, by what they are."""
+    import numpy as np
+
+    dir_ = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{dir_}/documents.parquet"), spark.read.parquet(f"{dir_}/labels.parquet")
+    known = labels.where("quality in (0, 1)")
+    fitted = known.orderBy(F.xxhash64("doc_id")).limit(2000)
+    chain = quality.fit(docs, fitted, 2000)
+    rest = known.join(fitted.select("doc_id"), "doc_id", "left_anti")
+    rows = quality.measure(docs.join(rest, "doc_id"), chain).join(rest, "doc_id").where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").collect()
+    kept = {y: np.mean([r["content_share"] >= chain.share for r in rows if r["quality"] == y] or [0]) for y in (0, 1)}
+    print({y: (sum(r["quality"] == y for r in rows), round(float(k), 4)) for y, k in kept.items()})
+    assert kept[1] >= 0.98 and kept[0] <= 0.05
+    good = ["The river runs past the old mill and the children come here in the evening to swim.", "Nobody remembers who built the bridge, but it has stood for two hundred years."]
+    bad = ["Home | About | Contact | Terms | Login | Share", "aa### bb$$$ cc%%% dd&&& ee*** ff$$$ gg%%%"]
+    text = "\n".join(good * 2 + bad * 4 + good).encode()
+    lines = quality.read_lines(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(lines.row) == 14 and not quality.viterbi(chain, lines)[4:12].any()
+
+
+def test_quality_labels_change_inside_sequences():
+    import numpy as np
+
+    texts = [f"own line {i} here\nshared line of all\nown again {i}\nown line {i} here" for i in range(4)]
+    data = "".join(texts).encode()
+    lines = quality.read_lines(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert quality.line_labels(lines, np.array([1, 1, 1, 0])).tolist() == [1, 0, 1, 0] * 3 + [0] * 4
+
+
+def test_quality_none(none, labels):
+    assert quality.quality(none, labels).count() == 0
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
@@ -373,6 +405,16 @@ def test_toxicity(spark):
     assert right >= 0.95, right
 
 
+def test_toxicity_recall_and_precision(spark):
+    dir_ = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{dir_}/documents.parquet"), spark.read.parquet(f"{dir_}/labels.parquet")
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    caught = sum(r["predicted"] and truth[r["doc_id"]] for r in held)
+    assert caught / sum(truth[r["doc_id"]] for r in held) >= 0.9
+    assert caught / sum(r["predicted"] for r in held) >= 0.9
+
+
 def test_toxicity_without_labels(docs, labels):
     assert toxicity.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.keep_clean(docs, labels).columns == docs.columns

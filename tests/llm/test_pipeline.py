@@ -101,7 +101,6 @@ def test_packing(steps):
 
     before, after = steps[4]
     tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for (doc_id, text), n in as_rows(before, "doc_id", "text").items():
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")

@@ -10,9 +10,11 @@ RATINGS = ("buy", "overweight", "hold", "underweight", "sell")
 #: Entities replaced after tags have gone; the ampersand last, so that nothing is unescaped twice.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 #: Exchange suffixes with their market prefix and the width numeric codes are padded to.
-MARKETS = {".HK": ("HK.", 5), ".SS": ("SH.", 0), ".SZ": ("SZ.", 0), ".SI": ("SG.", 0), ".T": ("JP.", 0), ".AX": ("AU.", 0)}
+MARKETS = {".HK": ("HK.", 5), ".T": ("JP.", 0), ".SS": ("SH.", 0), ".SZ": ("SZ.", 0), ".AX": ("AU.", 0), ".TO": ("CA.", 0), ".SI": ("SG.", 0), ".KL": ("MY.", 0)}
+#: Suffixes of exchanges without a market prefix.
+UNCOVERED = (".L", ".NS", ".BO")
 #: Coins and currencies that make pairs.
-CRYPTO = ("BTC", "ETH", "SOL", "XRP", "DOGE", "ADA", "LTC", "BNB")
+CRYPTO = ("BTC", "ETH", "SOL", "XRP", "ADA", "DOGE", "LTC", "BCH", "DOT", "AVAX", "LINK")
 CURRENCIES = ("USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "NZD")
 
 
@@ -78,7 +80,8 @@ def json_list(c: Column) -> Column:
 
 def crypto_base(symbol: Column) -> Column:
     """BTC of BTC-USD, BTCUSDT and the like; null for other symbols."""
-    base = F.regexp_extract(F.upper(F.trim(symbol)), r"^([A-Z]{2,5})-?(?:USDT|USDC|USD)$", 1)
+    compact = F.replace(F.rtrim(F.upper(F.trim(symbol)), F.lit("+")), F.lit("-"), F.lit(""))
+    base = F.regexp_extract(compact, r"^(.*?)(?:USDT|USDC|USD)$", 1)
     return F.when(base.isin(*CRYPTO), base)
 
 
@@ -91,13 +94,16 @@ def normalize_symbol(symbol: Column, aliases: dict[str, str] | None = None) -> C
 
 
 def market_code(symbol: Column) -> Column:
-    """Market-prefixed code of a symbol with an exchange suffix (US without one); null for indices."""
+    """Market-prefixed code of a symbol with an exchange suffix (US without one); null for indices and for
+    exchanges that no market covers."""
     s = F.upper(F.trim(symbol))
     out = F.when(s.startswith("^"), F.lit(None).cast("string")).when(crypto_base(s).isNotNull(), F.concat(F.lit("CC."), crypto_base(s), F.lit("USD")))
     for suffix, (prefix, width) in MARKETS.items():
         code = F.left(s, F.length(s) - len(suffix))
         padded = F.when(code.rlike("^[0-9]+$"), F.lpad(code.try_cast("long").cast("string"), width, "0")).otherwise(code) if width else code
         out = out.when(s.endswith(suffix), F.concat(F.lit(prefix), padded))
+    for suffix in UNCOVERED:
+        out = out.when(s.endswith(suffix), F.lit(None).cast("string"))
     return out.otherwise(F.concat(F.lit("US."), s))
 
 

@@ -194,6 +194,18 @@ def sheet_health(debt_to_equity: Column, current_ratio: Column) -> Column:
     return F.when(debt_to_equity.isNotNull() | current_ratio.isNotNull(), F.coalesce(debt_to_equity < 1, no) | F.coalesce(current_ratio > 1.5, no))
 
 
+def profitability(fcf: Column, fcf_yield: Column, roe: Column) -> Column:
+    """Free cash flow above 0 (its yield where it is not measured) and return on equity above 15 %, over what
+    is measured; null where nothing is."""
+    cash = F.coalesce(fcf > 0, fcf_yield > 0)
+    return F.when(cash.isNotNull() | roe.isNotNull(), F.coalesce(cash, F.lit(True)) & F.coalesce(roe > 0.15, F.lit(True)))
+
+
+def period_multiple(price: Column, per_share: Column) -> Column:
+    """Today's price over a period's value a share; null unless both are above 0."""
+    return F.when((price > 0) & (per_share > 0), price / per_share)
+
+
 def cost_of_goods(cogs: Column, cost_of_revenue: Column) -> Column:
     """A cost of 0 counts as missing."""
     return or_default(cogs, cost_of_revenue)

@@ -209,3 +209,24 @@ def contract_walk(levels: list[DataFrame], limits: tuple[int, ...] = (2, 3, 2, 2
 def trading_days(bars: DataFrame, start: str, end: str) -> DataFrame:
     """date, n_tickers of every session between two dates, both included."""
     return bars.where(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).groupBy("date").agg(F.count("*").alias("n_tickers"))
+
+
+def ipos(rows: DataFrame, status: str = "pending", limit: int = 10) -> DataFrame:
+    """The newest listings of a status, ties by ticker and ord: a partial top-k in every task, then one merge."""
+    return rows.where(F.col("status") == status).orderBy(F.desc("updated"), "ticker", "ord").limit(limit)
+
+
+def peers(rows: DataFrame, most: int = 24) -> DataFrame:
+    """ticker, peers: the first `most` peers by ord as one text; ord tells the rows of a ticker apart."""
+    first = rows.where("peer is not null and ord < " + str(int(most)))
+    held = F.sort_array(F.collect_list(F.struct("ord", "peer")))  # `most` rows a ticker
+    return first.groupBy("ticker").agg(F.array_join(F.transform(held, lambda x: x["peer"]), ", ").alias("peers"))
+
+
+def of_security(rows: DataFrame, code: str) -> DataFrame:
+    """Rows whose security names the code, in upper case."""
+    return rows.where(F.upper("security").contains(code.upper()))
+
+
+def net_of_cost(r: Column, bps: float = 10.0) -> Column:
+    return r - bps / 1e4

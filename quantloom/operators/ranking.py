@@ -30,12 +30,14 @@ def share_at_or_below(factors: DataFrame, keys: list[str], digits: int = 6) -> D
     """Add pct: the share of the factor's values that are not above this one (ties included).
 
     Factors number a few, so a window per factor would sort all rows in as many tasks. Instead the
-    distinct values, rounded to `digits`, are counted first and range-partitioned; running counts come
-    from each range's total, at most one row a range, so no task holds a whole factor.
+    distinct values, rounded to `digits`, are counted first and cut into ranges told from the value
+    alone: sign and magnitude in steps of 2**(1/256). Running counts come from each range's total, so
+    no task holds a whole factor, and nothing depends on how Spark deals or reuses rows.
     """
     rows = factors.withColumn("value", F.round("value", digits))
     counts = rows.groupBy(*keys, "factor", "value").agg(F.count("*").alias("_n"))
-    placed = counts.repartitionByRange(*keys, "factor", "value").withColumn("_part", F.spark_partition_id())
+    step = F.floor(F.log2(F.abs("value")) * 256) + (1 << 20)
+    placed = counts.withColumn("_part", F.when(F.col("value") > 0, step).when(F.col("value") < 0, -step).otherwise(F.lit(0)))
     inner = Window.partitionBy(*keys, "factor", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     parts = placed.groupBy(*keys, "factor", "_part").agg(F.sum("_n").alias("_size"))
     group = Window.partitionBy(*keys, "factor")

@@ -99,7 +99,7 @@ def swing_report(spark, sf):
 
 def _troughs(strict: bool, extra: str = "", source: str = "bars") -> str:
     right = "<" if strict else "<="
-    return f"""p AS (SELECT ticker, bar, low{extra} FROM (SELECT *, min(low) OVER ({S.W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS lo, min(low) OVER {S.ahead(1, 3)} AS hi, count(*) OVER {S.ahead(1, 3)} AS n FROM {source})
+    return f"""p AS MATERIALIZED (SELECT ticker, bar, low{extra} FROM (SELECT *, min(low) OVER ({S.W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS lo, min(low) OVER {S.ahead(1, 3)} AS hi, count(*) OVER {S.ahead(1, 3)} AS n FROM {source})
 WHERE bar > 3 AND n = 3 AND low < lo AND low {right} hi)"""
 
 
@@ -109,8 +109,11 @@ def pivots(spark, sf):
 
 
 def _last_two(window: int, alias: str, base: str = "steps") -> str:
-    """For each bar, its last two troughs inside the window, by a plain range join."""
-    return f"""{alias} AS (SELECT b.ticker AS t, b.bar AS at, list(p ORDER BY p.bar DESC) AS ps FROM {base} b JOIN p ON p.ticker = b.ticker AND p.bar <= b.bar - 3 AND p.bar >= greatest(b.bar - {window} + 1, 1) + 3 GROUP BY 1, 2)"""
+    """For each bar, its last two troughs inside the window, latest first: the last one by a frame of bars,
+    the one before it by the troughs' own order."""
+    return f"""{alias}_at AS MATERIALIZED (SELECT ticker, bar, max(pb) OVER (PARTITION BY ticker ORDER BY bar ROWS BETWEEN {window - 4} PRECEDING AND 3 PRECEDING) AS pb FROM (SELECT b.ticker, b.bar, p.bar AS pb FROM {base} b LEFT JOIN p ON p.ticker = b.ticker AND p.bar = b.bar)),
+{alias}_pair AS MATERIALIZED (SELECT ticker, bar, one, lag(one) OVER (PARTITION BY ticker ORDER BY bar) AS two FROM (SELECT ticker, bar, p AS one FROM p)),
+{alias} AS MATERIALIZED (SELECT a.ticker AS t, a.bar AS at, CASE WHEN two.bar >= greatest(a.bar - {window} + 1, 1) + 3 THEN [one, two] ELSE [one] END AS ps FROM {alias}_at a JOIN {alias}_pair q ON q.ticker = a.ticker AND q.bar = a.pb)"""
 
 
 @query(
@@ -286,7 +289,7 @@ def sector_standing_fuzzy(spark, sf):
     S.with_(
         S.STEPS,
         S.decayed("steps", "v", "0.06 * log_return * log_return", 0.94, "var"),
-        f"""o1 AS (SELECT *, sqrt(avg(log_return * log_return) OVER {S.over(21)}) AS now, CASE WHEN bar > 252 THEN sqrt(avg(log_return * log_return) OVER {S.over(252)}) END AS al, sum(close) OVER ({S.W} ROWS UNBOUNDED PRECEDING) AS cum,
+        f"""o1 AS MATERIALIZED (SELECT *, sqrt(avg(log_return * log_return) OVER {S.over(21)}) AS now, CASE WHEN bar > 252 THEN sqrt(avg(log_return * log_return) OVER {S.over(252)}) END AS al, sum(close) OVER ({S.W} ROWS UNBOUNDED PRECEDING) AS cum,
         CASE WHEN bar >= 6 AND var > 0 THEN least(3, 0.15e0 / sqrt(var * 252)) ELSE 0 END AS vs FROM v)""",
         "o2 AS (SELECT a.*, CAST(least(200, floor(a.bar / 2)) AS INT) AS half FROM o1 a WHERE a.bar >= 60)",
         "o3 AS (SELECT o2.*, (o2.cum - p.cum) / half AS mean FROM o2 JOIN o1 p ON p.ticker = o2.ticker AND p.bar = o2.bar - half)",

@@ -64,9 +64,9 @@ def macro_imminence(spark, sf):
     return ev.macro_imminence(_calendar(spark, sf), DAYS)
 
 
-@query(S.with_(S.OUTCOMES, _DAYS, "f AS (SELECT trade_date, date_diff('day', trade_date, date) AS d, max(confidence) AS p FROM outcomes, td WHERE date_diff('day', trade_date, date) BETWEEN 0 AND 14 AND ord % 5 = 0 GROUP BY 1, 2)", "SELECT trade_date, CAST(min(d) AS INT) AS days_until, arg_min(p, d) AS modal_prob FROM f GROUP BY 1"))
+@query(S.with_(S.OUTCOMES, _DAYS, "f AS (SELECT trade_date, date_diff('day', trade_date, date) AS d, max(confidence) AS p FROM outcomes, td WHERE date_diff('day', trade_date, date) BETWEEN 0 AND 14 GROUP BY 1, 2)", "SELECT trade_date, CAST(min(d) AS INT) AS days_until, arg_min(p, d) AS modal_prob FROM f GROUP BY 1"))
 def fed_modal(spark, sf):
-    rows = wh.outcomes(spark, sf).where("ord % 5 = 0").select(F.col("date").alias("meeting_date"), F.col("confidence").alias("probability"))
+    rows = wh.outcomes(spark, sf).select(F.col("date").alias("meeting_date"), F.col("confidence").alias("probability"))
     return ev.fed_imminence(rows, DAYS)
 
 
@@ -214,15 +214,18 @@ def strip_html(spark, sf):
     return wh.table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("visible"))
 
 
-_SYM = "CASE c_custkey % 8 WHEN 0 THEN 'btc-usd' WHEN 1 THEN 'ETHUSDT' WHEN 2 THEN 'eurusd' WHEN 3 THEN 'XAUUSD+' WHEN 4 THEN '700.hk' WHEN 5 THEN '^GSPC' WHEN 6 THEN 'brk.b ' ELSE '7203.T' END"
+#: symbol, what it is on the price feed, its market code (none for indices and exchanges not covered), safe in a path
+SYMBOLS = [
+    ("btc-usd", "BTC-USD", "CC.BTCUSD", True), ("ETHUSDT", "ETH-USD", "CC.ETHUSD", True), ("eurusd", "EURUSD=X", "US.EURUSD", True), ("XAUUSD+", "GC=F", "US.XAUUSD+", True), ("700.hk", "700.HK", "HK.00700", True), ("^GSPC", "^GSPC", None, True), ("brk.b ", "BRK.B", "US.BRK.B", False),
+    ("7203.T", "7203.T", "JP.7203", True), ("AZN.L", "AZN.L", None, True), ("ry.to", "RY.TO", "CA.RY", True), ("1155.KL", "1155.KL", "MY.1155", True), ("BCH-USD", "BCH-USD", "CC.BCHUSD", True), ("LINKUSDT", "LINK-USD", "CC.LINKUSD", True), ("DOT-USDC", "DOT-USD", "CC.DOTUSD", True), ("AVAXUSD+", "AVAX-USD", "CC.AVAXUSD", True),
+    ("TCS.NS", "TCS.NS", None, True), ("500325.BO", "500325.BO", None, True), ("D05.SI", "D05.SI", "SG.D05", True), ("600519.SS", "600519.SS", "SH.600519", True), ("000001.SZ", "000001.SZ", "SZ.000001", True), ("bhp.ax", "BHP.AX", "AU.BHP", True), ("..", "..", "US...", False), ("a/b", "A/B", "US.A/B", False),
+]
+_PICK = lambda i: "CASE c_custkey % " + str(len(SYMBOLS)) + "".join(f" WHEN {n} THEN " + ("NULL" if row[i] is None else str(row[i]).lower() if isinstance(row[i], bool) else f"'{row[i]}'") for n, row in enumerate(SYMBOLS)) + " END"
 
 
-@query(
-    "SELECT c_custkey AS k, CASE c_custkey % 8 WHEN 0 THEN 'BTC-USD' WHEN 1 THEN 'ETH-USD' WHEN 2 THEN 'EURUSD=X' WHEN 3 THEN 'GC=F' WHEN 4 THEN '700.HK' WHEN 5 THEN '^GSPC' WHEN 6 THEN 'BRK.B' ELSE '7203.T' END AS symbol, "
-    "CASE c_custkey % 8 WHEN 0 THEN 'CC.BTCUSD' WHEN 1 THEN 'CC.ETHUSD' WHEN 2 THEN 'US.EURUSD' WHEN 3 THEN 'US.XAUUSD+' WHEN 4 THEN 'HK.00700' WHEN 5 THEN NULL WHEN 6 THEN 'US.BRK.B' ELSE 'JP.7203' END AS code, c_custkey % 8 <> 6 AS safe FROM customer"
-)
+@query(f"SELECT c_custkey AS k, {_PICK(1)} AS symbol, {_PICK(2)} AS code, {_PICK(3)} AS safe FROM customer")
 def symbol_rules(spark, sf):
-    s = F.expr(_SYM)
+    s = F.expr(_PICK(0))
     return wh.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), text.normalize_symbol(s, {"XAUUSD": "GC=F"}).alias("symbol"), text.market_code(s).alias("code"), text.safe_path_part(s).alias("safe"))
 
 
@@ -348,10 +351,10 @@ def statement_growth(spark, sf):
 
 
 @query(
-    "WITH t AS (SELECT split_part(text, ' ', 1) AS title, doc_id % 7 AS query_ord, doc_id AS pos, source FROM documents WHERE text IS NOT NULL), f AS (SELECT title, arg_min({'q': query_ord, 'p': pos, 's': source}, {'q': query_ord, 'p': pos}) AS b FROM t GROUP BY 1) SELECT title, b.q AS query_ord, b.p AS pos, b.s AS source FROM f ORDER BY b.q, b.p LIMIT 40"
+    "WITH t AS (SELECT split_part(text, chr(10), 1) AS title, doc_id % 7 AS query_ord, doc_id AS pos, source FROM documents WHERE text IS NOT NULL), f AS (SELECT title, arg_min({'q': query_ord, 'p': pos, 's': source}, {'q': query_ord, 'p': pos}) AS b FROM t GROUP BY 1) SELECT title, b.q AS query_ord, b.p AS pos, b.s AS source FROM f ORDER BY b.q, b.p LIMIT 40"
 )
 def title_dedup(spark, sf):
-    news = wh.table(spark, sf, "documents").where("text is not null").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("title"), (F.col("doc_id") % 7).alias("query_ord"), F.col("doc_id").alias("pos"), "source")
+    news = wh.table(spark, sf, "documents").where("text is not null").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), (F.col("doc_id") % 7).alias("query_ord"), F.col("doc_id").alias("pos"), "source")
     return mk.title_dedup(news, 40)
 
 
@@ -385,7 +388,7 @@ def frames(spark, sf):
 
 def _drained(spark, sf, name: str, step):
     """Run `step` over a file stream of the frames until it is drained, and read back what it wrote."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or _folder()).rstrip('/')}/noi-{name}-{uuid.uuid4().hex}"
+    root = f"{wh.shared_dir(spark)}/noi-{name}-{uuid.uuid4().hex}"
     frames(spark, sf).repartition(4).write.text(f"{root}/in")
     events = noi.parse_frames(spark.readStream.schema("value string").text(f"{root}/in"))
     out = step(events)
@@ -394,12 +397,6 @@ def _drained(spark, sf, name: str, step):
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
-def _folder() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="quantloom-")
-
-
 _EV = f"ev AS (SELECT 'T' || user_id % 40 AS ticker, ts, {_AUCTION} AS auction, round(value * 100) AS imbalance, value AS clearing_price FROM events WHERE event_type <> 'error')"
 
 
@@ -421,12 +418,5 @@ def noi_dedup(spark, sf):
 
 @query(f"WITH {_EV} SELECT ticker, least(count(*), 5) AS n FROM ev GROUP BY 1")
 def noi_cap(spark, sf):
-    """The state counters need the RocksDB state store for as long as this query runs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = _drained(spark, sf, "cap", lambda e: noi.capped(e.select("ticker", "timestamp_ns", "imbalance"), 5))
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    out = _drained(spark, sf, "cap", lambda e: noi.capped(e.select("ticker", "timestamp_ns", "imbalance"), 5))
     return out.groupBy("ticker").agg(F.count("*").alias("n"))

@@ -13,13 +13,13 @@ walk AS (SELECT ticker, date, volume, CAST(row_number() OVER w AS INT) AS bar,
   FROM daily WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 opened AS (SELECT *, floor(coalesce(lag(close) OVER (PARTITION BY ticker ORDER BY date), 100e0) * (1 + 0.1e0 * (tax - 0.04e0)) * 1e4 + 0.5e0) / 1e4 AS open FROM walk),
 edged AS (SELECT ticker, date, bar, open, floor(greatest(open, close) * (1 + 0.1e0 * tax) * 1e4 + 0.5e0) / 1e4 AS high, floor(least(open, close) * (1 - 0.1e0 * tax) * 1e4 + 0.5e0) / 1e4 AS low, close, volume FROM opened),
-bars AS (SELECT *, floor((high + low + close) / 3 * 1e4 + 0.5e0) / 1e4 AS vwap FROM edged)"""
+bars AS MATERIALIZED (SELECT *, floor((high + low + close) / 3 * 1e4 + 0.5e0) / 1e4 AS vwap FROM edged)"""
 
 STEPS = (
     BARS
     + """,
-lagged AS (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev_close FROM bars),
-steps AS (SELECT *, close - prev_close AS change, close / prev_close - 1 AS ret, ln(close / prev_close) AS log_return,
+lagged AS MATERIALIZED (SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev_close FROM bars),
+steps AS MATERIALIZED (SELECT *, close - prev_close AS change, close / prev_close - 1 AS ret, ln(close / prev_close) AS log_return,
   CASE WHEN prev_close IS NOT NULL THEN greatest(high - low, abs(high - prev_close), abs(low - prev_close)) END AS true_range FROM lagged)"""
 )
 
@@ -91,14 +91,14 @@ def rsi(n: int = 14) -> str:
 
 def decayed(source: str, target: str, term: str, q: float, name: str) -> str:
     """A table with the decayed sum of a term, by one prefix sum of the whole series."""
-    return f"{target} AS (SELECT *, sum(coalesce({term}, 0) * pow({q!r}, 1 - bar)) OVER ({W} ROWS UNBOUNDED PRECEDING) * pow({q!r}, bar - 1) AS {name} FROM {source})"
+    return f"{target} AS MATERIALIZED (SELECT *, sum(coalesce({term}, 0) * pow({q!r}, 1 - bar)) OVER ({W} ROWS UNBOUNDED PRECEDING) * pow({q!r}, bar - 1) AS {name} FROM {source})"
 
 
 def ema(source: str, target: str, c: str, n: int, name: str, first: int = 1) -> str:
     k, seed = 2.0 / (n + 1), first + n - 1
     inner = f"(SELECT *, avg({c}) OVER {over(n)} AS seed_{name} FROM {source})"
     term = f"CASE WHEN bar > {seed} THEN {k!r} * {c} WHEN bar = {seed} THEN seed_{name} END"
-    return decayed(inner, f"{target}_raw", term, 1 - k, f"raw_{name}") + f",\n{target} AS (SELECT * EXCLUDE (seed_{name}, raw_{name}), CASE WHEN bar >= {seed} THEN raw_{name} END AS {name} FROM {target}_raw)"
+    return decayed(inner, f"{target}_raw", term, 1 - k, f"raw_{name}") + f",\n{target} AS MATERIALIZED (SELECT * EXCLUDE (seed_{name}, raw_{name}), CASE WHEN bar >= {seed} THEN raw_{name} END AS {name} FROM {target}_raw)"
 
 
 def with_(*parts: str) -> str:

@@ -395,14 +395,14 @@ def journal_stats(spark, sf):
 @query(
     S.with_(
         S.BARS, S.BENCH, S.OUTCOMES,
-        "dec AS (SELECT ord, ticker, date FROM outcomes WHERE ord % 10 = 0)",
-        "ent AS (SELECT d.ord, d.ticker, d.date, min(b.bar) AS eb FROM dec d LEFT JOIN bars b ON b.ticker = d.ticker AND b.date >= d.date GROUP BY 1, 2, 3)",
+        "dec AS (SELECT ord, ticker, date FROM outcomes)",
+        "ent AS (SELECT d.ord, d.ticker, d.date, b.bar AS eb FROM dec d ASOF LEFT JOIN bars b ON b.ticker = d.ticker AND d.date <= b.date)",
         "mx AS (SELECT ticker, max(bar) AS mb FROM bars GROUP BY 1)",
         "SELECT e.ord, e.ticker, e.date, i.date AS entry_date, CASE WHEN o.bar > i.bar THEN CAST(o.bar - i.bar AS BIGINT) END AS held, round(CASE WHEN o.bar > i.bar THEN o.close / i.close - 1 END, 6) + 0e0 AS raw, round(CASE WHEN o.bar > i.bar THEN o.close / i.close - 1 END - (k1.close / k0.close - 1), 6) + 0e0 AS alpha FROM ent e LEFT JOIN mx ON mx.ticker = e.ticker LEFT JOIN bars i ON i.ticker = e.ticker AND i.bar = e.eb LEFT JOIN bars o ON o.ticker = e.ticker AND o.bar = least(e.eb + 5, mx.mb) LEFT JOIN bench k0 ON k0.date = i.date LEFT JOIN bench k1 ON k1.date = o.date",
     )
 )
 def pending_outcome_resolution(spark, sf):
-    pending = wh.outcomes(spark, sf).where("ord % 10 = 0").select("ticker", "date", "ord")
+    pending = wh.outcomes(spark, sf).select("ticker", "date", "ord")
     out = lg.resolve_pending(pending, wh.bars(spark, sf), wh.benchmark(spark, sf))
     return rounded(out.select("ord", "ticker", "date", "entry_date", "held", "raw", "alpha"), "raw", "alpha", digits=6)
 

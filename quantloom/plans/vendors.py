@@ -131,13 +131,13 @@ def macro_backdrop(spark, sf):
 @query(
     S.with_(
         S.BARS, _O,
-        "p AS (SELECT ticker % 10 AS ticker, ord % 4 AS period, date, arg_min(o_totalprice, ord) AS a, min(ord) AS m FROM o WHERE ord % 3 <> 0 GROUP BY 1, 2, 3)",
+        "p AS (SELECT ticker % 10 AS ticker, ord % 4 AS period, date, arg_min(o_totalprice, ord) AS a, min(ord) AS m FROM o GROUP BY 1, 2, 3)",
         f"m AS (SELECT ticker, date, close / lag(close) OVER ({S.W}) - 1 AS mv FROM bars)",
         "SELECT p.ticker, p.period, p.date, round(CASE WHEN m % 100 <> 0 THEN (a - m % 100) / (m % 100) * 100 END, 4) + 0e0 AS surprise_pct, round(mv, 6) + 0e0 AS day_move FROM p LEFT JOIN m ON m.ticker = p.ticker AND m.date = p.date",
     )
 )
 def surprise_history(spark, sf):
-    o = _orders(spark, sf).where("ord % 3 <> 0")
+    o = _orders(spark, sf)
     prints = o.select((F.col("ticker") % 10).alias("ticker"), (F.col("ord") % 4).alias("period"), "date", "ord", F.col("o_totalprice").alias("eps_actual"), (F.col("ord") % 100).cast("double").alias("eps_estimate"))
     out = mk.surprise_history(prints, wh.bars(spark, sf))
     return out.select("ticker", "period", "date", r("surprise_pct", 4).alias("surprise_pct"), r("day_move", 6).alias("day_move"))
@@ -213,10 +213,10 @@ def config_gate(spark, sf):
 _WHY = "list_filter([CASE WHEN ord % 2 = 0 THEN 'size' END, CASE WHEN ord % 3 = 0 THEN 'cvar' END], lambda x: x IS NOT NULL)"
 
 
-@query(S.with_(_O, f"a AS (SELECT ord, unnest({_WHY}) AS reason FROM o WHERE ord >= 5)", "SELECT reason, min(ord) AS first_ord FROM a GROUP BY 1"))
+@query(S.with_(_O, f"a AS (SELECT ord, unnest({_WHY}) AS reason FROM o)", "SELECT reason, min(ord) AS first_ord FROM a GROUP BY 1"))
 def audit_reasons(spark, sf):
     o = F.col("ord")
-    entries = _orders(spark, sf).where("ord >= 5").select("ord", F.lit("REJECT").alias("verdict"), F.array_compact(F.array(F.when(o % 2 == 0, F.lit("size")), F.when(o % 3 == 0, F.lit("cvar")))).alias("reasons"))
+    entries = _orders(spark, sf).select("ord", F.lit("REJECT").alias("verdict"), F.array_compact(F.array(F.when(o % 2 == 0, F.lit("size")), F.when(o % 3 == 0, F.lit("cvar")))).alias("reasons"))
     return lg.audit_summary(entries)[1]
 
 

@@ -66,7 +66,7 @@ def decision_log(spark: SparkSession, path: str) -> DataFrame:
     [date | ticker | rating | raw | alpha | Nd], or [date | ticker | rating | pending]."""
     blocks = spark.read.option("lineSep", "<!-- ENTRY_END -->").text(path)
     tag = F.regexp_extract("value", r"(?m)^\[([^\]\n]*)\]", 1)
-    parts = F.transform(F.split(tag, r"\s*\|\s*"), F.trim)
+    parts = F.transform(F.split(tag, r"\s*\|\s*"), lambda p: F.trim(p))
     rows = blocks.select("value", parts.alias("p")).where("size(p) >= 4")
     pct = lambda i: F.regexp_replace(F.try_element_at("p", F.lit(i)), "%$", "").try_cast("double") / 100
     section = lambda name: F.trim(F.regexp_extract("value", rf"(?s){name}:\s*\n?(.*?)(?:\n[A-Z]+:|$)", 1))

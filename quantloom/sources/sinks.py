@@ -28,9 +28,22 @@ def with_outcomes(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def replace_table(rows: DataFrame, path: str, staging: str) -> None:
-    """Write to a staging path first and then overwrite the target from it, so that a failed job leaves the target."""
+    """Write to a staging path, then swap it with the target by renaming: rows may read the target, a job
+    that fails leaves it, and a swap that fails puts it back. Both paths are on one file system."""
     rows.write.mode("overwrite").parquet(staging)
-    rows.sparkSession.read.schema(rows.schema).parquet(staging).write.mode("overwrite").parquet(path)
+    jvm = rows.sparkSession.sparkContext._jvm
+    new, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staging, path, f"{path.rstrip('/')}.old"))
+    store = target.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(old):
+        store.delete(old, True)
+    held = store.exists(target)
+    if held and not store.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not store.rename(new, target):
+        if held:
+            store.rename(old, target)
+        raise OSError(f"{staging} can't be moved to {path}")
+    store.delete(old, True)
 
 
 def markdown(rows: DataFrame, most: int = 50) -> str:

@@ -6,6 +6,8 @@ millionths, so that a running sum is exact in any order; levels are rounded to f
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,3 +131,17 @@ def returns(bar_view: DataFrame) -> DataFrame:
     """ticker, date, bar, r: simple daily returns of bars; the first bar has none and is left out."""
     by = Window.partitionBy("ticker").orderBy("date")
     return bar_view.select("ticker", "date", "bar", (F.col("close") / F.lag("close").over(by) - 1).alias("r")).where("r is not null")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder set in code.
+
+    Only a local master may do without: it gets a folder of its own. On a cluster its lack is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="quantloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
 
@@ -47,28 +47,16 @@ def by_window(events: DataFrame, late: str = "10 minutes", width: str = "1 minut
     return out.select("ticker", F.col("window.start").alias("start"), "n", "imbalance", "last_imbalance")
 
 
-class Cap(StatefulProcessor):
-    """Passes the first `most` events of each ticker; a counter a ticker is all its state."""
-
-    def __init__(self, most: int):
-        self.most = most
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
+def capped(events: DataFrame, most: int) -> DataFrame:
+    """At most `most` events of each ticker over the whole life of the stream; a counter a ticker is all its state."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        for batch in rows:
-            if n < self.most:
-                part = batch.head(self.most - n)
+    def first(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        n = state.get[0] if state.exists else 0
+        for batch in batches:
+            if n < most:
+                part = batch.head(most - n)
                 n += len(part)
                 yield part
-        self.seen.update((n,))
+        state.update((n,))
 
-    def close(self) -> None:
-        pass
-
-
-def capped(events: DataFrame, most: int) -> DataFrame:
-    """At most `most` events of each ticker over the whole life of the stream."""
-    return events.groupBy("ticker").transformWithStateInPandas(Cap(most), events.schema, "append", "none")
+    return events.groupBy("ticker").applyInPandasWithState(first, events.schema, "n long", "append", GroupStateTimeout.NoTimeout)

@@ -439,3 +439,26 @@ def test_replace_of_macro_backdrop_and_penalties(spark):
     assert [round(r[0], 4) for r in df.select(events.macro_backdrop(*map(F.col, "twb"))).collect()] == [0.525, 1.0]
     p = spark.createDataFrame([(None,), (0.02,)], "m double").select(events.risk_penalty(F.col("m"))).collect()
     assert [r[0] for r in p] == [0.5, 0.25]
+
+
+def test_share_at_or_below_doesnt_hang_on_exchange_reuse(spark):
+    import random
+
+    from quantloom.operators import ranking
+
+    rng = random.Random(3)
+    rows = [(f, i, rng.choice([-1, 1]) * round(rng.random() ** 3 * 50, 3) if i % 7 else 0.0) for f in "ab" for i in range(3000)]
+    frame = spark.createDataFrame(rows, "factor string, ticker int, value double").withColumn("year", F.lit(1))
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        got = {(r["factor"], r["ticker"]): r["pct"] for r in ranking.share_at_or_below(frame, ["year"]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for f in "ab":
+        values = sorted(v for g, _, v in rows if g == f)
+        for g, i, v in rows:
+            if g == f:
+                assert got[f, i] == pytest.approx(__import__("bisect").bisect_right(values, v) / len(values))

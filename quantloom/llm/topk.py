@@ -8,7 +8,8 @@ components. Processing stops only when this proves that few enough vectors can b
 k best of the shard; those are scored exactly. Without proof it runs to the last segment, where the
 accumulators are the scores.
 
-Queries are dealt in blocks too, and every block meets every shard, a bounded task each.
+Queries are dealt in blocks too, and blocks in groups of GROUP. A shard meets a group of blocks in one
+task of bounded size; shards and blocks are exchanged once, by that pair, whatever the index's size.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SHARD_ROWS, BLOCK_ROWS = 8192, 256
+SHARD_ROWS, BLOCK_ROWS, GROUP = 8192, 256, 8
 #: Impact levels are powers of this ratio; segments after which members are counted hold these shares of all postings.
 RATIO = 2**0.5
 STOPS = (0.35, 0.5, 0.62, 0.72, 0.82, 0.9)
@@ -177,8 +178,12 @@ def top_k(embeddings: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     blocks = max(1, -(-n_asked // BLOCK_ROWS))
     shards = max(1, -(-rows // SHARD_ROWS))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))).groupBy("block").applyInArrow(_block, "block long, query_ids binary, query_dims int, queries binary")
-    every = stored(dealt, "blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-    pairs = every.repartition(max(8, blocks * shards), "block", "shard").join(index, "shard")
-    found = pairs.drop("query_dims", "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    groups = -(-blocks // GROUP)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    every = stored(dealt, "blocks").withColumn("group", F.col("block") % groups).withColumn("shard", each(shards))
+    tasks = max(8, min(1 << 16, groups * shards))
+    both = index.withColumn("group", each(groups)).repartition(tasks, "shard", "group").hint("merge")
+    pairs = every.repartition(tasks, "shard", "group").join(both, ["shard", "group"])
+    found = pairs.drop("query_dims", "block", "group").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -4,16 +4,21 @@ A document's set holds its distinct k-word shingles (A-Z lower-cased, words betw
 space); a text with fewer words is one shingle, a text without words (or null) an empty set that
 links with nothing. Two documents link when percent * union <= 100 * intersection.
 
-1. One pass reads every text and leaves a row per document (set size, 64-bit set hash, packed
-   suffix counts) and, per task, how many sets hold a shingle of each of BUCKETS hash buckets. The
+1. One pass reads every text and leaves a row per document (set size, 64-bit set hash) and, per task, how many sets hold a shingle of each of BUCKETS hash buckets. The
    counts are summed in two levels and have a fixed size, so they may be broadcast.
 2. Shingles are ordered by (count of their bucket, hash): rare ones first. Two sets that link share
-   a shingle among the first n - ceil(t n) + 1 of each.
+   a shingle among the first n - ceil(t n) + 1 of each. These prefixes are written once, each shingle
+   with its place and packed counts of the set's shingles after it, by eight hash ranges. At the first
+   shingle that two sets share in this order all others they share stand after it, so their sizes, the
+   two places and the counts bound the overlap: the length, positional and suffix filters.
 3. Documents with the same set are one class. Per prefix shingle, the class that has it earliest is
    the leader; every other class is compared with leaders only (a star, not all pairs). Links found
    so far are closed to components. Then classes that are not in their leader's component are
    compared with the classes of other components that share the shingle; pairs inside a component
-   can't change it. Each pair is verified once, on whole sets.
+   can't change it. Of two sets the smaller one holds the first shared shingle in a still shorter
+   prefix, n - ceil(2t / (1 + t) n) + 1, and their sizes lie in the same or neighbouring bands of ratio t:
+   only such rows meet, so texts of one template that can't link don't. Each pair is verified once,
+   on whole sets, which one more pass over the texts writes for the documents in candidate pairs.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ BUCKETS, PARTS = 1 << 20, 16
 #: Bits of the filter that keeps texts outside every candidate pair from being shuffled.
 FILTER_BITS = 1 << 23
 
-_READ = "doc_id long, n long, cls long, suffix long, part int, task int, counts binary"
+_READ = "doc_id long, key long, n long, cls long, part int, task int, counts binary"
 
 
 def needed(n: int | np.ndarray, percent: int):
@@ -47,10 +52,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - needed(n, percent) + 1
 
 
-def _suffix(s: np.ndarray) -> int:
-    """Shingles in each of eight hash ranges, modulo 256, packed; it bounds how far two sets differ."""
-    counts = np.bincount((s >> np.uint64(61)).astype(np.int64), minlength=8) & 255
-    return int.from_bytes(counts.astype(np.uint8).tobytes(), "little", signed=True)
+def _after(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per place in a prefix, the set's shingles after it in each of eight hash ranges, modulo 256, packed."""
+    bins = (s >> np.uint64(61)).astype(np.int64)
+    upto = np.cumsum(np.eye(8, dtype=np.int64)[bins[first]], axis=0)
+    return ((np.bincount(bins, minlength=8) - upto) & 255).astype(np.uint8).view(np.int64).ravel()
 
 
 def _class(s: np.ndarray) -> int:
@@ -64,16 +70,15 @@ def _first_pass(k: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            n, cls, suffix = [], [], []
+            n, cls = [], []
             for _, _, data, offsets in text_slices(batch.column(1)):
                 sets = textvec.shingle_sets(data, offsets, k)
                 n += map(len, sets)
                 cls += map(_class, sets)
-                suffix += map(_suffix, sets)
                 if sets and (held := np.concatenate(sets)).size:
                     counts += np.bincount((held & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
             none = [None] * len(n)
-            yield _batch(batch.column(0), n, cls, suffix, none, none, none)
+            yield _batch(batch.column(0), batch.column(2), n, cls, none, none, none)
         task = TaskContext.get().partitionId()
         for part in range(PARTS):
             own = counts[part * BUCKETS // PARTS : (part + 1) * BUCKETS // PARTS]
@@ -83,10 +88,10 @@ def _first_pass(k: int):
     return read
 
 
-def _batch(doc_id, n, cls, suffix, part, task, counts) -> pa.RecordBatch:
+def _batch(doc_id, key, n, cls, part, task, counts) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ["doc_id", "n", "cls", "suffix", "part", "task", "counts"]
-    values = (doc_id, n, cls, suffix, part, task, counts)
+    names = ["doc_id", "key", "n", "cls", "part", "task", "counts"]
+    values = (doc_id, key, n, cls, part, task, counts)
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, kinds)], names)
 
 
@@ -114,7 +119,7 @@ def _prefixes(k: int, percent: int, counts):
         table = counts.value
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                token, cls, size, place = [], [], [], []
+                token, cls, size, place, after = [], [], [], [], []
                 for s in textvec.shingle_sets(data, offsets, k):
                     if not len(s):
                         continue
@@ -129,21 +134,32 @@ def _prefixes(k: int, percent: int, counts):
                     cls.append(np.full(p, _class(s)))
                     size.append(np.full(p, len(s), np.int32))
                     place.append(np.arange(p, dtype=np.int32))
+                    after.append(_after(s, first))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cls, size, place)], ["token", "cls", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, cls, size, place, after)], ["token", "cls", "n", "pos", "after"])
 
     return read
 
 
 def _filters(percent: int) -> str:
-    """Length filter, then the positional one, for the rows x and y of a shared prefix shingle."""
-    return f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and {100 + percent} * least(x_n - x_pos, y_n - y_pos) >= {percent} * (x_n + y_n)"
+    """Length, positional and suffix filters for the rows x and y of a shared prefix shingle: twice the
+    overlap they allow is 2 + both numbers of shingles after it, less what the packed counts differ by."""
+    apart = "pmod((shiftrightunsigned(x_after, {0}) & 255) - (shiftrightunsigned(y_after, {0}) & 255), 256)"
+    gap = " + ".join(f"least({g}, 256 - {g})" for g in (apart.format(8 * i) for i in range(8)))
+    length = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
+    place = f"{100 + percent} * least(x_n - x_pos, y_n - y_pos) >= {percent} * (x_n + y_n)"
+    suffix = f"{100 + percent} * (x_n - x_pos + y_n - y_pos - ({gap})) >= {2 * percent} * (x_n + y_n)"
+    return f"{length} and {place} and {suffix}"
 
 
-def _suffix_gap() -> str:
-    """Lower bound of the symmetric difference by the packed counts of both sets."""
-    gap = "pmod((shiftrightunsigned(x_suffix, {0}) & 255) - (shiftrightunsigned(y_suffix, {0}) & 255), 256)"
-    return " + ".join(f"least({g}, 256 - {g})" for g in (gap.format(8 * i) for i in range(8)))
+def _short(side: str, percent: int) -> str:
+    """Whether a row lies in the shorter prefix, for the smaller of two sets."""
+    return f"{100 + percent} * ({side}_n - {side}_pos) >= {2 * percent} * {side}_n"
+
+
+def _band(side: str, percent: int):
+    """Bands of sizes: of two sets within the ratio, the larger one is in the same or the next band."""
+    return F.floor(F.log(F.col(f"{side}_n").cast("double")) / float(np.log(100 / percent * 1.001))).cast("int")
 
 
 def _verify(percent: int):
@@ -199,69 +215,103 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links): doc_id, n, cls of every row; cls, id (its smallest doc_id) of every
-    class; links between classes (a, b).
+    """(rows, classes, links): doc_id, key (a hash of the text), n, cls of every row; cls, id (its smallest
+    doc_id) of every class; links between classes (a, b).
 
     Links inside a component that others imply may be missing; components are exact. Rows whose
     doc_id is null get a set size and take part in no link.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(narrow.mapInArrow(_first_pass(k), _READ), "sets")
-    every = rows.where("part is null").select("doc_id", "n", "cls", "suffix")
-    classes = stored(every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("suffix").alias("suffix")), "classes")
+    rows = stored(narrow.withColumn("key", F.xxhash64("text")).mapInArrow(_first_pass(k), _READ), "sets")
+    every = rows.where("part is null").select("doc_id", "key", "n", "cls")
+    classes = stored(every.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("id")), "classes")
     narrow = narrow.where("doc_id is not null")
     counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(rows))
-    tokens = narrow.select("text").mapInArrow(_prefixes(k, percent, counts), "token long, cls long, n int, pos int")
-    early = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
-    lead = tokens.withColumn("early", early).groupBy("token").agg(F.min("early").alias("early"), F.min_by("cls", "early").alias("y"), F.max("cls").alias("high"), F.min("cls").alias("low")).where("low <> high")
-    lead = stored(lead.select("token", "y", F.shiftright("early", 32).alias("y_pos"), F.col("early").bitwiseAND(0xFFFFFFFF).alias("y_n")), "lead")
-    shared = tokens.join(lead, "token").select("token", "y", "y_n", "y_pos", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
+    tokens = stored(narrow.select("text").mapInArrow(_prefixes(k, percent, counts), "token long, cls long, n int, pos int, after long"), "prefixes")
+    first = F.min(F.struct("pos", "n", "cls", "after")).alias("y")
+    lead = tokens.groupBy("token").agg(first, F.max("cls").alias("high"), F.min("cls").alias("low")).where("low <> high")
+    lead = stored(lead.select("token", F.col("y.cls").alias("y"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos"), F.col("y.after").alias("y_after")), "lead")
+    shared = tokens.join(lead, "token").select(*lead.columns, F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("after").alias("x_after"))
     shared = stored(shared.distinct(), "shared")
     star = stored(_candidates(shared.where("x <> y"), classes, percent), "star")
     found = stored(_verified(star, narrow, k, percent), "found")
     label = stored(components(found), "label")
-    tagged = shared.select("token", "x", "x_n", "x_pos", "y")
+    tagged = shared.select("token", "x", "x_n", "x_pos", "x_after", "y")
     for side in "xy":
         tagged = tagged.join(label.select(F.col("node").alias(side), F.col("label").alias(f"{side}_of")), side, "left").withColumn(f"{side}_of", F.coalesce(f"{side}_of", side))
-    tagged = stored(tagged.select("token", "x", "x_n", "x_pos", "x_of", "y_of"), "tagged")
-    minor = tagged.where("x_of <> y_of").drop("y_of")
-    other = tagged.select("token", F.col("x").alias("y"), F.col("x_n").alias("y_n"), F.col("x_pos").alias("y_pos"), F.col("x_of").alias("y_of"))
-    rest = minor.join(other, (minor.token == other.token) & (minor.x_of != other.y_of) & F.expr(_filters(percent)))
-    rest = _candidates(rest, classes, percent).join(star.select("a", "b"), ["a", "b"], "left_anti")
+    tagged = stored(tagged.select("token", "x", "x_n", "x_pos", "x_after", "x_of", "y_of"), "tagged")
+    rest = _candidates(_rest(tagged, percent), classes, percent).join(star.select("a", "b"), ["a", "b"], "left_anti")
     return every, classes, found.union(_verified(stored(rest, "rest"), narrow, k, percent))
 
 
+def _rest(tagged: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows of a token, one of them outside its leader's component, from different components."""
+    minor = tagged.where("x_of <> y_of").drop("y_of")
+    other = tagged.select("token", *(F.col(f"x{c}").alias(f"y{c}") for c in ("", "_n", "_pos", "_after", "_of")))
+    near = lambda side: F.explode(F.array(_band(side, percent), _band(side, percent) + 1))
+    larger = minor.withColumn("band", _band("x", percent)).join(other.where(_short("y", percent)).withColumn("band", near("y")), ["token", "band"]).where("y_n <= x_n")
+    smaller = minor.where(_short("x", percent)).withColumn("band", near("x")).join(other.withColumn("band", _band("y", percent)), ["token", "band"]).where("x_n < y_n")
+    return larger.unionByName(smaller).where("x_of <> y_of")
+
+
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the length, positional and suffix filters, with their ids."""
-    pairs = pairs.where(_filters(percent)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    for side in "xy":
-        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.col("suffix").alias(f"{side}_suffix")), side)
-    allowed = f"{100 + percent} * ({_suffix_gap()}) <= {100 - percent} * (x_n + y_n)"
-    return pairs.where(allowed).select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("x_id").alias("a_id"), F.col("y_id").alias("b_id"))
+    """The pairs (a, b) of classes that pass the filters at one of their shared shingles, with their ids."""
+    pairs = pairs.where(_filters(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("cls").alias(side), F.col("id").alias(f"{side}_id")), side)
+    return pairs.select("a", "b", "a_id", "b_id")
 
 
 def _verified(pairs: DataFrame, narrow: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole sets link."""
     ids = pairs.select(F.col("a_id").alias("id")).union(pairs.select(F.col("b_id").alias("id")))
     wanted = narrow.sparkSession.sparkContext.broadcast(_filter_bits(ids))
-    held = narrow.mapInArrow(_sets(k, wanted), "id long, cls long, held binary")
+    held = stored(narrow.mapInArrow(_sets(k, wanted), "id long, cls long, held binary"), "held")
     for side, name in (("b", "y"), ("a", "x")):
         pairs = pairs.join(held.select(F.col("id").alias(f"{side}_id"), F.col("cls").alias(side), F.col("held").alias(name)), [f"{side}_id", side])
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links.
-
-    Repeated rows give repeated result rows; a doc_id with several texts has a row for each. A row
-    with an empty set, or without doc_id, is a component of its own. Extra columns are ignored.
-    """
+def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows as links gives them, cls and root: the smallest doc_id of each class's component)."""
     every, classes, found = links(docs, k, percent)
     label = stored(components(found), "label")
     named = classes.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = stored(named.select("cls", "id", "label"), "named")
     first = stored(named.groupBy("label").agg(F.min("id").alias("root")), "first")
-    root = stored(named.join(first, "label").select("cls", "root"), "root")
+    return every, stored(named.join(first, "label").select("cls", "root"), "root")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links.
+
+    Repeated rows give repeated result rows; a doc_id with several texts has a row for each. A row
+    with an empty set, or without doc_id, is a component of its own. Texts of any length are read
+    whole. Extra columns are ignored.
+    """
+    every, root = _rooted(docs, k, percent)
     out = every.join(root, "cls", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+#: Rows without doc_id are ranked after those with one: their stand-in numbers have this bit.
+_LATE = 1 << 62
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest doc_id, rows without
+    one last. Of repeated rows one stays; of several texts of a doc_id each is judged by itself. Texts
+    without words stay all. Columns are as in docs.
+    """
+    key = F.xxhash64(F.col("text").cast("string"))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(key, 2).bitwiseOR(F.lit(_LATE)))
+    every, root = _rooted(docs.select(number.alias("doc_id"), "text"), k, percent)
+    rows = every.where("n > 0").groupBy("doc_id", "key", "cls").agg(F.count("*").alias("times")).join(root, "cls")
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("k")).select("k.doc_id", "k.key", F.lit(True).alias("stays"))
+    rows = rows.join(kept, ["doc_id", "key"], "left").select(F.col("doc_id").alias("_number"), F.col("key").alias("_key"), "stays", "times")
+    rows = stored(rows.where("stays is null or times > 1"), "gone")
+    named = docs.select(*docs.columns, number.alias("_number"), key.alias("_key"))
+    alone = named.join(rows.select("_number", "_key"), ["_number", "_key"], "left_anti")
+    again = named.join(rows.where("stays").select("_number", "_key"), ["_number", "_key"], "left_semi").dropDuplicates(["_number", "_key"])
+    return alone.unionByName(again).select(docs.columns)

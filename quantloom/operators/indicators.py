@@ -132,9 +132,9 @@ def with_vol_percentile(df: DataFrame, n: int = 21) -> DataFrame:
     return out.select("ticker", "window", "vol", F.when(F.count("*").over(every) < 2, 0.5).otherwise(share).alias("share"))
 
 
-def slope(y: str, n: int) -> Column:
+def slope(y: str, n: int, bar: str = "bar", *parts: str) -> Column:
     """Least-squares slope of the last n values against the bar number."""
-    return F.regr_slope(F.col(y), F.col("bar").cast("double")).over(trail(n))
+    return F.regr_slope(F.col(y), F.col(bar).cast("double")).over(trail(n, *parts))
 
 
 def with_indicator_set(bars: DataFrame) -> DataFrame:

@@ -29,24 +29,40 @@ def by_tail(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("rs", F.col("close") / F.col("bench_close")).drop("_back")
 
 
-def trend_columns(n: int = 63) -> dict[str, Column]:
+def trend_columns(n: int = 63, bar: str = "bar", *parts: str) -> dict[str, Column]:
     """rs_slope_pct per bar (of the mean), rs_above_sma, rs_uptrend; null before n values."""
-    mean = F.avg("rs").over(trail(n))
-    pct = F.when(F.abs(mean) >= 1e-12, slope("rs", n) / F.abs(mean))
-    whole = F.count("rs").over(trail(n)) == n
+    mean = F.avg("rs").over(trail(n, *parts))
+    pct = F.when(F.abs(mean) >= 1e-12, slope("rs", n, bar, *parts) / F.abs(mean))
+    whole = F.count("rs").over(trail(n, *parts)) == n
     above = F.when(mean > 0, F.col("rs") >= mean)
     return {"rs_slope_pct": F.when(whole, pct * 100), "rs_above_sma": F.when(whole, above), "rs_uptrend": F.when(whole, F.coalesce((pct > 0) & above, F.lit(False)))}
 
 
 def report(bars: DataFrame, benchmark: DataFrame, n: int = 63, lookback: int = 252, align: str = "date") -> DataFrame:
     """Verdict on every bar: diverging (a price high without one in rs), leading, uptrend, lagging, unknown."""
-    df = (by_date if align == "date" else by_tail)(bars, benchmark)
-    df = df.withColumn("bar", F.row_number().over(by())).withColumns(trend_columns(n))
-    top, price_top = F.max("rs").over(prior(lookback)), F.max("close").over(prior(lookback))
+    return _verdicts((by_date if align == "date" else by_tail)(bars, benchmark), n, lookback)
+
+
+def with_verdict(bars: DataFrame, benchmark: DataFrame, n: int = 63, lookback: int = 252) -> DataFrame:
+    """Add rs_verdict as `report` by date gives it, null on bars that it leaves out.
+
+    No bar is dropped, so the verdict shares the exchange of the other windows over the ticker: bars
+    with a benchmark close and those without are separate series inside it.
+    """
+    out = bars.join(benchmark.select("date", F.col("close").alias("bench_close")), "date", "left")
+    out = out.withColumn("_has", F.coalesce((F.col("close") > 0) & (F.col("bench_close") > 0), F.lit(False)))
+    out = out.withColumn("rs", F.when(F.col("_has"), F.col("close") / F.col("bench_close")))
+    out = _verdicts(out, n, lookback, "_bar", "_has")
+    return out.select(*bars.columns, F.when(F.col("_has"), F.col("rs_verdict")).alias("rs_verdict"))
+
+
+def _verdicts(df: DataFrame, n: int, lookback: int, bar: str = "bar", *parts: str) -> DataFrame:
+    df = df.withColumn(bar, F.row_number().over(by(*parts))).withColumns(trend_columns(n, bar, *parts))
+    top, price_top = F.max("rs").over(prior(lookback, 1, *parts)), F.max("close").over(prior(lookback, 1, *parts))
     df = df.withColumns({"rs_new_high": F.col("rs") > top, "rs_near_high": F.col("rs") >= 0.97 * top, "rs_dist": F.col("rs") / top - 1, "price_new_high": F.col("close") > price_top})
     split = F.coalesce(F.col("price_new_high") & ~F.col("rs_near_high"), F.lit(False))
     up = F.coalesce(F.col("rs_uptrend"), F.lit(False))
-    verdict = F.when(F.col("bar") < 2, "unknown").when(split, "diverging").when(up & F.col("rs_near_high"), "leading").when(up, "uptrend").otherwise("lagging")
+    verdict = F.when(F.col(bar) < 2, "unknown").when(split, "diverging").when(up & F.col("rs_near_high"), "leading").when(up, "uptrend").otherwise("lagging")
     return df.withColumns({"rs_divergence": split, "rs_verdict": verdict})
 
 

@@ -193,16 +193,16 @@ def swing_report(bars: DataFrame, benchmark: DataFrame | None = None) -> DataFra
 
     With a benchmark, relative strength must be leading or rising; unknown strength passes.
     """
-    df = with_pullback(with_trend(ind.with_steps(bars).withColumn("rsi", ind.rsi())).withColumn("atr", ind.atr()))
-    df = df.withColumn("rsi_label", rsi_band(F.col("rsi"))).withColumns(swing_stop())
-    t1, t2 = targets(F.col("close"), F.col("stop"))
-    df = df.withColumns({"t1": t1, "t2": t2, "trail_exit": F.col("close") < F.col("ema20")}).where("bar >= 200")
     strong = F.lit(True)
     if benchmark is not None:
-        from .relative_strength import report
+        from .relative_strength import with_verdict
 
-        df = df.join(report(bars, benchmark).select("ticker", "date", "rs_verdict"), ["ticker", "date"], "left")
+        bars = with_verdict(bars, benchmark)
         strong = F.coalesce(F.col("rs_verdict").isin("leading", "uptrend"), F.lit(True))
+    df = with_pullback(with_trend(ind.with_steps(bars).withColumn("rsi", ind.rsi())).withColumn("atr", ind.atr()))
+    df = df.withColumn("rsi_label", rsi_band(F.col("rsi"))).withColumns(swing_stop())
+    t1, t2 = targets(F.col("close"), F.col("stop"))
+    df = df.withColumns({"t1": t1, "t2": t2, "trail_exit": F.col("close") < F.col("ema20")}).where("bar >= 200")
     candidate = F.coalesce(F.col("stacked"), F.lit(False)) & F.col("rsi_label").isin("strong", "reset") & F.col("pullback") & strong
     return df.withColumn("candidate", candidate)
 

@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 
-def by() -> WindowSpec:
-    return Window.partitionBy("ticker").orderBy("date")
+def by(*parts: str) -> WindowSpec:
+    """A ticker's bars by date; with `parts`, those that also agree in these columns."""
+    return Window.partitionBy("ticker", *parts).orderBy("date")
 
 
-def trail(n: int) -> WindowSpec:
+def trail(n: int, *parts: str) -> WindowSpec:
     """The last n bars, the current one included."""
-    return by().rowsBetween(1 - n, 0)
+    return by(*parts).rowsBetween(1 - n, 0)
 
 
-def prior(first: int, last: int = 1) -> WindowSpec:
+def prior(first: int, last: int = 1, *parts: str) -> WindowSpec:
     """Bars from `first` to `last` places before the current one."""
-    return by().rowsBetween(-first, -last)
+    return by(*parts).rowsBetween(-first, -last)
 
 
 def full(n: int, value: Column) -> Column:

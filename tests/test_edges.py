@@ -152,6 +152,17 @@ def test_past_optimal_window_follows_daylight_saving(spark):
     assert tuple(df.select(*(setups.past_optimal_window(F.col(x)) for x in "abc")).first()) == (False, True, True)
 
 
+def test_relative_strength_keeps_bars_without_benchmark(spark):
+    closes = [100 + 7 * ((i * 37) % 11) - 0.3 * i for i in range(120)]
+    closes[50] = 0.0
+    bars = make(spark, closes)
+    bench = make(spark, [100.0 + i % 5 for i in range(120)]).where("bar % 9 <> 4")
+    rows = {x.bar: x.rs_verdict for x in relative_strength.with_verdict(bars, bench).collect()}
+    kept = relative_strength.report(bars, bench).select("ticker", "date", "rs_verdict")
+    expected = {x.bar: x.rs_verdict for x in bars.join(kept, ["ticker", "date"], "left").collect()}
+    assert rows == expected and len(rows) == 120 and None in rows.values() and len(set(rows.values())) > 2
+
+
 def test_relative_strength_of_unequal_lengths(spark):
     bars = make(spark, [100 + i for i in range(100)])
     bench = make(spark, [100.0] * 40).select("date", F.col("bar"), "close")

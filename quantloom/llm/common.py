@@ -71,6 +71,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that `stored` wrote, once all that is read from it is stored itself."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(df.inputFiles()[0])).getParent()
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into runs of rows of about `limit` bytes (one row at least).
 

@@ -8,7 +8,8 @@ links with nothing. Two documents link when percent * union <= 100 * intersectio
    counts are summed in two levels and have a fixed size, so they may be broadcast.
 2. Shingles are ordered by (count of their bucket, hash): rare ones first. Two sets that link share
    a shingle among the first n - ceil(t n) + 1 of each. These prefixes are written once, each shingle
-   with its place and packed counts of the set's shingles after it, by eight hash ranges. At the first
+   with its place and packed counts of the set's shingles after it, by eight hash ranges; those that
+   stand in one prefix only are left behind before wider rows are compared. At the first
    shingle that two sets share in this order all others they share stand after it, so their sizes, the
    two places and the counts bound the overlap: the length, positional and suffix filters.
 3. Documents with the same set are one class. Per prefix shingle, the class that has it earliest is
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stored, text_slices
+from .common import discard, stored, text_slices
 from .components import components
 
 #: Size of the table of shingle counts, and the parts in which it is summed.
@@ -117,12 +118,14 @@ def _bucket_counts(rows: DataFrame) -> np.ndarray:
 def _prefixes(k: int, percent: int, counts):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
+        seen: set[int] = set()  # classes of this task's rows: copies repeat a prefix
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 token, cls, size, place, after = [], [], [], [], []
                 for s in textvec.shingle_sets(data, offsets, k):
-                    if not len(s):
+                    if not len(s) or (own := _class(s)) in seen:
                         continue
+                    seen.add(own)
                     p = prefix_length(len(s), percent)
                     rank = table[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                     if p < len(s):  # all that may tie with the p-th go into the sort
@@ -131,7 +134,7 @@ def _prefixes(k: int, percent: int, counts):
                     else:
                         first = np.lexsort((s, rank))
                     token.append(s[first].astype(np.int64))
-                    cls.append(np.full(p, _class(s)))
+                    cls.append(np.full(p, own))
                     size.append(np.full(p, len(s), np.int32))
                     place.append(np.arange(p, dtype=np.int32))
                     after.append(_after(s, first))
@@ -228,11 +231,15 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     narrow = narrow.where("doc_id is not null")
     counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(rows))
     tokens = stored(narrow.select("text").mapInArrow(_prefixes(k, percent, counts), "token long, cls long, n int, pos int, after long"), "prefixes")
+    often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
+    held = stored(tokens.join(often, "token", "left_semi"), "often")  # most shingles of a prefix stand in no other
+    discard(tokens)
     first = F.min(F.struct("pos", "n", "cls", "after")).alias("y")
-    lead = tokens.groupBy("token").agg(first, F.max("cls").alias("high"), F.min("cls").alias("low")).where("low <> high")
+    lead = held.groupBy("token").agg(first, F.max("cls").alias("high"), F.min("cls").alias("low")).where("low <> high")
     lead = stored(lead.select("token", F.col("y.cls").alias("y"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos"), F.col("y.after").alias("y_after")), "lead")
-    shared = tokens.join(lead, "token").select(*lead.columns, F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("after").alias("x_after"))
+    shared = held.join(lead, "token").select(*lead.columns, F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"), F.col("after").alias("x_after"))
     shared = stored(shared.distinct(), "shared")
+    discard(held)
     star = stored(_candidates(shared.where("x <> y"), classes, percent), "star")
     found = stored(_verified(star, narrow, k, percent), "found")
     label = stored(components(found), "label")
@@ -240,6 +247,7 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     for side in "xy":
         tagged = tagged.join(label.select(F.col("node").alias(side), F.col("label").alias(f"{side}_of")), side, "left").withColumn(f"{side}_of", F.coalesce(f"{side}_of", side))
     tagged = stored(tagged.select("token", "x", "x_n", "x_pos", "x_after", "x_of", "y_of"), "tagged")
+    discard(shared)
     rest = _candidates(_rest(tagged, percent), classes, percent).join(star.select("a", "b"), ["a", "b"], "left_anti")
     return every, classes, found.union(_verified(stored(rest, "rest"), narrow, k, percent))
 

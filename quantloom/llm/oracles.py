@@ -73,10 +73,66 @@ y AS (SELECT doc_id, arg_min(first_doc, a) AS first_doc_id, count(*) AS n_stretc
 k AS (SELECT m.doc_id, any_value(m.lead) AS lead, coalesce(string_agg(m.s, '' ORDER BY m.place) FILTER (z.doc_id IS NULL), '') AS rest FROM m LEFT JOIN z ON z.doc_id = m.doc_id AND m.place >= z.a AND m.place < z.b WHERE m.doc_id IN (SELECT doc_id FROM y) GROUP BY 1)
 SELECT y.*, k.lead || k.rest AS text FROM y JOIN k USING (doc_id)"""
 
+_CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MERKLE = rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS claim FROM documents),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+tree AS (SELECT 0 AS k, lang, pos, leaf AS h, n FROM n UNION ALL SELECT k + 1, lang, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM tree WHERE n > 1 GROUP BY k, lang, pos // 2),
+subs AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS k, pos, h, n FROM subs UNION ALL SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM top WHERE n > 1 GROUP BY k, pos // 2),
+low AS (SELECT n.lang, n.pos, l.k, (n.pos >> l.k) % 2 AS bit, s.h FROM n JOIN (SELECT DISTINCT lang, k FROM tree WHERE n > 1) AS l ON l.lang IS NOT DISTINCT FROM n.lang
+  LEFT JOIN tree AS s ON s.lang IS NOT DISTINCT FROM n.lang AND s.k = l.k AND s.pos = xor(n.pos >> l.k, 1)),
+high AS (SELECT u.lang, l.k, (u.pos >> l.k) % 2 AS bit, s.h FROM subs AS u CROSS JOIN (SELECT DISTINCT k FROM top WHERE n > 1) AS l LEFT JOIN top AS s ON s.k = l.k AND s.pos = xor(u.pos >> l.k, 1)),
+both_ AS (SELECT * FROM low UNION ALL SELECT n.lang, n.pos, 1000 + high.k, bit, h FROM n JOIN high ON high.lang IS NOT DISTINCT FROM n.lang),
+path AS MATERIALIZED (SELECT lang, pos, list({{'bit': bit, 'h': h}} ORDER BY k) AS p FROM both_ GROUP BY 1, 2),
+r AS (SELECT n.doc_id, n.leaf, subs.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(path.p, []) AS p, coalesce(claim, leaf) AS start FROM n JOIN subs ON subs.lang IS NOT DISTINCT FROM n.lang LEFT JOIN path ON path.lang IS NOT DISTINCT FROM n.lang AND path.pos = n.pos),
+f AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(p, lambda s: s.h IS NOT NULL), lambda s: s.h), '')) AS proof_sha256,
+  struct_extract(list_reduce(list_prepend({{'bit': CAST(0 AS BIGINT), 'h': start}}, p), lambda a, s: {{'bit': CAST(0 AS BIGINT), 'h': sha256(CASE WHEN s.bit = 1 THEN s.h || a.h ELSE a.h || coalesce(s.h, '') END)}}), 'h') AS folded_root FROM r)
+SELECT *, folded_root = root AS verified FROM f"""
+
+DIVERGE = rf"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY 1, 2, 3),
+k AS MATERIALIZED (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY 1, 2 HAVING sum(docs) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, CAST(sum(total) AS BIGINT) AS n FROM k GROUP BY 1),
+o AS (SELECT lang, source, CAST(sum(c.n) AS BIGINT) AS n FROM c JOIN k USING (lang, term) GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (coalesce(o.n, 0) + v.v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (k.total + 1)) // (v.n + v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
+
+_LOG = "CAST(round(log10({}) * 1e9) AS BIGINT)"
+
+MODEL = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, CAST(doc_id AS BIGINT) AS doc_id, coalesce({_CRC} % 10 = 0, false) AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), '') AS ws FROM documents),
+u AS (SELECT id, held_out, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM d),
+t AS MATERIALIZED (SELECT *, coalesce(lag(w) OVER o, ' ') AS w1, CASE WHEN j > 1 THEN coalesce(lag(w, 2) OVER o, ' ') END AS w2 FROM u WINDOW o AS (PARTITION BY id ORDER BY j)),
+c1 AS MATERIALIZED (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY 1), c2 AS MATERIALIZED (SELECT w1, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY 1, 2), c3 AS MATERIALIZED (SELECT w2, w1, w, count(*) AS n FROM t WHERE NOT held_out AND w2 IS NOT NULL GROUP BY 1, 2, 3),
+h1 AS (SELECT * FROM c1 UNION ALL SELECT ' ', count(*) FROM d WHERE NOT held_out),
+s AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, count(*) AS types FROM c1),
+x AS (SELECT t.id, coalesce(c1.n, 0) AS n1, coalesce(c2.n, 0) AS n2, coalesce(c3.n, 0) AS n3, coalesce(h1.n, 0) AS b1, CASE WHEN t.w2 IS NOT NULL THEN coalesce(h2.n, 0) ELSE 0 END AS b2, (coalesce(c1.n, 0) + 0.1e0) / (s.total + 0.1e0 * (s.types + 1)) AS p1
+  FROM t CROSS JOIN s LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.w1 = t.w1 AND c2.w = t.w LEFT JOIN c3 ON c3.w2 = t.w2 AND c3.w1 = t.w1 AND c3.w = t.w LEFT JOIN h1 ON h1.w = t.w1 LEFT JOIN c2 AS h2 ON h2.w1 = t.w2 AND h2.w = t.w1),
+y AS (SELECT *, (n2 + 5e0 * p1) / (b1 + 5e0) AS p2 FROM x),
+z AS (SELECT *, (n3 + 5e0 * p2) / (b2 + 5e0) AS p3 FROM y),
+e AS (SELECT id, count(*) AS n_tokens, count(*) FILTER (n1 > 0) AS n_known, sum({_LOG.format("p1")}) AS base, sum(CASE WHEN n3 > 0 THEN {_LOG.format("p3")} ELSE CASE WHEN b2 > 0 THEN {_LOG.format("5e0 / (b2 + 5e0)")} ELSE 0 END
+  + CASE WHEN n2 > 0 THEN {_LOG.format("p2")} ELSE CASE WHEN b1 > 0 THEN {_LOG.format("5e0 / (b1 + 5e0)")} ELSE 0 END + {_LOG.format("p1")} END END) AS score FROM z GROUP BY 1)
+SELECT d.doc_id, d.held_out, n_tokens, n_known, s.total AS train_tokens, CAST(base AS BIGINT) / 1e9 AS base_score, CAST(score AS BIGINT) / 1e9 AS score FROM e JOIN d USING (id) CROSS JOIN s"""
+
 ORACLES: dict[str, str] = {
     "op1_exact_topk": TOP_K,
     "op2_chat_formatting": CHAT,
     "op4_ngram_jaccard_join": NEAR,
     "op6_source_mixing": MIX,
     "op10_substring_dedup": REPEATS,
+    "op11_merkle_manifest": MERKLE,
+    "op12_source_divergence": DIVERGE,
+    "op13_lm_scoring": MODEL,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, license, mixing, packing, pii, quality, substring, topk, toxicity
+from . import chat, divergence, jaccard, license, lm, merkle, mixing, packing, pii, quality, substring, topk, toxicity
 from .common import table, tokenizer_path
 
 
@@ -53,6 +53,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removals(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,5 +78,8 @@ QUERIES = {
         op8_license_scans,
         op9_toxicity,
         op10_substring_dedup,
+        op11_merkle_manifest,
+        op12_source_divergence,
+        op13_lm_scoring,
     )
 }

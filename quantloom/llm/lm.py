@@ -16,7 +16,8 @@ from each state to that of its context without its first word, with the weight o
 without an arc costs c(hw) = 0, that is the failure arc's B / (c(h) + B). One traversal from left to right
 carries the state and adds up; texts are cut into stretches that run side by side, each led in by the
 n - 1 tokens before it, after which an automaton of n-grams is in the state in which the text's own
-traversal would be. Logarithms are added in whole billionths, so sums don't depend on any order.
+traversal would be. Logarithms are added in whole billionths, so sums don't depend on any order
+(and are off by half a billionth a step at most).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .common import stored, text_slices
 ORDER = 3
 ADD, PRIOR = 0.1, 5.0
 #: Bytes of text in a shelf, one document at least.
-SHELF = 16 << 20
+SHELF = 8 << 20
 #: N-grams in a hash range, counted once for each shelf they occur in.
 RANGE = 1 << 20
 #: Tokens of one stretch of the traversal.
@@ -66,11 +67,25 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _pack_sorted(values: np.ndarray) -> bytes:
-    return _pack(np.diff(values, prepend=np.uint64(0)))
+    """Sorted hashes as differences in byte planes; they are random, so only the top plane is compressed."""
+    v = np.diff(values, prepend=np.uint64(0))
+    width = max(1, (int(v[1:].max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(v[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + int(v[0]).to_bytes(8, "little") + planes[:-1].tobytes() + zlib.compress(planes[-1].tobytes(), 1)
 
 
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data), dtype=np.uint64)
+def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    width, plain = data[0], 9 + (data[0] - 1) * (n - 1)
+    planes = np.frombuffer(data[9:plain] + zlib.decompress(data[plain:]), np.uint8).reshape(width, n - 1)
+    out = np.zeros((n, 8), np.uint8)
+    out[0] = np.frombuffer(data[1:9], np.uint8)
+    out[1:, :width] = planes.T
+    return np.cumsum(out.reshape(-1).view("<u8").astype(np.uint64), dtype=np.uint64)
+
+
+def _bits(tokens: int) -> int:
+    """Width of the hashes of two and more words: of `tokens` n-grams at most one in a million shares another's."""
+    return min(64, max(40, tokens.bit_length() + 20))
 
 
 SHELVES = "shelf string, doc_id array<string>, held_out array<boolean>, length array<long>, words binary, tokens binary, n_tokens long"
@@ -121,10 +136,10 @@ def _shelve(size: int):
 class _Grams:
     """The n-grams of a shelf: for each order the sorted hashes, and of each token the place of the n-gram that ends there.
 
-    The n-gram of the first tokens of a text is shorter: START and what follows it; `there` tells which orders exist.
+    The n-gram of the first tokens of a text is shorter: START and what follows it; where there is none of an order, the place is -1.
     """
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, length: np.ndarray, order: int):
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, length: np.ndarray, order: int, bits: int):
         first = np.cumsum(length) - length
         place = np.arange(len(tokens)) - np.repeat(first, length)
         h = words[tokens]
@@ -135,40 +150,40 @@ class _Grams:
             back[place < j] = START
             before.append(back)
         self.place = place
-        self.hashes, self.at, self.there = [], [], []
+        self.hashes, self.at = [], []
         for k in range(1, order + 1):
             g = np.full(len(h), np.uint64(k)) if k > 1 else h
             for j in range(k - 1, -1, -1) if k > 1 else ():
                 g = textvec.mix(g * np.uint64(0x9E3779B97F4A7C15) + before[j])
             exists = place >= k - 2
-            hashes, at = np.unique(g[exists], return_inverse=True)
-            whole = np.full(len(h), -1, np.int64)
+            hashes, at = np.unique(g[exists] >> np.uint64(64 - bits) if k > 1 else g, return_inverse=True)
+            whole = np.full(len(h), -1, np.int32)
             whole[exists] = at
             self.hashes.append(hashes)
             self.at.append(whole)
-            self.there.append(exists)
 
 
-def _read(shelf: dict, order: int):
+def _read(shelf: dict, order: int, bits: int):
     words = np.frombuffer(shelf["words"], "<u8").astype(np.uint64)
-    tokens = _unpack(shelf["tokens"]).astype(np.int64)
+    tokens = _unpack(shelf["tokens"]).astype(np.int32)
     length = np.array(shelf["length"], np.int64)
-    return words, tokens, length, _Grams(words, tokens, length, order)
+    return words, tokens, length, _Grams(words, tokens, length, order, bits)
 
 
-def _ranges(order: int, ranges: int):
+def _ranges(order: int, ranges: int, bits: int):
     """Shelves -> their n-grams' hashes and counts in training documents, a row for each order and hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1).to_pylist()[0]
-                _, tokens, length, grams = _read(one, order)
+                _, tokens, length, grams = _read(one, order, bits)
                 learned = np.repeat(~np.array(one["held_out"], bool), length)
                 out = []
-                for k, (hashes, at, there) in enumerate(zip(grams.hashes, grams.at, grams.there), 1):
-                    n = np.bincount(at[there & learned], minlength=len(hashes))
-                    bucket = (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                for k, (hashes, at) in enumerate(zip(grams.hashes, grams.at), 1):
+                    n = np.bincount(at[(at >= 0) & learned], minlength=len(hashes))
+                    top = hashes >> np.uint64((bits if k > 1 else 64) - 32)
+                    bucket = ((top * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
                     cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=ranges))
                     for lo, hi in zip(cuts[:-1], cuts[1:]):
                         out.append((k, int(bucket[lo]), one["shelf"], _pack_sorted(hashes[lo:hi]), _pack(n[lo:hi].astype(np.uint64))))
@@ -180,8 +195,9 @@ def _ranges(order: int, ranges: int):
 def _count(table: pa.Table) -> pa.Table:
     """One hash range: the counts of all shelves added up, and for each shelf those of its own n-grams; the row
     without a shelf has the range's totals."""
-    hashes = [_unpack_sorted(x) for x in table["hashes"].to_pylist()]
-    counts = np.concatenate([_unpack(x) for x in table["counts"].to_pylist()]).astype(np.int64)
+    counts = [_unpack(x) for x in table["counts"].to_pylist()]
+    hashes = [_unpack_sorted(x, len(n)) for x, n in zip(table["hashes"].to_pylist(), counts)]
+    counts = np.concatenate(counts).astype(np.int64)
     sizes = np.cumsum([len(h) for h in hashes])[:-1]
     every, at = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(at, weights=counts, minlength=len(every)).astype(np.int64)
@@ -200,80 +216,73 @@ class Automaton:
 
     State 0 is the empty context, `start` that before a text's first word. Any other context whose count is over 0
     is a state; a context's count is its own as an n-gram, for every token but a text's end is followed by one.
-    Arcs are held as sorted keys state * words + word; state 0 has one for each word.
+    An arc from a context of k - 1 words is an n-gram of k, so arcs have the shelf's n-gram numbers: `arc[k - 1]`
+    has the one at each token. `goes` is the state behind an arc, or -1 where training has not seen it.
     """
 
-    def __init__(self, tokens: np.ndarray, grams: _Grams, counts: list[np.ndarray], words: int, end: int, total: int, types: int, prior: float):
-        order, self.words = len(counts), words
-        firsts = [np.full(len(h), -1, np.int64) for h in grams.hashes]
-        for at, first in zip(grams.at, firsts):  # a token at which each n-gram ends
+    def __init__(self, tokens: np.ndarray, grams: _Grams, counts: list[np.ndarray], end: int, total: int, types: int, prior: float):
+        order = len(counts)
+        last = [np.zeros(len(h), np.int64) for h in grams.hashes]
+        for at, place in zip(grams.at, last):  # a token at which each n-gram ends
             there = np.flatnonzero(at >= 0)
-            first[at[there]] = there
+            place[at[there]] = there
         self.p1 = (counts[0] + ADD) / (total + ADD * (types + 1))
-        texts = int(counts[0][grams.at[0][np.flatnonzero(tokens == end)[0]]]) if len(tokens) else 0
-        self.start = int(texts > 0)
-        sizes, fail = [np.zeros(1 + self.start)], [np.zeros(1 + self.start, np.int64)]
-        sizes[0][1:] = texts
+        texts = int(counts[0][grams.at[0][np.flatnonzero(tokens == end)[0]]])
+        self.start = int(texts > 0 and order > 1)
+        size, fail, level = [np.array([0, texts][: 1 + self.start])], [np.zeros(1 + self.start, np.int32)], [np.arange(1 + self.start, dtype=np.int8)]
         state, n = [], 1 + self.start
         for k in range(1, order):
-            own = np.zeros(len(counts[k - 1]), np.int64)
-            seen = np.flatnonzero((counts[k - 1] > 0) & (tokens[firsts[k - 1]] != end))
+            own = np.zeros(len(counts[k - 1]), np.int32)
+            seen = np.flatnonzero((counts[k - 1] > 0) & (tokens[last[k - 1]] != end))
             own[seen] = n + np.arange(len(seen))
             n += len(seen)
-            sizes.append(counts[k - 1][seen].astype(float))
-            fail.append(state[-1][grams.at[k - 2][firsts[k - 1][seen]]] if k > 1 else np.zeros(len(seen), np.int64))
+            size.append(counts[k - 1][seen])
+            fail.append(state[-1][grams.at[k - 2][last[k - 1][seen]]] if k > 1 else np.zeros(len(seen), np.int32))
+            level.append(np.full(len(seen), k, np.int8))
             state.append(own)
-        size = np.concatenate(sizes)
-        self.fail, self.backoff = np.concatenate(fail), _nano(prior / (size + prior))
-        self.backoff[0] = 0
-        keys, weights, goes, p = [], [], [], self.p1
+        size = np.concatenate(size)
+        self.fail, self.level, self.backoff = np.concatenate(fail), np.concatenate(level), _nano(prior / (size + prior))
+        weights, goes, arcs, p, n = [], [], [], self.p1, 0
         for k in range(1, order + 1):
-            last = firsts[k - 1]
-            if k == 1:
-                seen, context = np.arange(len(last)), np.zeros(len(last), np.int64)
-            else:
-                seen = np.flatnonzero(counts[k - 1] > 0)
-                before, begins = last[seen] - 1, grams.place[last[seen]] == 0
-                context = np.where(begins, self.start, state[k - 2][grams.at[k - 2][before]])
-                shorter = p[grams.at[k - 2][last[seen]]]
-                longer = np.zeros(len(last))
-                longer[seen] = (counts[k - 1][seen] + prior * shorter) / (size[context] + prior)
-                p = longer
-            kept = min(k, order - 1)
-            keys.append(context * words + tokens[last[seen]])
-            weights.append(_nano(p[seen]))
-            goes.append(state[kept - 1][grams.at[kept - 1][last[seen]]] if order > 1 else np.zeros(len(seen), np.int64))
-        keys = np.concatenate(keys)
-        rising = np.argsort(keys)
-        self.keys, self.weights, self.goes = keys[rising], np.concatenate(weights)[rising], np.concatenate(goes)[rising]
-
-    def read(self, tokens: np.ndarray, length: np.ndarray, order: int) -> np.ndarray:
+            seen = np.flatnonzero(counts[k - 1] > 0) if k > 1 else np.arange(len(counts[0]))
+            ends = last[k - 1][seen]
+            if k > 1:
+                context = state[k - 2][grams.at[k - 2][ends - 1]]
+                context[grams.place[ends] == 0] = self.start
+                shorter, p = p[grams.at[k - 2][ends]], np.ones(len(counts[k - 1]))
+                p[seen] = (counts[k - 1][seen] + prior * shorter) / (size[context] + prior)
+            weights.append(_nano(p))
+            to = np.full(len(counts[k - 1]), -1, np.int32)
+            kept = min(k, order - 1)  # words of the longest context that the arc can lead to
+            to[seen] = state[kept - 1][grams.at[kept - 1][ends]] if kept else 0
+            goes.append(to)
+            arcs.append(grams.at[k - 1] + np.int32(n))
+            n += len(to)
+        self.arc, self.weights, self.goes = np.stack(arcs), np.concatenate(weights), np.concatenate(goes)
+
+    def read(self, length: np.ndarray) -> np.ndarray:
         """Log10 probabilities of the texts in billionths: all stretches side by side, from left to right."""
         first = np.cumsum(length) - length
         pieces = -(-length // STRETCH)
         text = np.repeat(np.arange(len(length)), pieces)
         begin = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
         size = np.minimum(STRETCH, length[text] - begin)
-        lead = np.minimum(begin, order - 1)
+        lead = np.minimum(begin, len(self.arc) - 1)
         falling = np.argsort(-(lead + size), kind="stable")
         text, begin, size, lead = text[falling], begin[falling], size[falling], lead[falling]
         at, steps = first[text] + begin - lead, lead + size
-        state = np.where(begin == lead, self.start, 0)
+        state = np.where(begin == lead, self.start, 0).astype(np.int32)
         total = np.zeros(len(text), np.int64)
         for t in range(int(steps[0]) if len(steps) else 0):
-            n = int(np.searchsorted(-steps, -t, "left"))  # stretches of more than t steps
-            word, counted = tokens[at[:n] + t], lead[:n] <= t
-            lanes = np.arange(n)
+            lanes = np.arange(np.searchsorted(-steps, -t, "left"))  # stretches of more than t steps
             while len(lanes):
-                key = state[lanes] * self.words + word[lanes]
-                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found = self.keys[arc] == key
-                hit, arc, miss = lanes[found], arc[found], lanes[~found]
-                total[hit] += np.where(counted[hit], self.weights[arc], 0)
-                state[hit] = self.goes[arc]
-                total[miss] += np.where(counted[miss], self.backoff[state[miss]], 0)
-                state[miss] = self.fail[state[miss]]
-                lanes = miss
+                now = state[lanes]
+                arc = self.arc[self.level[now], at[lanes] + t]
+                goes, counted = self.goes[arc], lead[lanes] <= t
+                found = goes >= 0
+                total[lanes] += np.where(counted, np.where(found, self.weights[arc], self.backoff[now]), 0)
+                state[lanes] = np.where(found, goes, self.fail[now])
+                lanes = lanes[~found]
         out = np.zeros(len(length), np.int64)
         np.add.at(out, text, total)
         return out
@@ -282,22 +291,23 @@ class Automaton:
 SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, base long, score long"
 
 
-def _score(order: int, total: int, types: int, prior: float):
+def _score(order: int, bits: int, total: int, types: int, prior: float):
     """A shelf and the answers to it -> its documents' scores."""
 
     def run(shelf: pa.Table, answers: pa.Table) -> pa.Table:
         one = shelf.to_pylist()[0]
-        words, tokens, length, grams = _read(one, order)
+        words, tokens, length, grams = _read(one, order, bits)
         answers = answers.sort_by([("n", "ascending"), ("range", "ascending")])
         n, blobs = np.array(answers["n"]), answers["counts"].to_pylist()
-        counts = [np.concatenate([_unpack(blobs[i]) for i in np.flatnonzero(n == k)]).astype(np.int64) for k in range(1, order + 1)]
+        none = np.zeros(0, np.uint64)  # short texts have no n-grams of the higher orders
+        counts = [np.concatenate([none, *(_unpack(blobs[i]) for i in np.flatnonzero(n == k))]).astype(np.int64) for k in range(1, order + 1)]
         end = int(np.flatnonzero(words == END)[0])
-        automaton = Automaton(tokens, grams, counts, len(words), end, total, types, prior)
+        automaton = Automaton(tokens, grams, counts, end, total, types, prior)
         text = np.repeat(np.arange(len(length)), length)
         base, known = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
         np.add.at(base, text, _nano(automaton.p1)[grams.at[0]])
         np.add.at(known, text, (counts[0] > 0)[grams.at[0]].astype(np.int64))
-        score = automaton.read(tokens, length, order)
+        score = automaton.read(length)
         columns = (one["doc_id"], one["held_out"], length, known, base, score)
         return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(SCORES.split(", "), columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))})
 
@@ -310,15 +320,17 @@ def language_scores(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, s
     base_score is the unigram model's, score the automaton's log10 probability of the whole text and its end.
     A null text is empty: one token, its end. Rows are scored each, repeated ones and those without doc_id too;
     the latter are learned from. Texts of any length are read whole; other columns are ignored. Without training rows
-    every word is equally (un)likely. Words are compared by 64-bit hashes.
+    every word is equally (un)likely. Words are compared by 64-bit hashes, longer
+    n-grams by hashes whose width grows with the corpus.
     """
     kind = docs.schema["doc_id"].dataType
     rows = docs.select(F.col("doc_id").cast("string"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     shelves = stored(rows.mapInArrow(_shelve(shelf), SHELVES), "shelves")
     tokens = shelves.agg(F.sum("n_tokens")).first()[0] or 0
-    asked = shelves.mapInArrow(_ranges(order, max(1, -(-tokens // RANGE))), "n int, range long, shelf string, hashes binary, counts binary")
+    bits = _bits(tokens)
+    asked = shelves.mapInArrow(_ranges(order, max(1, -(-tokens // RANGE)), bits), "n int, range long, shelf string, hashes binary, counts binary")
     answers = stored(asked.groupBy("n", "range").applyInArrow(_count, "n int, range long, shelf string, counts binary, total long, types long"), "answers")
     known = answers.where("shelf is null and n = 1").agg(F.sum("total"), F.sum("types")).first()
     total, types = known[0] or 0, known[1] or 0
-    scored = shelves.groupBy("shelf").cogroup(answers.where("shelf is not null").select("shelf", "n", "range", "counts").groupBy("shelf")).applyInArrow(_score(order, total, types, prior), SCORES)
+    scored = shelves.groupBy("shelf").cogroup(answers.where("shelf is not null").select("shelf", "n", "range", "counts").groupBy("shelf")).applyInArrow(_score(order, bits, total, types, prior), SCORES)
     return scored.select(F.col("doc_id").cast(kind).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / float(UNIT)).alias("base_score"), (F.col("score") / float(UNIT)).alias("score"))

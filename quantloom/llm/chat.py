@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
 A conversation's rows are collected as structs and sorted by turn; adjacent turns of one role are
-merged into one block by an array aggregation; blocks are joined to one string:
+merged into one block by array functions; blocks are joined to one string:
 
     <|im_start|>role\\ntext<|im_part|>text<|im_end|>\\n
 
@@ -11,6 +11,8 @@ that control strings occur only where the template puts them and the turns can b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +43,68 @@ def format_chats(turns: DataFrame) -> DataFrame:
     loss_spans: (start, length) in code points of formatted of each assistant text. Null roles and
     texts are empty, null turns come first, rows of one turn are in the order of role and text,
     repeated rows stay; rows whose conv_id is null are one conversation. Extra columns are ignored.
-    A conversation is one training example and one result row.
+    A conversation is one training example and one result row; texts of any length are kept whole, and many
+    turns cost little more than in proportion.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col("turn").alias("turn"), escape_role(text("role")).alias("role"), escape(text("text")).alias("text"))
     rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    blocks = """aggregate(turns, cast(array() as array<struct<role: string, texts: array<string>>>), (acc, t) ->
-        if(size(acc) > 0 and element_at(acc, -1).role = t.role,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('role', t.role, 'texts', concat(element_at(acc, -1).texts, array(t.text))))),
-           concat(acc, array(named_struct('role', t.role, 'texts', array(t.text))))))"""
-    rows = rows.select("conv_id", F.expr(blocks).alias("blocks"))
+    rows = rows.select("conv_id", _let(F.col("turns"), _blocks).alias("blocks"))
     whole = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], PART), F.lit(STOP))), "")
-    spans = f"""aggregate(blocks, named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>)), (acc, b) ->
-        aggregate(b.texts, named_struct('at', acc.at + {len(START)} + length(b.role) + 1, 'spans', acc.spans), (a, x) ->
-            named_struct('at', a.at + length(x) + {len(PART)}, 'spans',
-                if(b.role = '{LEARNED}', concat(a.spans, array(named_struct('start', a.at, 'length', cast(length(x) as bigint)))), a.spans)),
-            a -> named_struct('at', a.at - {len(PART)} + {len(STOP)}, 'spans', a.spans)),
-        acc -> acc.spans)"""
-    return rows.select("conv_id", whole.alias("formatted"), F.expr(spans).alias("loss_spans"))
+    return rows.select("conv_id", whole.alias("formatted"), _let(_pieces(F.col("blocks")), _spans).alias("loss_spans"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(turns: Column) -> Column:
+    """array<(role, texts)>: sorted turns cut where the role changes, each turn copied once."""
+    first = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (turns[i]["role"] != F.get(turns, i - 1)["role"]))
+
+    def cut(starts: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(turns))
+        return F.transform(starts, lambda i, k: F.struct(turns[i]["role"].alias("role"), F.transform(F.slice(turns, i + 1, end(k) - i), lambda t: t["text"]).alias("texts")))
+
+    return _let(first, cut)
+
+
+def _pieces(blocks: Column) -> Column:
+    """array<(before, length, after, learned)>: the texts in turn, with the template's characters before and after each."""
+
+    def texts(b: Column) -> Column:
+        head = F.length(b["role"]) + len(START) + 1
+        return F.transform(b["texts"], lambda x, i: F.struct(F.when(i == 0, head).otherwise(len(PART)).cast("long").alias("before"), F.length(x).cast("long").alias("length"), F.when(i == F.size(b["texts"]) - 1, len(STOP)).otherwise(0).cast("long").alias("after"), (b["role"] == LEARNED).alias("learned")))
+
+    return F.flatten(F.transform(blocks, texts))
+
+
+def _running(sizes: Column) -> Column:
+    """The sum of the numbers before each, in two levels: runs of the root of their count, and the runs' sums."""
+
+    def upto(row: Column) -> Column:
+        return F.aggregate(row, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def joined(rows: Column) -> Column:
+        return _let(upto(F.transform(rows, lambda r: F.element_at(r, -1))), lambda base: F.flatten(F.transform(rows, lambda r, k: F.transform(F.slice(r, 1, F.size(r) - 1), lambda x: x + base[k]))))
+
+    def cut(width: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), width)
+        return _let(F.transform(starts, lambda i: upto(F.slice(sizes, i + 1, width))), joined)
+
+    return _let(F.greatest(F.ceil(F.sqrt(F.size(sizes))).cast("int"), F.lit(1)), cut)
+
+
+def _spans(pieces: Column) -> Column:
+    """array<(start, length)> of the texts under the loss mask."""
+    sizes = F.transform(pieces, lambda p: p["before"] + p["length"] + p["after"])
+
+    def spans(at: Column) -> Column:
+        every = F.transform(pieces, lambda p, i: F.struct((at[i] + p["before"]).alias("start"), p["length"].alias("length"), p["learned"].alias("learned")))
+        return F.transform(F.filter(every, lambda x: x["learned"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+
+    return _let(_let(sizes, _running), spans)
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -72,7 +118,9 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         body = F.substring(block, head + 1, F.length(block) - head - len(STOP))
         return F.transform(F.split(body, bare(PART), -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    # four bytes a code point: a span is found without counting from the string's start
+    cut = lambda raw, s: F.decode(F.substring(raw, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32")
+    loss = _let(F.encode("formatted", "UTF-32"), lambda raw: F.transform("loss_spans", lambda s: unescape(cut(raw, s))))
     return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, turns)).alias("turns"), loss.alias("loss_texts"))
 
 

@@ -6,9 +6,10 @@ digits after the first), so that repeats go to shorter documents first, and c is
 which the expected words are its target. The whole part of that is certain copies; the rest, p, is
 the document's inclusion odds in a sample, unlike for documents of unlike length. The source's documents
 are ranked in one order by (u / (1 - u)) / (p / (1 - p)), u a uniform number hashed from the document,
-and taken from its start. The size that is fixed is the source's remaining words, in which targets are set:
-the sample ends before the document that would exceed them, and what is then missing, less than that one
-document, is rounded by the one further document that comes nearest.
+and taken from its start. The size that is fixed is the source's remaining words, as targets are set in words: a
+fixed number of documents would miss its target by the spread of their lengths. The sample ends before or
+after the document in which the words are full, whichever is nearer. Equal rows are told apart by a number, so each
+has its own place in the order.
 
 The cut in a source's order is found by counts over digits of the rank, two rounds of at most 4,096
 buckets a source, so no task sorts a whole source.
@@ -25,6 +26,8 @@ from .common import stored
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 BUCKETS = 4096
+#: Equal rows that are dealt out together.
+REPEATS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -98,11 +101,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     """doc_id, size, source, source_size, target, copies, taken of every row.
 
     Null texts have size 0 and are taken 0 times; null sources are one source, the last. The same
-    rows and seed give the same mix. Repeated rows are ranked each, and taken alike. A source without
-    words has target 0. Texts of any length are counted whole.
+    rows and seed give the same mix, in whatever order they come. Repeated rows, and rows without doc_id, are ranked
+    each. A source without words has target 0. Texts of any length are counted whole.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    sized = stored(sized, "sized")
+    sized = stored(_told_apart(_keys(docs)), "sized")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_key")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stored(targets(sums, weights, share, most).select(key, "source_size", "target"), "targets")
@@ -112,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     room = F.col("target") - F.sum(F.col("_whole") * F.col("_words")).over(Window.partitionBy("_key"))
     classes = stored(classes.select("_key", "_w", "_whole", F.greatest(F.col("_times") - F.col("_whole"), F.lit(0.0)).alias("_p"), room.alias("_room")), "levels")
     rows = keyed.join(goal, "_key").join(classes, ["_key", "_w"], "left").fillna(0, ["_whole", "_p", "_room"])
-    u, p = _uniform("doc_id", "size", "source", seed=seed), F.col("_p")
+    u, p = _uniform("doc_id", "size", "source", "_repeat", seed=seed), F.col("_p")
     odds = (u / (1 - u)) / (p / (1 - p))
     rows = rows.withColumn("_q", F.when(p > 0, odds)).withColumn("_v", F.col("_q") / (1 + F.col("_q")) * BUCKETS)
     rows = rows.withColumn("_d1", F.floor("_v")).withColumn("_d2", F.floor((F.col("_v") - F.col("_d1")) * BUCKETS))
@@ -122,28 +124,52 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     inside = live.join(one, "_key").where("_d1 = _d1_cut").withColumn("_room2", F.col("_room") - F.col("_d1_before"))
     two = stored(_cut(inside, "_d2", ["_key"], "_room2"), "cut")
     last = inside.join(two, "_key").where("_d2 = _d2_cut")
-    upto = F.sum("size").over(Window.partitionBy("_key").orderBy("_q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("_upto", upto).where("_upto > _room2 - _d2_before")
-    stop = last.groupBy("_key").agg(F.min(F.struct("_q", "doc_id", "size", F.expr("_room2 - _d2_before - (_upto - size)"))).alias("_stop"))
-    stop = stored(stop.select("_key", F.col("_stop._q").alias("_stop_q"), F.col("_stop.doc_id").alias("_stop_id"), F.col("_stop.size").alias("_stop_size"), F.col("_stop.col4").alias("_gap")), "stop")
-    rows = rows.join(stop, "_key", "left")
-    order = F.struct("_q", "doc_id", "size") < F.struct(F.col("_stop_q").alias("_q"), F.col("_stop_id").alias("doc_id"), F.col("_stop_size").alias("size"))
-    rows = rows.withColumn("_in", (p > 0) & (F.col("size") > 0) & (F.col("_stop_q").isNull() | F.coalesce(order, F.lit(False))))
-    fills = rows.where("_p > 0 and size > 0 and not _in and abs(_gap - size) < _gap").groupBy("_key").agg(F.min(F.struct(F.expr("abs(_gap - size)").alias("_off"), "_q", "doc_id")).alias("_fill"))
-    fills = stored(fills, "fill")
-    rows = rows.join(fills, "_key", "left")
-    fill = ~F.col("_in") & (F.col("_q") == F.col("_fill._q")) & F.col("doc_id").eqNullSafe(F.col("_fill.doc_id"))
-    copies = (F.col("_whole") + F.when(F.col("_in") | F.coalesce(fill, F.lit(False)), 1).otherwise(0)).cast("long")
+    order = ("_q", "doc_id", "size", "_repeat")
+    upto = F.sum("size").over(Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    last = last.withColumn("_gap", F.expr("_room2 - _d2_before") - (upto - F.col("size"))).where("size > _gap")
+    stop = last.groupBy("_key").agg(F.min(F.struct(*order, "_gap")).alias("_stop"))
+    rows = rows.join(stored(stop, "stop"), "_key", "left")
+    here, end = F.struct(*order), F.struct(*(F.col(f"_stop.{c}").alias(c) for c in order))
+    taken = F.col("_stop").isNull() | (here < end) | (here.eqNullSafe(end) & (F.col("size") <= 2 * F.col("_stop._gap")))
+    copies = (F.col("_whole") + F.when((p > 0) & taken, 1).otherwise(0)).cast("long")
     return rows.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _keys(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows with _repeat, a number from 0 that tells equal rows apart. Equal rows are counted and dealt out again
+    in blocks of REPEATS, so that however many there are, no task holds or sorts them."""
+    counts = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    once = counts.where("_n = 1").select(*rows.columns, F.lit(0).cast("long").alias("_repeat"))
+    many = counts.where("_n > 1").select(*rows.columns, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(REPEATS).cast("long"))).alias("_block"))
+    many = many.repartition(*rows.columns, "_block")
+    return once.union(many.select(*rows.columns, F.explode(F.sequence(F.col("_block"), F.least(F.col("_block") + REPEATS, F.col("_n")) - 1)).alias("_repeat")))
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as in docs.
 
-    Rows that share a doc_id (or have none), a source and a size are taken alike, as often as the
-    one of them that is taken most.
+    Of rows that share a doc_id (or have none), a source and a size as many are taken once more as `mix` says. These
+    rows, few in most tables, are written once, so that each task's share of them is the same when it is read again.
     """
-    chosen = mix(docs, weights, share, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"), "_copies")
+    ids = ("_id", "_of", "_words")
+    chosen = mix(docs, weights, share, most).groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n"), F.min("copies").alias("_least"), F.sum("copies").alias("_sum"))
+    chosen = stored(chosen.where("_sum > 0").toDF(*ids, "_n", "_least", "_sum"), "chosen")
     same = F.col("_id").eqNullSafe(docs["doc_id"].cast("long")) & F.col("_of").eqNullSafe(docs["source"].cast("string")) & (F.col("_words") == word_count(docs["text"].cast("string")))
-    return docs.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    taken = docs.join(chosen, same)
+    once = taken.where("_n = 1").withColumn("_copies", F.col("_sum"))
+    many = stored(taken.where("_n > 1").withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "repeats")
+    parts = many.groupBy(*ids, "_part").agg(F.count("*").alias("_in"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*ids).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*(F.col(c).alias(f"{c}_") for c in ids), F.col("_part").alias("_part_"), before.alias("_before"))
+    of = F.col("_part") == F.col("_part_")
+    for c in ids:
+        of = of & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*ids, "_part").orderBy("_row"))
+    more = F.col("_sum") - F.col("_least") * F.col("_n")  # rows that are taken once more than the others
+    many = many.join(parts, of).withColumn("_copies", F.col("_least") + F.when(place <= more, 1).otherwise(0)).where("_copies > 0")
+    every = once.select(*docs.columns, "_copies").union(many.select(*docs.columns, "_copies"))
+    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(docs.columns)

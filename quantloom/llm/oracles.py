@@ -45,13 +45,10 @@ c3 AS (SELECT *, max(CASE WHEN w = cut THEN c END) OVER (PARTITION BY source) AS
 c4 AS (SELECT *, CASE WHEN cut IS NOT NULL AND w <= cut THEN least(2e0, level * w) ELSE 2e0 END AS times FROM c3),
 c5 AS (SELECT *, CAST(floor(times + 1e-12) AS BIGINT) AS whole FROM c4),
 c6 AS MATERIALIZED (SELECT source, w, whole, greatest(times - whole, 0e0) AS p, target - CAST(sum(whole * words) OVER (PARTITION BY source) AS BIGINT) AS room FROM c5),
-u AS (SELECT k.*, coalesce(whole, 0) AS whole, coalesce(p, 0) AS p, coalesce(room, 0) AS room, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size || '|' || coalesce(k.source, '') || '|20260101'), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM k LEFT JOIN c6 ON k.source IS NOT DISTINCT FROM c6.source AND k.w = c6.w),
+u AS (SELECT k.*, coalesce(whole, 0) AS whole, coalesce(p, 0) AS p, coalesce(room, 0) AS room, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size || '|' || coalesce(k.source, '') || '|' || nth || '|20260101'), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, size, source) - 1 AS nth FROM k) AS k LEFT JOIN c6 ON k.source IS NOT DISTINCT FROM c6.source AND k.w = c6.w),
 q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u),
-o AS (SELECT *, CASE WHEN q IS NOT NULL THEN CAST(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS upto FROM q),
-i AS (SELECT *, q IS NOT NULL AND upto <= room AS inside FROM o),
-g AS (SELECT *, room - coalesce(CAST(sum(CASE WHEN inside THEN size END) OVER (PARTITION BY source) AS BIGINT), 0) AS gap, max(CASE WHEN upto > room THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS over FROM i),
-f AS (SELECT *, CASE WHEN over = 1 AND q IS NOT NULL AND NOT inside AND abs(gap - size) < gap THEN row_number() OVER (PARTITION BY source, over = 1 AND q IS NOT NULL AND NOT inside AND abs(gap - size) < gap ORDER BY abs(gap - size), q, doc_id) END AS fill FROM g)
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (whole + CASE WHEN inside OR fill = 1 THEN 1 ELSE 0 END) * size ELSE 0 END AS taken FROM f"""
+o AS (SELECT *, CASE WHEN q IS NOT NULL THEN CAST(sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size, nth ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS upto FROM q)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (whole + CASE WHEN q IS NOT NULL AND (upto <= room OR (upto - size <= room AND upto - room <= room - (upto - size))) THEN 1 ELSE 0 END) * size ELSE 0 END AS taken FROM o"""
 
 _BLANK = r"[\x20\x09-\x0D]"
 _SENTENCE = r"""(?s).+?(?:[.!?]["''\x{201D}\x{2019}\x{00BB})\]}]*[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*|\z)"""
@@ -62,15 +59,18 @@ c AS (SELECT doc_id, lead, i, CASE WHEN length(s) > 80 AND NOT contains(s, chr(1
   lambda x: CASE WHEN substr(md5(regexp_replace(x, '{_BLANK}+', '', 'g')), 1, 1) IN ('0', '1', '2', '3') THEN x || chr(1) ELSE x END), ''), chr(1)), lambda x: x <> '') ELSE [s] END AS parts FROM s WHERE s <> ''),
 e AS (SELECT doc_id, lead, i, unnest(parts) AS s, generate_subscripts(parts, 1) AS j FROM c),
 p AS MATERIALIZED (SELECT doc_id, lead, s, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS place, rtrim(regexp_replace(s, '{_BLANK}+', ' ', 'g')) AS norm FROM e),
-m AS MATERIALIZED (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n, lead(norm) OVER (PARTITION BY doc_id ORDER BY place) AS next FROM p),
-f AS MATERIALIZED (SELECT norm, next, min(doc_id) AS first_doc FROM m WHERE next IS NOT NULL AND norm <> next GROUP BY 1, 2),
-h AS MATERIALIZED (SELECT m.doc_id, m.place, f.first_doc FROM m JOIN f ON f.norm = m.norm AND f.next = m.next WHERE m.doc_id <> f.first_doc),
-g AS (SELECT *, CASE WHEN lag(place) OVER (PARTITION BY doc_id ORDER BY place) >= place - 2 THEN 0 ELSE 1 END AS new FROM h),
-l AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY place) AS lot FROM g),
-t AS (SELECT doc_id, lot, min(place) AS a, max(place) + 2 AS b, arg_min(first_doc, place) AS first_doc FROM l GROUP BY 1, 2),
-z AS (SELECT t.*, x.n FROM t JOIN (SELECT t.doc_id, t.lot, CAST(sum(m.n) AS BIGINT) AS n FROM t JOIN m ON m.doc_id = t.doc_id AND m.place >= t.a AND m.place < t.b GROUP BY 1, 2) x ON x.doc_id = t.doc_id AND x.lot = t.lot WHERE x.n >= 30),
-y AS (SELECT doc_id, arg_min(first_doc, a) AS first_doc_id, count(*) AS n_stretches, CAST(sum(b - a) AS BIGINT) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_words FROM z GROUP BY 1),
-k AS (SELECT m.doc_id, any_value(m.lead) AS lead, coalesce(string_agg(m.s, '' ORDER BY m.place) FILTER (z.doc_id IS NULL), '') AS rest FROM m LEFT JOIN z ON z.doc_id = m.doc_id AND m.place >= z.a AND m.place < z.b WHERE m.doc_id IN (SELECT doc_id FROM y) GROUP BY 1)
+m AS MATERIALIZED (SELECT *, length(norm) - length(replace(norm, ' ', '')) + 1 AS n FROM p),
+u AS MATERIALIZED (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY place) AS BIGINT) AS upto FROM m),
+l AS MATERIALIZED (SELECT doc_id, list(norm ORDER BY place) AS norms FROM m GROUP BY 1),
+r AS (SELECT a.doc_id, a.place AS i, min(b.place) AS j FROM u AS a JOIN u AS b ON a.doc_id = b.doc_id AND b.place > a.place AND b.place <= a.place + 30 AND b.upto - a.upto + a.n >= 30 GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.place), b.place FROM u AS a JOIN u AS b ON a.doc_id = b.doc_id AND b.place > a.place AND b.place <= a.place + 30 AND b.upto - a.upto + a.n >= 30 GROUP BY 1, b.place),
+q AS MATERIALIZED (SELECT r.*, norms[i + 1 : j + 1] AS run FROM r JOIN l USING (doc_id) WHERE len(list_distinct(norms[i + 1 : j + 1])) > 1),
+f AS MATERIALIZED (SELECT run, min(doc_id) AS first_doc FROM q GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+h AS MATERIALIZED (SELECT q.doc_id, q.i, q.j, f.first_doc FROM q JOIN f ON q.run = f.run AND q.doc_id <> f.first_doc),
+z AS MATERIALIZED (SELECT m.doc_id, m.place, m.n, min(h.first_doc) FILTER (h.i = m.place) AS first_doc FROM m JOIN h ON h.doc_id = m.doc_id AND m.place BETWEEN h.i AND h.j GROUP BY 1, 2, 3),
+g AS (SELECT *, CASE WHEN lag(place) OVER (PARTITION BY doc_id ORDER BY place) = place - 1 THEN 0 ELSE 1 END AS new FROM z),
+y AS (SELECT doc_id, arg_min(first_doc, place) AS first_doc_id, CAST(sum(new) AS BIGINT) AS n_stretches, count(*) AS n_sentences, CAST(sum(n) AS BIGINT) AS n_words FROM g GROUP BY 1),
+k AS (SELECT m.doc_id, any_value(m.lead) AS lead, coalesce(string_agg(m.s, '' ORDER BY m.place) FILTER (z.doc_id IS NULL), '') AS rest FROM m LEFT JOIN z ON z.doc_id = m.doc_id AND z.place = m.place WHERE m.doc_id IN (SELECT doc_id FROM y) GROUP BY 1)
 SELECT y.*, k.lead || k.rest AS text FROM y JOIN k USING (doc_id)"""
 
 _CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"

@@ -189,30 +189,49 @@ def sentences(text):
 
 
 def without_repeats(rows):
-    """{doc_id: (sentences gone, words gone, rest)} of the documents that lose a stretch of runs of two
-    or more sentences, each run standing in an earlier document too, of 30 words or more."""
+    """{doc_id: (sentences gone, words gone, rest)}: for every pair of documents the longest runs of sentences that
+    both have are compared place by place; those of two sentences (not all equal) and 30 words go from the later one."""
     texts = {i: sentences(t) for i, t in rows if i is not None and t is not None}
     whole = dict(rows)
     norm = {i: [tuple(WORD.findall(x)) for x in s] for i, s in texts.items()}
-    first = {}
+    places = defaultdict(list)
     for i in sorted(norm):
-        for a, b in itertools.pairwise(norm[i]):
-            first.setdefault((a, b), i)
+        for j, s in enumerate(norm[i]):
+            places[s].append((i, j))
     out = {}
     for i, s in norm.items():
-        again = [a != b and first[a, b] != i for a, b in itertools.pairwise(s)]
-        covered = [(j < len(again) and again[j]) or (j > 0 and again[j - 1]) for j in range(len(s))]
         gone = set()
-        for flag, group in itertools.groupby(range(len(s)), key=lambda j: covered[j]):
-            group = list(group)
-            if flag and sum(len(s[j]) for j in group) >= 30:
-                gone.update(group)
+        for j in range(len(s)):
+            for k, m in places[s[j]]:
+                if k >= i:
+                    break
+                if j and m and s[j - 1] == norm[k][m - 1]:
+                    continue  # not where the shared run begins
+                n = 0
+                while j + n < len(s) and m + n < len(norm[k]) and s[j + n] == norm[k][m + n]:
+                    n += 1
+                run = s[j : j + n]
+                if n > 1 and len(set(run)) > 1 and sum(map(len, run)) >= 30:
+                    gone.update(_told(run, j))
         if gone:
             lead = whole[i][: len(whole[i]) - len(whole[i].lstrip(SPACE))]
             out[i] = (len(gone), sum(len(s[j]) for j in gone), lead + "".join(x for j, x in enumerate(texts[i]) if j not in gone))
     return out
 
 
+def _told(run, start):
+    """Places of a shared run's sentences that lie in a part of it of 30 words whose sentences are not all equal."""
+    own = set()
+    for a in range(len(run)):
+        for b in range(a + 2, len(run) + 1):
+            if sum(map(len, run[a:b])) >= 30:
+                if len(set(run[a:b])) > 1 and (sum(map(len, run[a + 1 : b])) < 30 or sum(map(len, run[a : b - 1])) < 30 or b - a == 2):
+                    own.update(range(start + a, start + b))
+                if sum(map(len, run[a + 1 : b])) >= 30 and b - a > 2:
+                    break
+    return own
+
+
 def expected_copies(held, goals):
     """{(source, size): copies} from {(source, size): documents}: level times weight, found by halving."""
     out = {}

@@ -74,6 +74,19 @@ def test_chat(spark, sf):
     assert chat.digests(chat.format_chats(every.limit(0))).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """A conversation of 30,000 turns, in blocks of one and of several; and one of as many turns of one role."""
+    import time
+
+    turns = spark.range(30_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 5 < 2, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text <|"), "id").alias("text"))
+    every = turns.union(turns.select(F.lit(2), "turn", F.lit("assistant"), "text")).cache()
+    began = time.time()
+    out = chat.digests(chat.format_chats(every)).collect()
+    assert time.time() - began < 20
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in out}
+    assert got == brute.chats([(r["conv_id"], r["turn"], r["role"], r["text"]) for r in every.collect()])
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
@@ -270,6 +283,25 @@ def test_mixing_takes_documents_as_often_as_expected(spark):
     assert max(map(abs, off)) < 0.25 and sum(map(abs, off)) / len(off) < 0.05, (max(map(abs, off)), sum(map(abs, off)) / len(off))
 
 
+def test_mixing_of_repeated_rows_and_of_rows_without_an_id(spark):
+    """Equal rows are taken each: a source's words are within one document of its target."""
+    rows = [(i, "t", "w " * 10) for i in range(100)] + [(7777, "t", "w " * 10)] * 400 + [(None, "n", "w " * 12)] * 500 + [(5000 + i, "o", "w " * 30) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    for seed in (1, 2, 3):
+        got = mixing.mix(frame, seed=seed).collect()
+        assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((i, s) for i, s, _ in rows)
+        taken, target = Counter(), {}
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= 30 for s in target), (taken, target)
+    mixed = mixing.mixed_documents(frame)
+    words = Counter({r["source"]: r["words"] for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("words")).collect()})
+    assert words == Counter({r["source"]: r["words"] for r in mixing.mix(frame).groupBy("source").agg(F.sum("taken").alias("words")).collect()})
+    copies = mixed.where("doc_id = 7777").count()
+    assert 400 <= copies <= 800
+
+
 def test_mixing_none(none, docs):
     assert mixing.mix(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
@@ -458,6 +490,15 @@ def test_substring_against_brute(spark, sf, docs):
     assert got == want and len(want) > 10
 
 
+def test_substring_needs_one_earlier_document_for_a_whole_span(spark):
+    """A B from one document and C D from another are no repeated span of 30 words."""
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n)) + "."
+    a, b, c, d = (words(k, 8) for k in "abcd")
+    frame = spark.createDataFrame([(1, f"{a} {b}"), (2, f"{c} {d}"), (3, f"{a} {b} {c} {d}"), (4, f"{words('x', 3)} {a} {b} {c} {d}"), (5, f"{words('y', 29)} z."), (6, f"{words('y', 29)} z.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["first_sentence"], r["n_sentences"], r["n_words"], r["first_doc_id"]) for r in substring.repeated_spans(frame).collect()}
+    assert got == {(4, 1, 4, 32, 3), (6, 0, 2, 30, 5)}
+
+
 def test_passages_are_found_whatever_marks_and_lines_do(spark):
     rng = __import__("random").Random(11)
     some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
@@ -497,4 +538,4 @@ def test_substring_none(none):
 
 
 def test_queries_are_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SUFFIX = {"t": 1e12, "b": 1e9, "m": 1e6, "k": 1e3}
 RATINGS = ("buy", "overweight", "hold", "underweight", "sell")
-#: Entities replaced after tags have gone; the ampersand last, so that nothing is unescaped twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+#: White space of any kind, no-break blanks included.
+SPACES = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Names that stand for characters without a final semicolon, longest first: a name may begin another.
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 #: Exchange suffixes with their market prefix and the width numeric codes are padded to.
 MARKETS = {".HK": ("HK.", 5), ".T": ("JP.", 0), ".SS": ("SH.", 0), ".SZ": ("SZ.", 0), ".AX": ("AU.", 0), ".TO": ("CA.", 0), ".SI": ("SG.", 0), ".KL": ("MY.", 0)}
 #: Suffixes of exchanges without a market prefix.
@@ -68,9 +72,40 @@ def strip_html(c: Column) -> Column:
     has = text.contains("<!-- SC_OFF -->") & text.contains("<!-- SC_ON -->")
     inner = F.split_part(F.split_part(text, F.lit("<!-- SC_OFF -->"), F.lit(2)), F.lit("<!-- SC_ON -->"), F.lit(1))
     text = F.regexp_replace(F.when(has, inner).otherwise(text), "<[^>]+>", " ")
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape_html(text), SPACES, " "))
+
+
+def _character(code: Column) -> Column:
+    """The character that a numeric reference means: code points of the old Windows page as that page has them,
+    those that are no characters as U+FFFD, controls as nothing."""
+    page = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 0x0D: "\r"}
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    control = code.between(1, 8) | code.between(14, 31) | (code == 11) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    old = F.element_at(F.array(*(F.lit(page[n]) for n in range(0x80, 0xA0))), (code - 0x7F).cast("int"))
+    out = F.when(code.between(0x80, 0x9F), old).when(code == 0, "\ufffd").when(code == 13, "\r")
+    return out.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(control, "").otherwise(plain)
+
+
+def unescape_html(c: Column) -> Column:
+    """Every HTML5 character reference as its character, once: names with or without a semicolon, decimal and
+    hexadecimal numbers. What is none stays as it stands."""
+    names = F.map_from_arrays(F.array(*map(F.lit, html5)), F.array(*map(F.lit, html5.values())))
+    number = r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
+
+    def read(part: Column) -> Column:
+        digits, hexes = F.regexp_extract(part, "^#([0-9]+)", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+)", 1)
+        code = F.when(digits != "", F.coalesce(digits.try_cast("long"), F.lit(0x110000))).otherwise(F.when(F.length(F.ltrim(hexes, F.lit("0"))) > 8, 0x110000).otherwise(F.conv(hexes, 16, 10).try_cast("long")))
+        code = F.when(code > 0x10FFFF, 0x110000).otherwise(code)
+        name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        start = F.regexp_extract(name, "^(?:" + "|".join(BARE_NAMES) + ")", 0)
+        found, short = F.try_element_at(names, name), F.try_element_at(names, start)
+        rest = lambda said: F.substring(part, F.length(said) + 1, 2**30)
+        out = F.when(part.rlike(number), F.concat(_character(code), rest(F.regexp_extract(part, number, 0))))
+        out = out.when((name != "") & found.isNotNull(), F.concat(found, rest(name))).when(start != "", F.concat(short, rest(start)))
+        return out.otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    return F.when(c.contains("&"), F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, 2**30), read), ""))).otherwise(c)
 
 
 def json_list(c: Column) -> Column:

@@ -218,7 +218,7 @@ def ipos(rows: DataFrame, status: str = "pending", limit: int = 10) -> DataFrame
 
 def peers(rows: DataFrame, most: int = 24) -> DataFrame:
     """ticker, peers: the first `most` peers by ord as one text; ord tells the rows of a ticker apart."""
-    first = rows.where("peer is not null and ord < " + str(int(most)))
+    first = top_per(rows.where("peer is not null"), ["ticker"], [F.col("ord")], most)
     held = F.sort_array(F.collect_list(F.struct("ord", "peer")))  # `most` rows a ticker
     return first.groupBy("ticker").agg(F.array_join(F.transform(held, lambda x: x["peer"]), ", ").alias("peers"))
 

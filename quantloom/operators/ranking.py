@@ -26,25 +26,25 @@ def unpivot_factors(df: DataFrame, names: list[str], keys: list[str]) -> DataFra
     return df.unpivot(keys, names, "factor", "value").where("value is not null")
 
 
-def share_at_or_below(factors: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
-    """Add pct: the share of the factor's values that are not above this one (ties included).
+def share_at_or_below(factors: DataFrame, keys: list[str], ranges: int = 256) -> DataFrame:
+    """Add pct: the share of the factor's values that are not above this one (ties included; 0 and -0 are one).
 
-    Factors number a few, so a window per factor would sort all rows in as many tasks. Instead the
-    distinct values, rounded to `digits`, are counted first and cut into ranges told from the value
-    alone: sign and magnitude in steps of 2**(1/256). Running counts come from each range's total, so
-    no task holds a whole factor, and nothing depends on how Spark deals or reuses rows.
+    Factors number a few, so a window per factor would sort all rows in as many tasks. Instead the distinct
+    values are counted first and cut at approximate quantiles into `ranges` of about equal size. Running counts
+    come from each range's total, so no task holds a whole factor; wherever the cuts fall, the counts are exact.
     """
-    rows = factors.withColumn("value", F.round("value", digits))
-    counts = rows.groupBy(*keys, "factor", "value").agg(F.count("*").alias("_n"))
-    step = F.floor(F.log2(F.abs("value")) * 256) + (1 << 20)
-    placed = counts.withColumn("_part", F.when(F.col("value") > 0, step).when(F.col("value") < 0, -step).otherwise(F.lit(0)))
-    inner = Window.partitionBy(*keys, "factor", "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    parts = placed.groupBy(*keys, "factor", "_part").agg(F.sum("_n").alias("_size"))
-    group = Window.partitionBy(*keys, "factor")
-    parts = parts.withColumns({"_before": F.coalesce(F.sum("_size").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_size").over(group)})
-    shares = placed.withColumn("_upto", F.sum("_n").over(inner)).join(parts.drop("_size"), [*keys, "factor", "_part"])
-    shares = shares.select(*keys, "factor", "value", ((F.col("_before") + F.col("_upto")) / F.col("_all")).alias("pct"))
-    return rows.join(shares, [*keys, "factor", "value"])
+    group = [*keys, "factor"]
+    rows = factors.withColumn("value", F.col("value") + F.lit(0.0))
+    counts = rows.groupBy(*group, "value").agg(F.count("*").alias("_n"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
+    placed = counts.join(cuts, group).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    inner = Window.partitionBy(*group, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
+    every = Window.partitionBy(*group)
+    parts = parts.withColumns({"_before": F.coalesce(F.sum("_size").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_size").over(every)})
+    shares = placed.withColumn("_upto", F.sum("_n").over(inner)).join(parts.drop("_size"), [*group, "_part"])
+    shares = shares.select(*group, "value", ((F.col("_before") + F.col("_upto")) / F.col("_all")).alias("pct"))
+    return rows.join(shares, [*group, "value"])
 
 
 def composite(factors: DataFrame, keys: list[str], weights: dict[str, float] | None = None) -> DataFrame:

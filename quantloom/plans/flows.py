@@ -13,7 +13,7 @@ from ..operators import ranking as rk
 from ..operators import sentiment as st
 from ..sources import routing
 from ..sources import warehouse as wh
-from ..streaming import noi
+from ..streaming import frame_log, noi
 from . import sql as S
 from .registry import query, r, rounded
 
@@ -208,10 +208,10 @@ def currency_detect(spark, sf):
 
 
 @query(
-    "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS visible FROM pages"
+    "SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) || ' Café ’t’ &lt; 1–2 ¬it; x & y' AS visible FROM pages"
 )
 def strip_html(spark, sf):
-    return wh.table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("visible"))
+    return wh.table(spark, sf, "pages").select("page_id", text.strip_html(F.concat("html", F.lit("<p>Caf&eacute;&nbsp;&#8217;t&#x2019; &amp;lt; 1&#150;2 &notit; x & y</p>"))).alias("visible"))
 
 
 #: symbol, what it is on the price feed, its market code (none for indices and exchanges not covered), safe in a path
@@ -386,37 +386,44 @@ def frames(spark, sf):
     return wh.table(spark, sf, "events").select(F.to_json(frame).alias("value"))
 
 
-def _drained(spark, sf, name: str, step):
-    """Run `step` over a file stream of the frames until it is drained, and read back what it wrote."""
+def _drained(spark, sf, name: str, step, logged: bool = True):
+    """Run `step` over a stream of the frames' log (or of plain files of frames, for a last batch without rows that
+    closes windows) until it is drained, and read back what it wrote."""
     root = f"{wh.shared_dir(spark)}/noi-{name}-{uuid.uuid4().hex}"
-    frames(spark, sf).repartition(4).write.text(f"{root}/in")
-    events = noi.parse_frames(spark.readStream.schema("value string").text(f"{root}/in"))
+    rows = frames(spark, sf).repartition(4)
+    if logged:
+        frame_log.register(spark)
+        rows.write.format("frame_log").mode("append").save(f"{root}/in")
+        events = noi.parse_frames(spark.readStream.format("frame_log").load(f"{root}/in"))
+    else:
+        rows.write.text(f"{root}/in")
+        events = noi.parse_frames(spark.readStream.schema("value string").text(f"{root}/in"))
     out = step(events)
     run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
-_EV = f"ev AS (SELECT 'T' || user_id % 40 AS ticker, ts, {_AUCTION} AS auction, round(value * 100) AS imbalance, value AS clearing_price FROM events WHERE event_type <> 'error')"
+EVENT_SQL = f"ev AS (SELECT 'T' || user_id % 40 AS ticker, ts, {_AUCTION} AS auction, round(value * 100) AS imbalance, value AS clearing_price FROM events WHERE event_type <> 'error')"
 
 
-@query(f"WITH {_EV} SELECT ticker, CAST(ts AS TIMESTAMP) AS ts, CASE auction WHEN 'O' THEN 'early-open' WHEN 'M' THEN 'open' WHEN 'C' THEN 'close' WHEN 'H' THEN 'halt-reopen' END AS auction, imbalance, clearing_price FROM ev")
+@query(f"WITH {EVENT_SQL} SELECT ticker, CAST(ts AS TIMESTAMP) AS ts, CASE auction WHEN 'O' THEN 'early-open' WHEN 'M' THEN 'open' WHEN 'C' THEN 'close' WHEN 'H' THEN 'halt-reopen' END AS auction, imbalance, clearing_price FROM ev")
 def noi_stream_parse(spark, sf):
     return _drained(spark, sf, "parse", lambda e: e.select("ticker", "ts", noi.auction_name(F.col("auction")).alias("auction"), "imbalance", "clearing_price"))
 
 
-@query(f"WITH {_EV}, w AS (SELECT ticker, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, sum(imbalance) AS imbalance, arg_max(imbalance, ts) AS last_imbalance FROM ev GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE")
+@query(f"WITH {EVENT_SQL}, w AS (SELECT ticker, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, sum(imbalance) AS imbalance, arg_max(imbalance, ts) AS last_imbalance FROM ev GROUP BY 1, 2) SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE")
 def noi_window_agg(spark, sf):
     """Windows that the watermark has closed: those that end ten minutes before the latest event."""
-    return _drained(spark, sf, "window", lambda e: noi.by_window(e, width="1 hour"))
+    return _drained(spark, sf, "window", lambda e: noi.by_window(e, width="1 hour"), logged=False)
 
 
-@query(f"WITH {_EV} SELECT DISTINCT ticker, ts FROM ev")
+@query(f"WITH {EVENT_SQL} SELECT DISTINCT ticker, ts FROM ev")
 def noi_dedup(spark, sf):
     return _drained(spark, sf, "dedup", lambda e: noi.without_repeats(e.union(e), late="40 days").select("ticker", "ts"))
 
 
-@query(f"WITH {_EV} SELECT ticker, least(count(*), 5) AS n FROM ev GROUP BY 1")
+@query(f"WITH {EVENT_SQL} SELECT ticker, least(count(*), 5) AS n FROM ev GROUP BY 1")
 def noi_cap(spark, sf):
     out = _drained(spark, sf, "cap", lambda e: noi.capped(e.select("ticker", "timestamp_ns", "imbalance"), 5))
     return out.groupBy("ticker").agg(F.count("*").alias("n"))

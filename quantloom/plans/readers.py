@@ -118,10 +118,11 @@ def ipo_events(spark, sf):
     return mk.ipos(rows, limit=10)
 
 
-@query("SELECT n_regionkey AS ticker, string_agg(n_name, ', ' ORDER BY n_nationkey) AS peers FROM nation WHERE n_nationkey < 24 GROUP BY 1")
+@query("WITH p AS (SELECT s_nationkey AS ticker, s_name AS peer, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier) SELECT ticker, string_agg(peer, ', ' ORDER BY place) AS peers FROM p WHERE place <= 24 GROUP BY 1")
 def company_peers(spark, sf):
-    n = wh.table(spark, sf, "nation")
-    return mk.peers(n.select(F.col("n_regionkey").alias("ticker"), F.col("n_name").alias("peer"), F.col("n_nationkey").alias("ord")))
+    """Suppliers of one nation as each other's peers: more than 24 of them in most nations at larger scales."""
+    s = wh.table(spark, sf, "supplier")
+    return mk.peers(s.select(F.col("s_nationkey").alias("ticker"), F.col("s_name").alias("peer"), F.col("s_suppkey").alias("ord")))
 
 
 @query("SELECT c_custkey AS k, c_name AS security FROM customer WHERE contains(upper(c_name), 'R#00000001')")

@@ -153,7 +153,7 @@ _FACTORS = S.with_(
     f"fa AS (SELECT ticker, year(date) AS year, arg_max(mom, date) AS mom, arg_max(dist, date) AS dist FROM (SELECT ticker, date, CASE WHEN bar > 60 THEN close / lag(close, 59) OVER ({S.W}) - 1 END AS mom, close / max(close) OVER {S.over(252)} - 1 AS dist FROM bars) GROUP BY 1, 2)",
     f"fe AS (SELECT ticker, year, operating_income / nullif({_EV}, 0) AS ey FROM fin)",
     "l AS (SELECT fe.year, fe.ticker, unnest([{'f': 'ey', 'v': ey}, {'f': 'mom', 'v': mom}, {'f': 'dist', 'v': dist}]) AS x FROM fe JOIN fa ON fa.ticker = fe.ticker AND fa.year = fe.year)",
-    "c AS (SELECT year, ticker, x.f AS factor, cume_dist() OVER (PARTITION BY year, x.f ORDER BY round(x.v, 6)) AS pct FROM l WHERE x.v IS NOT NULL)",
+    "c AS (SELECT year, ticker, x.f AS factor, cume_dist() OVER (PARTITION BY year, x.f ORDER BY x.v) AS pct FROM l WHERE x.v IS NOT NULL)",
     "SELECT year, ticker, round(avg(CASE factor WHEN 'dist' THEN -0.5e0 * (1 - pct) WHEN 'ey' THEN 2 * pct ELSE pct END), 6) + 0e0 AS composite, count(*) AS n_factors FROM c GROUP BY 1, 2",
 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..sources import sinks
+from ..sources import calendars, runs, sinks
 from ..sources import warehouse as wh
 from ..streaming import frame_log, noi
 from . import sql as S
@@ -93,3 +93,44 @@ def momentum_journal(spark, sf):
 
     held = _appended(spark, sf, "journal", schemas.TRADE_JOURNAL, entries)
     return held.select("ts", "ticker", "date", "price", F.col("pillars")["rvol"].alias("rvol"), F.col("pillars")["gap"].alias("gap"), "pullback.candidate", "pullback.rr", "exit_class", "fomo", F.size("pillars").alias("n_pillars"))
+
+
+def _fetcher(path: str, estimate: str):
+    """What a calendar vendor answers for some days: here from a table that the tasks read themselves."""
+
+    def fetch(begin, end):
+        from pyarrow import dataset, fs
+
+        store, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        day = dataset.field("day")
+        found = dataset.dataset(folder, filesystem=store).to_table(filter=(day >= begin) & (day <= end))
+        for row in found.to_pylist():
+            yield row["security"], row["day"].isoformat(), row[estimate], row["actual"]
+
+    return fetch
+
+
+@query(S.with_(S.OUTCOMES, "SELECT 'T' || ticker AS security, date, o_totalprice AS eps_estimate, CASE WHEN ord % 3 <> 0 THEN o_totalprice - 1 END AS eps_actual FROM outcomes"))
+def calendar_chunks(spark, sf):
+    """The whole calendar of a vendor that answers for seven days at a time."""
+    root = _root(spark, "calendar")
+    o = wh.outcomes(spark, sf)
+    actual = F.when(F.col("ord") % 3 == 0, F.element_at(F.array(*map(F.lit, (" n/a", "NA", "", "None"))), (F.col("ord") % 4 + 1).cast("int"))).otherwise((F.col("o_totalprice") - 1).cast("string"))
+    o.select(F.concat(F.lit("T"), "ticker").alias("security"), F.col("date").alias("day"), F.col("o_totalprice").alias("estimate"), actual.alias("actual")).repartitionByRange(4, "day").write.parquet(f"{root}/vendor")
+    first, last = o.agg(F.min("date"), F.max("date")).first()
+    spark.dataSource.register(calendars.calendar_source("earnings_calendar", _fetcher(f"{root}/vendor", "estimate")))
+    return calendars.canonical(calendars.read_calendar(spark, "earnings_calendar", str(first), str(last)))
+
+
+@query(S.with_(S.FIN, "q AS (SELECT year, ticker, operating_income / 1000e0 AS ey FROM fin WHERE year IN (1996, 1997))", "t AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY ey DESC, ticker) AS place FROM q)", "SELECT year AS run, 'screened' AS part, CAST(place AS INT) AS place, CAST(ticker AS VARCHAR) AS ticker, ey AS earnings_yield, CAST(NULL AS VARCHAR) AS rating, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS VARCHAR) AS error FROM t WHERE place <= 10 UNION ALL SELECT year, 'analysed', NULL, CAST(ticker AS VARCHAR), NULL, CASE WHEN ticker % 3 <> 0 THEN CASE WHEN ticker % 2 = 0 THEN 'Buy' ELSE '-' END END, CASE WHEN ticker % 3 <> 0 THEN left('Run ' || year || ' says ' || repeat('yes ', 20), 60) END, CASE WHEN ticker % 3 = 0 THEN 'no data' END FROM q"))
+def run_summaries(spark, sf):
+    """Two runs' summaries in one table; the second run was first written with other rows and is then run again."""
+    root, f = _root(spark, "runs"), wh.fundamentals(spark, sf)
+    for run, times in ((1996, 1), (1997, 1000), (1997, 1)):
+        own = f.where(F.col("year") == run).where(F.col("ticker") % times == 0)
+        null = F.lit(None).cast("double")
+        screened = own.select("ticker", (F.col("operating_income") / 1000.0).alias("earnings_yield"), null.alias("ev_ebit"), F.lit(None).cast("int").alias("fscore"), null.alias("mscore"), null.alias("zscore"))
+        ok = F.col("ticker") % 3 != 0
+        results = own.select("ticker", F.when(F.col("ticker") % 2 == 0, "Buy").alias("rating"), F.concat(F.lit(f"Run {run} says "), F.repeat(F.lit("yes "), F.lit(20))).alias("decision"), F.when(~ok, "no data").alias("error"))
+        runs.replace_partitions(runs.summary(screened, results).withColumn("run", F.lit(run)), f"{root}/table", ["run"])
+    return spark.read.schema(f"{runs.SUMMARY}, run int").parquet(f"{root}/table").select("run", "part", "place", "ticker", "earnings_yield", "rating", "decision", "error")

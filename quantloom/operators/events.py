@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
+import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import clamp
+from ..sources.warehouse import shared_dir
 from . import indicators as ind
 from .windows import by, trail
 
@@ -189,19 +193,30 @@ def fold_flow(position_scale: Column, distribution: Column) -> Column:
     return position_scale * F.coalesce(clamp(1 - distribution, 0.0, 1.0), F.lit(1.0))
 
 
-def two_state_regime(returns: DataFrame, steps: int = 50, least: int = 20) -> DataFrame:
+def two_state_regime(returns: DataFrame, steps: int = 50, least: int = 20, whole: int = 50_000, block: int = 512) -> DataFrame:
     """ticker, regime: bull or bear by a two-state Gaussian hidden Markov model of each ticker's returns;
-    unknown with too few or constant returns.
+    unknown with too few or constant returns. Fitted by `steps` rounds of expectation maximisation.
 
-    Fitted by expectation maximisation, a ticker's series in one Arrow group (daily bars: some thousand rows).
+    Series of up to `whole` returns (daily bars: some thousand) are fitted in one Arrow group each. Longer ones are
+    cut into blocks of `block` returns, which stay where they are: a block's part of the forward and backward
+    passes is a product of 2 x 2 matrices, so the passes are scans over one matrix a block, and every round
+    adds up sums from all blocks at once. Their first quantiles are within a millionth of the exact ranks.
     """
+    rows = returns.select("ticker", "date", F.col("r").cast("double").alias("r")).where("r is not null and not isnan(r) and abs(r) < double('infinity')")
+    long = rows.groupBy("ticker").agg(F.count("*").alias("_n")).where(F.col("_n") > whole).select("ticker")
+    kind = returns.schema["ticker"].dataType.simpleString()
+    every = returns.select("ticker").distinct()
+    short = rows.join(long, "ticker", "left_anti").groupBy("ticker").applyInArrow(_fit_whole(steps, least), f"ticker {kind}, regime string")
+    fitted = short if long.isEmpty() else short.unionByName(_fit_blocks(rows.join(long, "ticker"), steps, block))
+    return every.join(fitted, "ticker", "left").select("ticker", F.coalesce("regime", F.lit("unknown")).alias("regime"))
+
 
+def _fit_whole(steps: int, least: int):
     def fit(group):
         import numpy as np
         import pyarrow as pa
 
-        r = group.sort_by("date").column("r").to_numpy(zero_copy_only=False).astype(float)
-        r = r[np.isfinite(r)]
+        r = group.sort_by("date").column("r").to_numpy()
         label = "unknown"
         if len(r) >= least and np.ptp(r) > 0:
             mean, var = np.quantile(r, [0.25, 0.75]), np.full(2, r.var())
@@ -225,8 +240,147 @@ def two_state_regime(returns: DataFrame, steps: int = 50, least: int = 20) -> Da
             label = "bull" if mean[int(post[-1].argmax())] == mean.max() else "bear"
         return pa.table({"ticker": [group.column("ticker")[0].as_py()], "regime": [label]})
 
-    kind = returns.schema["ticker"].dataType.simpleString()
-    return returns.select("ticker", "date", "r").groupBy("ticker").applyInArrow(fit, f"ticker {kind}, regime string")
+    return fit
+
+
+#: A model: means, variances, move (row by row) and start.
+_MODEL = "array<double>"
+
+
+def _likelihood(r, model):
+    """Of returns (blocks, places) under each block's model: (blocks, places, 2)."""
+    import numpy as np
+
+    mean, var = model[:, None, 0:2], model[:, None, 2:4]
+    return np.exp(-((r[:, :, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var) + 1e-300
+
+
+def _read_blocks(batch):
+    """Returns padded to one length, their numbers, whether a block is its series' first, and the models."""
+    import numpy as np
+
+    held = batch.column(batch.schema.get_field_index("r")).to_pylist()
+    n = np.array([len(x) for x in held])
+    r = np.zeros((len(n), n.max(initial=0)))
+    for i, x in enumerate(held):
+        r[i, : len(x)] = x
+    model = np.array(batch.column(batch.schema.get_field_index("model")).to_pylist()).reshape(-1, 10)
+    return r, n, batch.column(batch.schema.get_field_index("block")).to_numpy() == 0, model
+
+
+def _block_matrix(batches):
+    """(ticker, block, r, model) -> (ticker, block, model, matrix): what a block does to the forward pass, scaled."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        r, n, first, model = _read_blocks(batch)
+        like, move = _likelihood(r, model), model[:, 4:8].reshape(-1, 2, 2)
+        out = np.tile(np.eye(2), (len(n), 1, 1))
+        for t in range(r.shape[1]):
+            step = np.where((first & (t == 0))[:, None, None], np.eye(2), move) * like[:, t, None, :]
+            out = np.where((t < n)[:, None, None], out @ step, out)
+            out /= out.sum((1, 2), keepdims=True)
+        names = ("ticker", "block", "model")
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(out.reshape(-1, 4).tolist(), pa.list_(pa.float64()))], names=[*names, "matrix"])
+
+
+def _scan(kind):
+    """A series' block matrices -> the forward state before each block and the backward one after it."""
+
+    def run(group):
+        import numpy as np
+        import pyarrow as pa
+
+        group = group.sort_by("block")
+        matrix = np.array(group.column("matrix").to_pylist()).reshape(-1, 2, 2)
+        start = np.array(group.column("model")[0].as_py())[8:10]
+        before, after = np.empty((len(matrix), 2)), np.empty((len(matrix), 2))
+        state = start
+        for i, m in enumerate(matrix):
+            before[i] = state
+            state = state @ m
+            state = state / state.sum()
+        state = np.ones(2)
+        for i in range(len(matrix) - 1, -1, -1):
+            after[i] = state
+            state = matrix[i] @ state
+            state = state / state.sum()
+        return pa.table({"ticker": group.column("ticker"), "block": group.column("block"), "before": pa.array(before.tolist(), pa.list_(pa.float64())), "after": pa.array(after.tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _block_sums(batches):
+    """(ticker, block, r, model, before, after) -> each block's sums: state weights, first and second moments about the
+    old means, moves between states, and the states at its first and last return."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        r, n, first, model = _read_blocks(batch)
+        before, after = (np.array(batch.column(batch.schema.get_field_index(c)).to_pylist()).reshape(-1, 2) for c in ("before", "after"))
+        like, move = _likelihood(r, model), model[:, 4:8].reshape(-1, 2, 2)
+        fwd, bwd = np.empty_like(like), np.empty_like(like)
+        state = before
+        for t in range(r.shape[1]):
+            p = np.where((first & (t == 0))[:, None], state, np.einsum("bi,bij->bj", state, move)) * like[:, t]
+            state = np.where((t < n)[:, None], p / p.sum(1, keepdims=True), state)
+            fwd[:, t] = state
+        state = after
+        for t in range(r.shape[1] - 1, -1, -1):
+            inside = (t < n)[:, None]
+            bwd[:, t] = state
+            b = np.einsum("bij,bj->bi", move, like[:, t] * state)
+            state = np.where(inside, b / b.sum(1, keepdims=True), state)
+        live = (np.arange(r.shape[1]) < n[:, None])[:, :, None]
+        post = fwd * bwd
+        post = np.where(live, post / post.sum(2, keepdims=True), 0)
+        prior = np.concatenate([before[:, None], fwd[:, :-1]], 1)  # the state before each return
+        pair = prior[:, :, :, None] * move[:, None] * (like * bwd)[:, :, None, :]
+        pair /= pair.sum((2, 3), keepdims=True)
+        pair = np.where(live[..., None], pair, 0)
+        pair[first, 0] = 0  # nothing moves into a series' first return
+        off = r[:, :, None] - model[:, None, 0:2]
+        last = post[np.arange(len(n)), n - 1]
+        sums = np.concatenate([post.sum(1), (post * off).sum(1), (post * off**2).sum(1), pair.sum(1).reshape(-1, 4), np.where(first[:, None], post[:, 0], 0)], 1)
+        names = ("ticker", "block", "model")
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(last.tolist(), pa.list_(pa.float64()))], names=[*names, "sums", "last"])
+
+
+def _fit_blocks(rows: DataFrame, steps: int, block: int) -> DataFrame:
+    """Regimes of long series: a few small jobs a round over blocks that are cut and written once."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+    kind = rows.schema["ticker"].dataType.simpleString()
+    bar = F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1
+    cut = rows.withColumn("_bar", bar).groupBy("ticker", F.floor(F.col("_bar") / block).alias("block"))
+    blocks = _written(cut.agg(F.transform(F.sort_array(F.collect_list(F.struct("_bar", "r"))), lambda x: x["r"]).alias("r")), "regime-blocks")
+    quartiles = F.percentile_approx("r", [0.25, 0.75], 1_000_000)
+    first = rows.groupBy("ticker").agg(quartiles.alias("_q"), F.var_pop("r").alias("_v"), F.min("r").alias("_low"), F.max("r").alias("_high")).where("_low < _high")
+    models = first.select("ticker", F.array(F.col("_q")[0], F.col("_q")[1], "_v", "_v", *map(F.lit, (0.95, 0.05, 0.05, 0.95, 0.5, 0.5))).alias("model"))
+    models = _written(models, "regime-model")
+    parts = f"ticker {kind}, block long, model {_MODEL}"
+    for _ in range(steps):
+        own = blocks.join(models, "ticker")
+        matrices = own.mapInArrow(_block_matrix, f"{parts}, matrix array<double>")
+        ends = matrices.groupBy("ticker").applyInArrow(_scan(kind), f"ticker {kind}, block long, before array<double>, after array<double>")
+        sums = own.join(ends, ["ticker", "block"]).mapInArrow(_block_sums, f"{parts}, sums array<double>, last array<double>")
+        total = sums.groupBy("ticker").agg(F.first("model").alias("model"), F.max_by("last", "block").alias("last"), *(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(12)))
+        c, old = lambda i: F.col(f"s{i}"), lambda i: F.col("model")[i]
+        means, shifts = [old(i) + c(2 + i) / c(i) for i in (0, 1)], [c(2 + i) / c(i) for i in (0, 1)]
+        var = [c(4 + i) / c(i) - shifts[i] * shifts[i] + 1e-12 for i in (0, 1)]
+        move = [c(6 + 2 * i + j) / (c(6 + 2 * i) + c(7 + 2 * i)) for i in (0, 1) for j in (0, 1)]
+        models = _written(total.select("ticker", F.array(*means, *var, *move, c(10), c(11)).alias("model"), "last"), "regime-model")
+        last, models = models, models.drop("last")
+    state = F.when(F.col("last")[0] >= F.col("last")[1], F.col("model")[0]).otherwise(F.col("model")[1])
+    return last.select("ticker", F.when(state == F.greatest(F.col("model")[0], F.col("model")[1]), "bull").otherwise("bear").alias("regime"))
+
+
+def _written(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back: rounds don't pile up, and survive lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 TIERS = ("super", "big", "mid", "small")

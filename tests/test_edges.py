@@ -319,6 +319,22 @@ def test_regimes_and_two_states(spark):
     assert got == {"up": "bull", "down": "bear", "flat": "unknown", "few": "unknown"}
 
 
+def test_two_states_by_blocks_equal_the_whole_series(spark):
+    """Series of several lengths, the last block full, of one return, or in between; noisy, so that both ends occur."""
+    rng = random.Random(5)
+    rows = []
+    for k, n in enumerate((40, 57, 64, 65, 200, 201, 202, 203)):
+        side = 1
+        for i in range(n):
+            side = -side if rng.random() < 0.1 else side
+            rows.append((f"t{k}", DAY + datetime.timedelta(i), rng.gauss(0.01 * side, 0.012)))
+    rows += [("flat", DAY + datetime.timedelta(i), 0.5) for i in range(70)] + [("t0", DAY + datetime.timedelta(900), None), ("none", DAY, None)]
+    frame = spark.createDataFrame(rows, "ticker string, date date, r double")
+    own = {r["ticker"]: r["regime"] for r in events.two_state_regime(frame, steps=4).collect()}
+    cut = {r["ticker"]: r["regime"] for r in events.two_state_regime(frame, steps=4, whole=30, block=8).collect()}
+    assert own == cut and set(own.values()) == {"bull", "bear", "unknown"} and own["none"] == "unknown"
+
+
 def test_sentiment_weights(spark):
     rows = [("A", "Bullish", 0, 1.0), ("A", "bearish", 7, 1.0), ("A", "odd", 0, 1.0), ("A", "sell", -1, 1.0), ("B", None, 0, -1.0)]
     df = spark.createDataFrame(rows, "ticker string, label string, age_days int, credibility double")

@@ -49,6 +49,13 @@ def tail_risk(df: DataFrame, keys: list[str], r: str = "r", alpha: float = 0.05,
     return used.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_r").alias("var"), (F.sum(F.col("_r") * F.col("_take")) / F.max("_k")).alias("cvar"))
 
 
+def cvar_budget(df: DataFrame, names: DataFrame, keys: list[str], r: str = "r", alpha: float = 0.05, budget: float = 0.05) -> DataFrame:
+    """names (keys) with tail, the mean of the k smallest returns (0 without returns), and within, whether the
+    tail's loss fits the budget."""
+    tails = tail_risk(df, keys, r, alpha).select(*keys, F.col("cvar").alias("tail"))
+    return names.join(tails, keys, "left").withColumn("tail", F.coalesce("tail", F.lit(0.0))).withColumn("within", F.greatest(-F.col("tail"), F.lit(0.0)) <= abs(budget))
+
+
 def normalised_weights(weights: DataFrame) -> DataFrame:
     """weights (book, ticker, weight) -> share: equal where their sum is not positive, scaled down to 1
     where above 1, as they are between (the rest is cash)."""

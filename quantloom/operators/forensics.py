@@ -209,3 +209,7 @@ def period_multiple(price: Column, per_share: Column) -> Column:
 def cost_of_goods(cogs: Column, cost_of_revenue: Column) -> Column:
     """A cost of 0 counts as missing."""
     return or_default(cogs, cost_of_revenue)
+
+
+def yield_band(value: Column, floor: float = 0.06) -> Column:
+    return F.when(value >= floor, "floor-pass").when(value < floor, "below-floor")

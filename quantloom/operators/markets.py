@@ -230,3 +230,39 @@ def of_security(rows: DataFrame, code: str) -> DataFrame:
 
 def net_of_cost(r: Column, bps: float = 10.0) -> Column:
     return r - bps / 1e4
+
+
+def ticker_news(articles: DataFrame, requested: DataFrame) -> DataFrame:
+    """requested (ticker) -> each with the articles that name it, in any case, among their tickers or insights.
+
+    articles: id, title, tickers array<string>, insights array<struct<ticker, sentiment, reasoning>>. sentiment and
+    reasoning are those of the article's first insight on that very ticker, null where it has none.
+    """
+    named = F.array_distinct(F.concat(F.transform(F.coalesce("tickers", F.array().cast("array<string>")), lambda t: F.lower(t)), F.coalesce(F.transform("insights", lambda i: F.lower(F.coalesce(i["ticker"], F.lit("")))), F.array().cast("array<string>"))))
+    rows = articles.withColumn("_t", F.explode(named)).join(requested.select("ticker", F.lower("ticker").alias("_t")).distinct(), "_t")
+    own = F.try_element_at(F.filter("insights", lambda i: F.lower(i["ticker"]) == F.col("_t")), F.lit(1))
+    return rows.withColumn("_own", own).select("ticker", "id", "title", "_own.sentiment", "_own.reasoning")
+
+
+def session_clock(instants: DataFrame, sessions: DataFrame) -> DataFrame:
+    """instants (ts, others) with is_open, next_open and next_close, null after the calendar's end.
+
+    sessions: date, open and close as timestamps, a row a trading day; they span some thousand days, to which the
+    instants are joined by date, so no instants are sorted.
+    """
+    span = sessions.agg(F.min("date").alias("a"), F.max("date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
+    later = Window.orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    days = span.join(sessions, "date", "left").withColumns({"_next_open": F.min("open").over(later), "_next_close": F.min("close").over(later)})
+    before = sessions.agg(F.min("date").alias("_first"), F.min("open").alias("_open1"), F.min("close").alias("_close1"))
+    rows = instants.withColumn("_day", F.to_date("ts")).join(days.withColumnRenamed("date", "_day"), "_day", "left").crossJoin(F.broadcast(before))  # one row
+    early, ts = F.col("_day") < F.col("_first"), F.col("ts")
+    return rows.select(
+        *instants.columns, F.coalesce((ts >= F.col("open")) & (ts < F.col("close")), F.lit(False)).alias("is_open"),
+        F.when(early, F.col("_open1")).when(ts < F.col("open"), F.col("open")).otherwise(F.col("_next_open")).alias("next_open"),
+        F.when(early, F.col("_close1")).when(ts < F.col("close"), F.col("close")).otherwise(F.col("_next_close")).alias("next_close"),
+    )
+
+
+def float_shares() -> Column:
+    """The public float: the profile's, else the fallback's; 0 counts as missing."""
+    return F.coalesce(*(F.nullif(F.col(c).try_cast("double"), F.lit(0.0)) for c in ("profile_float", "fallback_float")))

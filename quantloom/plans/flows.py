@@ -321,23 +321,23 @@ def holdings_change(spark, sf):
 
 
 @query(
-    "WITH c AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS expiry, CASE WHEN l_linenumber % 2 = 0 THEN 'CALL' ELSE 'PUT' END AS side, l_tax + l_discount AS iv, l_quantity AS oi FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-06-01'), "
+    "WITH c AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS expiry, CASE WHEN l_linenumber % 2 = 0 THEN 'CALL' ELSE 'PUT' END AS side, l_tax + l_discount AS iv, l_quantity AS oi FROM lineitem), "
     "n AS (SELECT ticker, coalesce(min(expiry) FILTER (expiry >= DATE '1999-06-04'), max(expiry)) AS expiry FROM c GROUP BY 1), "
     "a AS (SELECT c.ticker, c.expiry, avg(iv) FILTER (side = 'CALL') AS ci, avg(iv) FILTER (side = 'PUT') AS pi, sum(oi) FILTER (side = 'CALL') AS co, sum(oi) FILTER (side = 'PUT') AS po FROM c JOIN n ON n.ticker = c.ticker AND n.expiry = c.expiry GROUP BY 1, 2) "
     "SELECT ticker, expiry, round(ci, 6) AS call_iv, round(pi, 6) AS put_iv, CASE WHEN pi - ci IS NULL THEN 'unknown' WHEN round(pi - ci, 6) > 0.02e0 THEN 'put-skew' WHEN round(pi - ci, 6) < -0.02e0 THEN 'call-skew' ELSE 'balanced' END AS skew, round(co / po, 6) AS call_put_oi_ratio, round(po / co, 6) AS put_call_oi_ratio FROM a"
 )
 def option_chain(spark, sf):
-    rows = wh.table(spark, sf, "lineitem").where("l_shipdate >= '1999-06-01'").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("expiry"), F.when(F.col("l_linenumber") % 2 == 0, "CALL").otherwise("PUT").alias("side"), (F.col("l_tax") + F.col("l_discount")).alias("iv"), F.col("l_quantity").alias("oi"))
+    rows = wh.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("expiry"), F.when(F.col("l_linenumber") % 2 == 0, "CALL").otherwise("PUT").alias("side"), (F.col("l_tax") + F.col("l_discount")).alias("iv"), F.col("l_quantity").alias("oi"))
     out = mk.option_chain(rows, "1999-06-01")
     return rounded(out.select("ticker", "expiry", "call_iv", "put_iv", "skew", "call_put_oi_ratio", "put_call_oi_ratio"), "call_iv", "put_iv", "call_put_oi_ratio", "put_call_oi_ratio", digits=6)
 
 
 @query(
-    "WITH m AS (SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(max(o_totalprice)) END AS v FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-03-31' GROUP BY 1, 2, o_orderkey), "
+    "WITH m AS (SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(max(o_totalprice)) END AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, o_orderkey), "
     "d AS (SELECT series_id, date, max(v) AS v FROM m GROUP BY 1, 2) SELECT series_id, arg_min(v, date) AS first, arg_max(v, date) AS last, count(*) AS n, arg_max(v, date) - arg_min(v, date) AS delta, round((arg_max(v, date) - arg_min(v, date)) / abs(arg_min(v, date)) * 100, 6) + 0e0 AS pct FROM d WHERE v IS NOT NULL AND date BETWEEN DATE '1998-01-30' AND DATE '1998-03-31' GROUP BY 1"
 )
 def macro_series(spark, sf):
-    o = wh.table(spark, sf, "orders").where("o_orderdate between '1998-01-01' and '1998-03-31'").join(wh.table(spark, sf, "customer"), F.expr("c_custkey = o_custkey"))
+    o = wh.table(spark, sf, "orders").join(wh.table(spark, sf, "customer"), F.expr("c_custkey = o_custkey"))
     value = F.when(F.col("o_orderkey") % 5 == 0, None).otherwise(F.round("o_totalprice"))
     daily = o.groupBy(F.col("c_mktsegment").alias("series_id"), F.to_date("o_orderdate").alias("date")).agg(F.max(value).alias("v"))
     daily = daily.select("series_id", "date", F.coalesce(F.col("v").cast("string"), F.lit(".")).alias("value"))

@@ -33,12 +33,12 @@ def flat_bars(spark, sf):
     return files.longest_history(files.flat_bars(spark, f"{path}/*")).select("ticker", F.to_date("date").alias("date"), "open", "high", "low", "close", "volume")
 
 
-@query(S.with_(S.BARS, "SELECT 'T7' AS ticker, date, " + ", ".join(f"round({c} + {S.OFF}, 2) AS {c}" for c in ("open", "high", "low", "close")) + ", volume FROM bars WHERE ticker = 7 AND date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"))
+@query(S.with_(S.BARS, "SELECT 'T' || ticker AS ticker, date, " + ", ".join(f"round({c} + {S.OFF}, 2) AS {c}" for c in ("open", "high", "low", "close")) + ", volume FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"))
 def vendor_csv(spark, sf):
     path = _path(spark, "vendor")
-    bars = wh.bars(spark, sf).where("ticker = 7").select(F.col("date").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
-    bars.write.option("header", True).csv(path)
-    return files.vendor_csv(spark, path, "1996-01-01", "1998-12-31", "T7")
+    bars = wh.bars(spark, sf).select(F.concat(F.lit("T"), "ticker").alias("ticker"), F.col("date").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    bars.repartition("ticker").write.partitionBy("ticker").option("header", True).csv(path)
+    return files.vendor_csv(spark, path, "1996-01-01", "1998-12-31")
 
 
 @query(S.with_(S.BARS, "SELECT 'T' || ticker AS ticker, CAST(date AS TIMESTAMP) AS ts, open AS o, high AS h, low AS l, close AS c, volume AS v, vwap AS vw FROM bars"))

@@ -9,6 +9,7 @@ from ..operators import evaluate as evl
 from ..operators import forensics as fx
 from ..operators import indicators as ind
 from ..operators import ledgers as lg
+from ..operators import markets as mk
 from ..operators import portfolio as pf
 from ..operators import ranking as rk
 
@@ -87,10 +88,11 @@ def screen(spark, sf):
     return rounded(df, "ev_ebit", "earnings_yield", "beneish_m", "altman_z", "roe", digits=6)
 
 
-@query(S.with_(S.FIN, _RATIOS, _SCREEN, "w AS (SELECT ticker, round(ey, 6) + 0e0 AS earnings_yield, round(am, 6) + 0e0 AS ev_ebit FROM sc WHERE year = 1998)", "SELECT *, CAST(row_number() OVER (ORDER BY coalesce(earnings_yield, -1) DESC, coalesce(ev_ebit, 'inf'::DOUBLE), ticker) AS INT) AS rank FROM w ORDER BY rank LIMIT 50"))
+@query(S.with_(S.FIN, _RATIOS, _SCREEN, "w AS (SELECT ticker, round(ey, 6) + 0e0 AS earnings_yield, round(am, 6) + 0e0 AS ev_ebit, row_number() OVER (PARTITION BY ticker ORDER BY year DESC) AS p FROM sc)", "SELECT ticker, earnings_yield, ev_ebit, CAST(row_number() OVER (ORDER BY coalesce(earnings_yield, -1) DESC, coalesce(ev_ebit, 'inf'::DOUBLE), ticker) AS INT) AS rank FROM w WHERE p = 1 ORDER BY rank LIMIT 50"))
 def watchlist_rank(spark, sf):
-    df = rounded(fx.screen(_fin(spark, sf)).where("year = 1998").select("ticker", "earnings_yield", "ev_ebit"), "earnings_yield", "ev_ebit", digits=6)
-    return rk.watchlist(df, 50)
+    """The best 50 of all tickers by their latest statements."""
+    last = mk.top_per(fx.screen(_fin(spark, sf)), ["ticker"], [F.desc("year")], 1)
+    return rk.watchlist(rounded(last.select("ticker", "earnings_yield", "ev_ebit"), "earnings_yield", "ev_ebit", digits=6), 50)
 
 
 @query(

@@ -26,13 +26,14 @@ def longest_history(bars: DataFrame) -> DataFrame:
     return bars.join(best, ["ticker", "file"], "left_semi")
 
 
-def vendor_csv(spark: SparkSession, path: str, start: str, end: str, ticker: str) -> DataFrame:
-    """One ticker's CSV of daily bars (comment lines start with #), within a range of dates, both included."""
+def vendor_csv(spark: SparkSession, path: str, start: str, end: str, ticker: str | None = None) -> DataFrame:
+    """One ticker's CSV of daily bars (comment lines start with #), within a range of dates, both included; without
+    a ticker those of a folder that has a folder ticker=... for each."""
     raw = spark.read.option("header", True).option("comment", "#").csv(path)
     raw = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns))
     day = next(c for c in raw.columns if c in ("date", "timestamp", "datetime", "time", "index"))
     number = lambda c: F.round(F.col(c).try_cast("double"), 2).alias(c)
-    out = raw.select(F.lit(ticker).alias("ticker"), parse_date(F.col(day)).alias("date"), *map(number, ("open", "high", "low", "close")), F.col("volume").try_cast("double").alias("volume"))
+    out = raw.select(F.col("ticker") if ticker is None else F.lit(ticker).alias("ticker"), parse_date(F.col(day)).alias("date"), *map(number, ("open", "high", "low", "close")), F.col("volume").try_cast("double").alias("volume"))
     return out.where(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 

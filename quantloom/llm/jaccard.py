@@ -38,8 +38,9 @@ from .components import components
 
 #: Size of the table of shingle counts, and the parts in which it is summed.
 BUCKETS, PARTS = 1 << 20, 16
-#: Bits of the filter that keeps texts outside every candidate pair from being shuffled.
-FILTER_BITS = 1 << 23
+#: The filter that keeps texts outside every candidate pair from being read into sets: 64 bits for each document in a
+#: pair, up to 16 MB. Where that leaves fewer than 8 bits each, documents are joined by id instead.
+FILTER_BITS = 1 << 27
 
 _READ = "doc_id long, key long, n long, cls long, part int, task int, counts binary"
 
@@ -182,16 +183,19 @@ def _verify(percent: int):
     return read
 
 
-def _hash_bits(ids: np.ndarray) -> np.ndarray:
-    return (textvec.mix(ids.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _hash_bits(ids: np.ndarray, size: int) -> np.ndarray:
+    return (textvec.mix(ids.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _sets(k: int, wanted):
+def _sets(k: int, wanted=None):
+    """(id, text) -> id, class and set of the documents that the filter lets through, or of all."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits = None if wanted is None else wanted.value
         for batch in batches:
-            h = _hash_bits(batch.column(0).to_numpy())
-            batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            if bits is not None:
+                h = _hash_bits(batch.column(0).to_numpy(), 8 * len(bits))
+                batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 sets = textvec.shingle_sets(data, offsets, k)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
@@ -200,23 +204,33 @@ def _sets(k: int, wanted):
     return read
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bit for each id's hash, gathered as FILTER_BITS / 64 words at most."""
+def _filter_bits(ids: DataFrame, size: int) -> np.ndarray:
+    """A bit for each id's hash, gathered as size / 64 words at most."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_hash_bits(batch.column(0).to_numpy())] = True
+            bits[_hash_bits(batch.column(0).to_numpy(), size)] = True
         words = np.packbits(bits, bitorder="little").view(np.int64)
         held = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(words[held])], ["at", "word"])
 
     got = ids.mapInArrow(read, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[got.column("at").to_numpy()] = got.column("word").to_numpy()
     return out.view(np.uint8)
 
 
+def _wanted_sets(ids: DataFrame, narrow: DataFrame, k: int) -> DataFrame:
+    """id, cls, held of the documents in candidate pairs: one more pass over the texts, or a join where they are many."""
+    wanted = ids.count()
+    size = min(FILTER_BITS, 1 << max(16, (64 * wanted).bit_length()))
+    schema = "id long, cls long, held binary"
+    if 8 * wanted > FILTER_BITS:
+        return narrow.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(k), schema)
+    return narrow.mapInArrow(_sets(k, narrow.sparkSession.sparkContext.broadcast(_filter_bits(ids, size))), schema)
+
+
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): doc_id, key (a hash of the text), n, cls of every row; cls, id (its smallest
     doc_id) of every class; links between classes (a, b).
@@ -241,7 +255,8 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     shared = stored(shared.distinct(), "shared")
     discard(held)
     star = stored(_candidates(shared.where("x <> y"), classes, percent), "star")
-    found = stored(_verified(star, narrow, k, percent), "found")
+    discard(lead)
+    found = _verified(star, narrow, k, percent)
     label = stored(components(found), "label")
     tagged = shared.select("token", "x", "x_n", "x_pos", "x_after", "y")
     for side in "xy":
@@ -272,12 +287,14 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 def _verified(pairs: DataFrame, narrow: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole sets link."""
-    ids = pairs.select(F.col("a_id").alias("id")).union(pairs.select(F.col("b_id").alias("id")))
-    wanted = narrow.sparkSession.sparkContext.broadcast(_filter_bits(ids))
-    held = stored(narrow.mapInArrow(_sets(k, wanted), "id long, cls long, held binary"), "held")
-    for side, name in (("b", "y"), ("a", "x")):
-        pairs = pairs.join(held.select(F.col("id").alias(f"{side}_id"), F.col("cls").alias(side), F.col("held").alias(name)), [f"{side}_id", side])
-    return pairs.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    ids = stored(pairs.select(F.col("a_id").alias("id")).union(pairs.select(F.col("b_id").alias("id"))).distinct(), "ids")
+    held = stored(_wanted_sets(ids, narrow, k), "held")
+    for side, name in (("b", "y"), ("a", "x")):  # pairs and sets are of any number: neither is broadcast, at no size
+        sets = held.select(F.col("id").alias(f"{side}_id"), F.col("cls").alias(side), F.col("held").alias(name))
+        pairs = pairs.join(sets.hint("merge"), [f"{side}_id", side])
+    found = stored(pairs.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "found")
+    discard(held)
+    return found
 
 
 def _rooted(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters. All
 phrases are looked up in one automaton over the words joined by single spaces. Where an identifier
-tag stands, its expression (identifiers with and, or, with and brackets) is read from the text by
-a shunting-yard parser.
+tag stands and a colon follows, its expression (identifiers with and, or, with and brackets) is read from the
+text by a shunting-yard parser; the automaton's word is mapped back to its place in the text.
 """
 
 from __future__ import annotations
@@ -36,17 +36,25 @@ NOTICES = {
     "cc0 1 0": "cc0",
     "released into the public domain": "public-domain",
     "all rights reserved": "proprietary",
+    "creative commons zero": "cc0",
+    "european union public licence": "eupl",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "permission to use copy modify and or distribute this software": "isc",
+    "this is free and unencumbered software": "public-domain",
 }
 TAG = "spdx license identifier"
 
 #: How freely a text under the label may be reused; labels not named here count 0.5.
 FREEDOM = {
     "mit": 1.0, "bsd": 1.0, "apache-2": 1.0, "isc": 1.0, "cc0": 1.0, "public-domain": 1.0, "cc-by": 0.9,
-    "mpl": 0.6, "epl": 0.6, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.1, "cc-by-nc": 0.1, "proprietary": 0.0,
+    "bsl": 1.0, "artistic": 0.8, "eupl": 0.5, "mpl": 0.6, "epl": 0.6, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.1, "cc-by-nc": 0.1, "proprietary": 0.0,
 }
 
 _DELIMITERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_TAG = re.compile(r"spdx-license-identifier\s*:[^\S\r\n]*", re.IGNORECASE | re.ASCII)
+_WORD = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: What must stand between a tag and its expression.
+_COLON = re.compile(r"\s*:[^\S\r\n]*", re.ASCII)
 #: Brackets, identifiers and operators, line ends, and what else is not blank.
 _TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*|[\r\n]|[^\s]", re.ASCII)
 _BINDS = {"or": 1, "and": 2, "with": 3}
@@ -127,31 +135,33 @@ def _automaton():
     return machine
 
 
-def expressions(text: str) -> Iterator[str]:
-    """What follows each identifier tag, up to the next one: together no more than the text."""
-    tags = [m.span() for m in _TAG.finditer(text)]
-    for (_, start), (end, _) in zip(tags, [*tags[1:], (len(text), 0)]):
+def expressions(text: str, tags: list[int]) -> Iterator[str]:
+    """What follows each identifier tag (told by its first word) and its colon, up to the next one: together no more
+    than the text."""
+    words, last = [m.span() for m in _WORD.finditer(text)], TAG.count(" ")
+    follows = [(words[i][0], m.end()) for i in tags if (m := _COLON.match(text, words[i + last][1]))]
+    for (_, start), (end, _) in zip(follows, [*follows[1:], (len(text), 0)]):
         yield text[start:end]
 
 
 def scan(text: str, machine) -> tuple:
     words = text.encode("utf-8", "surrogatepass").translate(_DELIMITERS).decode("utf-8", "surrogatepass").split(" ")
     words = [w for w in words if w]
-    base, ends, found, freedom, tagged = set(), [], set(), [], False
+    base, at, tags, found, freedom = set(), [], [], set(), []
     for end, phrase in machine.iter(f" {' '.join(words)} "):
         if phrase in BASE:
             base.add(BASE[phrase])
-            ends.append(end - len(phrase))  # where its first word starts
+            at.append(end - len(phrase))  # where its first word starts
         elif phrase in NOTICES:
             found.add(NOTICES[phrase])
         else:
-            tagged = True
+            tags.append(end - len(phrase))
     places = []
-    if ends:
+    if at or tags:
         starts = list(itertools.accumulate((len(w) + 1 for w in words), initial=1))
-        places = [bisect.bisect_left(starts, at) for at in ends]
+        places, tags = ([bisect.bisect_left(starts, x) for x in xs] for xs in (at, tags))
     freedom = [FREEDOM.get(x, 0.5) for x in base | found]
-    for expression in expressions(text) if tagged else ():
+    for expression in expressions(text, tags) if tags else ():
         if value := evaluate(expression):
             found |= value[0]
             freedom.append(value[1])

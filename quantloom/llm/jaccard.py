@@ -38,8 +38,9 @@ from .components import components
 
 #: Size of the table of shingle counts, and the parts in which it is summed.
 BUCKETS, PARTS = 1 << 20, 16
-#: The filter that keeps texts outside every candidate pair from being read into sets: 64 bits for each document in a
-#: pair, up to 16 MB. Where that leaves fewer than 8 bits each, documents are joined by id instead.
+#: Largest filter (16 MB). One keeps shingles of a single prefix from being shuffled, another one texts outside every
+#: candidate pair from being read into sets: 64 bits for each document in a pair; where 16 MB leave fewer than 8 bits
+#: each, documents are joined by id instead.
 FILTER_BITS = 1 << 27
 
 _READ = "doc_id long, key long, n long, cls long, part int, task int, counts binary"
@@ -221,6 +222,21 @@ def _filter_bits(ids: DataFrame, size: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _let_through(tokens: DataFrame, often: DataFrame) -> DataFrame:
+    """The rows whose token may be in `often`: most shingles of a prefix stand in no other and need not be shuffled.
+    The filter has 8 bits a token up to 16 MB; beyond that it lets more through, which the join then leaves out."""
+    size = min(FILTER_BITS, 1 << max(16, (8 * often.count()).bit_length()))
+    wanted = tokens.sparkSession.sparkContext.broadcast(_filter_bits(often, size))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            h = _hash_bits(batch.column(0).to_numpy(), size)
+            yield batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+
+    return tokens.mapInArrow(read, tokens.schema)
+
+
 def _wanted_sets(ids: DataFrame, narrow: DataFrame, k: int) -> DataFrame:
     """id, cls, held of the documents in candidate pairs: one more pass over the texts, or a join where they are many."""
     wanted = ids.count()
@@ -245,9 +261,10 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     narrow = narrow.where("doc_id is not null")
     counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(rows))
     tokens = stored(narrow.select("text").mapInArrow(_prefixes(k, percent, counts), "token long, cls long, n int, pos int, after long"), "prefixes")
-    often = tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token")
-    held = stored(tokens.join(often, "token", "left_semi"), "often")  # most shingles of a prefix stand in no other
+    often = stored(tokens.groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "repeated")
+    held = stored(_let_through(tokens, often).join(often, "token", "left_semi"), "often")
     discard(tokens)
+    discard(often)
     first = F.min(F.struct("pos", "n", "cls", "after")).alias("y")
     lead = held.groupBy("token").agg(first, F.max("cls").alias("high"), F.min("cls").alias("low")).where("low <> high")
     lead = stored(lead.select("token", F.col("y.cls").alias("y"), F.col("y.n").alias("y_n"), F.col("y.pos").alias("y_pos"), F.col("y.after").alias("y_after")), "lead")

@@ -89,7 +89,13 @@ def _character(code: Column) -> Column:
 def unescape_html(c: Column) -> Column:
     """Every HTML5 character reference as its character, once: names with or without a semicolon, decimal and
     hexadecimal numbers. What is none stays as it stands."""
-    names = F.map_from_arrays(F.array(*map(F.lit, html5)), F.array(*map(F.lit, html5.values())))
+    table = lambda held: F.map_from_arrays(F.array(*map(F.lit, held)), F.array(*map(F.lit, held.values())))
+    groups: dict[str, dict[str, str]] = {}  # by two letters: maps are searched from their start
+    for known, char in html5.items():
+        if known.endswith(";"):
+            groups.setdefault(known[:2], {})[known] = char
+    names = F.map_from_arrays(F.array(*map(F.lit, groups)), F.array(*map(table, groups.values())))
+    bare = table({n: html5[n] for n in BARE_NAMES})
     number = r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?"
 
     def read(part: Column) -> Column:
@@ -98,10 +104,11 @@ def unescape_html(c: Column) -> Column:
         code = F.when(code > 0x10FFFF, 0x110000).otherwise(code)
         name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
         start = F.regexp_extract(name, "^(?:" + "|".join(BARE_NAMES) + ")", 0)
-        found, short = F.try_element_at(names, name), F.try_element_at(names, start)
+        found = F.when(name.endswith(";"), F.try_element_at(F.try_element_at(names, F.left(name, F.lit(2))), name))
+        short = F.try_element_at(bare, start)
         rest = lambda said: F.substring(part, F.length(said) + 1, 2**30)
         out = F.when(part.rlike(number), F.concat(_character(code), rest(F.regexp_extract(part, number, 0))))
-        out = out.when((name != "") & found.isNotNull(), F.concat(found, rest(name))).when(start != "", F.concat(short, rest(start)))
+        out = out.when(found.isNotNull(), F.concat(found, rest(name))).when(start != "", F.concat(short, rest(start)))
         return out.otherwise(F.concat(F.lit("&"), part))
 
     parts = F.split(c, "&")

@@ -100,7 +100,7 @@ def text_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
-    _give_back()
+    give_back()
 
 
 @functools.cache
@@ -111,7 +111,7 @@ def _trim():
         return lambda keep: 0
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the machine: Python workers live on from task to task."""
     pa.default_memory_pool().release_unused()
     _trim()(0)

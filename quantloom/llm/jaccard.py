@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, stored, text_slices
+from .common import discard, give_back, stored, text_slices
 from .components import components
 
 #: Size of the table of shingle counts, and the parts in which it is summed.
@@ -180,6 +180,7 @@ def _verify(percent: int):
                 same = int((y[at] == x).sum())
                 keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep))
+        give_back()
 
     return read
 
@@ -233,6 +234,7 @@ def _let_through(tokens: DataFrame, often: DataFrame) -> DataFrame:
         for batch in batches:
             h = _hash_bits(batch.column(0).to_numpy(), size)
             yield batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+        give_back()
 
     return tokens.mapInArrow(read, tokens.schema)
 

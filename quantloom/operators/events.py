@@ -197,50 +197,116 @@ def two_state_regime(returns: DataFrame, steps: int = 50, least: int = 20, whole
     """ticker, regime: bull or bear by a two-state Gaussian hidden Markov model of each ticker's returns;
     unknown with too few or constant returns. Fitted by `steps` rounds of expectation maximisation.
 
-    Series of up to `whole` returns (daily bars: some thousand) are fitted in one Arrow group each. Longer ones are
+    Series of up to `whole` returns (daily bars: some thousand) pass through tasks in order and are fitted side by
+    side, CELLS returns at a time: a step of numpy serves a place of all of them. Longer ones are
     cut into blocks of `block` returns, which stay where they are: a block's part of the forward and backward
     passes is a product of 2 x 2 matrices, so the passes are scans over one matrix a block, and every round
     adds up sums from all blocks at once. Their first quantiles are within a millionth of the exact ranks.
     """
-    rows = returns.select("ticker", "date", F.col("r").cast("double").alias("r")).where("r is not null and not isnan(r) and abs(r) < double('infinity')")
-    long = rows.groupBy("ticker").agg(F.count("*").alias("_n")).where(F.col("_n") > whole).select("ticker")
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+    r = F.col("r").cast("double")
+    rows = returns.select("ticker", "date", F.when(~F.isnan(r) & (F.abs(r) < float("inf")), r).alias("r"))
     kind = returns.schema["ticker"].dataType.simpleString()
-    every = returns.select("ticker").distinct()
-    short = rows.join(long, "ticker", "left_anti").groupBy("ticker").applyInArrow(_fit_whole(steps, least), f"ticker {kind}, regime string")
-    fitted = short if long.isEmpty() else short.unionByName(_fit_blocks(rows.join(long, "ticker"), steps, block))
-    return every.join(fitted, "ticker", "left").select("ticker", F.coalesce("regime", F.lit("unknown")).alias("regime"))
+    in_order = rows.repartition("ticker").sortWithinPartitions("ticker", "date")
+    fitted = _written(in_order.mapInArrow(_fit_short(steps, least, whole), f"ticker {kind}, regime string"), "regimes")
+    long = fitted.where("regime is null").select("ticker")  # left to the blocks
+    if long.isEmpty():
+        return fitted
+    cut = _fit_blocks(rows.where("r is not null").join(long, "ticker"), steps, block)
+    later = long.join(cut, "ticker", "left").select("ticker", F.coalesce("regime", F.lit("unknown")).alias("regime"))
+    return fitted.where("regime is not null").unionByName(later)
+
+
+#: Returns that a task fits at once (less than 100 MB with all that a round holds), unless one series has more.
+CELLS = 1 << 19
 
 
-def _fit_whole(steps: int, least: int):
-    def fit(group):
+def _fit_short(steps: int, least: int, whole: int):
+    """(ticker, date, r) in order -> (ticker, regime); the regime of series with over `whole` returns is null."""
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        r = group.sort_by("date").column("r").to_numpy()
-        label = "unknown"
-        if len(r) >= least and np.ptp(r) > 0:
-            mean, var = np.quantile(r, [0.25, 0.75]), np.full(2, r.var())
-            move, start = np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5])
-            for _ in range(steps):
-                like = np.exp(-((r[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var) + 1e-300
-                fwd, bwd, norm = np.empty_like(like), np.ones_like(like), np.empty(len(r))
-                for t in range(len(r)):
-                    p = (start if t == 0 else fwd[t - 1] @ move) * like[t]
-                    norm[t] = p.sum()
-                    fwd[t] = p / norm[t]
-                for t in range(len(r) - 2, -1, -1):
-                    bwd[t] = move @ (like[t + 1] * bwd[t + 1]) / norm[t + 1]
-                post = fwd * bwd
-                post /= post.sum(1, keepdims=True)
-                pair = (fwd[:-1, :, None] * move * (like[1:] * bwd[1:] / norm[1:, None])[:, None, :]).sum(0)
-                move, start = pair / pair.sum(1, keepdims=True), post[0]
-                weight = post.sum(0)
-                mean = (post * r[:, None]).sum(0) / weight
-                var = (post * (r[:, None] - mean) ** 2).sum(0) / weight + 1e-12
-            label = "bull" if mean[int(post[-1].argmax())] == mean.max() else "bear"
-        return pa.table({"ticker": [group.column("ticker")[0].as_py()], "regime": [label]})
-
-    return fit
+        kind, names, series, longest, key, held, size = None, [], [], 0, None, [], 0
+
+        def fitted():
+            short = [x for x in series if x is not None]
+            labels = iter(_fit_together(short, steps, least))
+            return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([None if x is None else next(labels) for x in series], pa.string())], names=["ticker", "regime"])
+
+        def closed():
+            names.append(key)
+            series.append(np.concatenate(held) if size <= whole else None)
+            return max(longest, size if size <= whole else 0)
+
+        for batch in batches:
+            kind = batch.column(0).type
+            tickers = batch.column(0).dictionary_encode()
+            code = tickers.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, int)
+            r = batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(code)]):
+                own = tickers.dictionary[int(code[a])].as_py() if code[a] >= 0 else None
+                if held and own != key:
+                    longest = closed()
+                    held, size = [], 0
+                    if len(series) * longest > CELLS or len(series) >= CELLS >> 6:
+                        yield fitted()
+                        names, series, longest = [], [], 0
+                part = r[a:b][~np.isnan(r[a:b])]
+                key, size = own, size + len(part)
+                held.append(part if size <= whole else part[:0])
+        if held:
+            longest = closed()
+            yield fitted()
+
+    return run
+
+
+def _fit_together(series, steps: int, least: int) -> list[str]:
+    """A label for each series of returns (arrays): all are fitted side by side, the longest first."""
+    import numpy as np
+
+    labels = ["unknown"] * len(series)
+    own = sorted((i for i, x in enumerate(series) if len(x) >= least and np.ptp(x) > 0), key=lambda i: -len(series[i]))
+    if not own:
+        return labels
+    n = np.array([len(series[i]) for i in own])
+    width, places = len(own), int(n[0])
+    r = np.zeros((places, width))
+    for k, i in enumerate(own):
+        r[: n[k], k] = series[i]
+    live = np.arange(places)[:, None] < n
+    left = live.sum(1).tolist()  # series that have a place t: the first ones
+    mean = np.array([np.quantile(series[i], [0.25, 0.75]) for i in own]).T
+    var = np.tile([series[i].var() for i in own], (2, 1))
+    move = np.tile(np.array([[0.95, 0.05], [0.05, 0.95]])[:, :, None], width)
+    start = np.full((2, width), 0.5)
+    for _ in range(steps):
+        like = np.exp(-((r - mean[:, None]) ** 2) / (2 * var[:, None])) / np.sqrt(2 * math.pi * var[:, None]) + 1e-300
+        like *= live
+        fwd, bwd, norm = np.zeros_like(like), np.ones_like(like), np.ones_like(r)
+        for t, k in enumerate(left):
+            p = start if t == 0 else (fwd[:, None, t - 1, :k] * move[:, :, :k]).sum(0)
+            p = p * like[:, t, :k]
+            norm[t, :k] = p[0] + p[1]
+            fwd[:, t, :k] = p / norm[t, :k]
+        for t in range(places - 2, -1, -1):
+            k = left[t + 1]
+            bwd[:, t, :k] = (move[:, :, :k] * (like[:, t + 1, :k] * bwd[:, t + 1, :k])).sum(1) / norm[t + 1, :k]
+        post = fwd * bwd
+        post /= np.where(live, post.sum(0), 1.0)
+        ahead = like[:, 1:] * bwd[:, 1:] / norm[1:]  # 0 past the end of a series
+        pair = np.einsum("its,jts->ijs", fwd[:, :-1], ahead) * move
+        move, start = pair / pair.sum(1, keepdims=True), post[:, 0]
+        weight = post.sum(1)
+        mean = (post * r).sum(1) / weight
+        var = (post * (r - mean[:, None]) ** 2).sum(1) / weight + 1e-12
+    state = post[:, n - 1, np.arange(width)].argmax(0)
+    for k, i in enumerate(own):
+        labels[i] = "bull" if mean[state[k], k] == mean[:, k].max() else "bear"
+    return labels
 
 
 #: A model: means, variances, move (row by row) and start.

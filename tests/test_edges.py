@@ -335,6 +335,21 @@ def test_two_states_by_blocks_equal_the_whole_series(spark):
     assert own == cut and set(own.values()) == {"bull", "bear", "unknown"} and own["none"] == "unknown"
 
 
+def test_series_are_fitted_side_by_side():
+    """Series of several lengths have the regimes that each has alone, and thousands of them take seconds."""
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    series = [rng.normal(0.01 * np.where(rng.random(n) < 0.5, 1, -1), 0.012) for n in rng.integers(15, 90, 150)] + [np.full(40, 0.1)]
+    own = [events._fit_together([x], 6, 20)[0] for x in series]
+    assert events._fit_together(series, 6, 20) == own and set(own) == {"bull", "bear", "unknown"}
+    start = time.perf_counter()
+    assert len(events._fit_together([rng.normal(0, 0.01, 500) for _ in range(1000)], 50, 20)) == 1000
+    assert time.perf_counter() - start < 60  # one by one it is several minutes
+
+
 def test_sentiment_weights(spark):
     rows = [("A", "Bullish", 0, 1.0), ("A", "bearish", 7, 1.0), ("A", "odd", 0, 1.0), ("A", "sell", -1, 1.0), ("B", None, 0, -1.0)]
     df = spark.createDataFrame(rows, "ticker string, label string, age_days int, credibility double")

@@ -350,6 +350,12 @@ def test_series_are_fitted_side_by_side():
     assert time.perf_counter() - start < 60  # one by one it is several minutes
 
 
+def test_skew_of_two_points_is_balanced(spark):
+    rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
+    chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")
+    assert {r["ticker"]: r["skew"] for r in markets.option_chain(chain, "2019-01-01").collect()} == {"A": "balanced", "B": "balanced", "C": "put-skew"}
+
+
 def test_sentiment_weights(spark):
     rows = [("A", "Bullish", 0, 1.0), ("A", "bearish", 7, 1.0), ("A", "odd", 0, 1.0), ("A", "sell", -1, 1.0), ("B", None, 0, -1.0)]
     df = spark.createDataFrame(rows, "ticker string, label string, age_days int, credibility double")

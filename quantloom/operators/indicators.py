@@ -103,9 +103,10 @@ def trend_strength(n: int = 200) -> Column:
     return F.when(mean > 0, (F.col("close") - mean) / mean).otherwise(0.0)
 
 
-def choppiness(n: int = 14) -> Column:
+def choppiness(n: int = 14, flat: float = 0.5) -> Column:
+    """Deviation of the last n log returns; 0.5 with under three, `flat` where they are all equal."""
     sd = F.stddev_pop("log_return").over(trail(n))
-    return F.when((F.col("bar") >= 4) & (sd > 0), sd).otherwise(0.5)
+    return F.when((F.col("bar") >= 4) & (sd > 0), sd).when(sd.isNotNull() & (F.col("bar") >= 4), flat).otherwise(0.5)
 
 
 def with_vol_scale(df: DataFrame, target: float = 0.15, decay: float = 0.94, name: str = "vol_scale") -> DataFrame:

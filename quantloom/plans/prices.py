@@ -95,7 +95,7 @@ def momentum_12_1(spark, sf):
 @query(S.with_(S.STEPS, f"SELECT ticker, date, round(CASE WHEN bar >= 3 THEN stddev_samp(log_return) OVER {S.over(20)} * sqrt(252) ELSE 0 END, 6) AS realized_vol, round(CASE WHEN bar >= 4 THEN stddev_pop(log_return) OVER {S.over(14)} ELSE 0.5e0 END, 6) AS choppiness, round((close - avg(close) OVER {S.over(200)}) / avg(close) OVER {S.over(200)}, 6) + 0e0 AS trend_strength FROM steps"))
 def realized_vol21(spark, sf):
     df = ind.with_steps(wh.bars(spark, sf))
-    return df.select("ticker", "date", F.round(ind.realized_vol(), 6).alias("realized_vol"), F.round(ind.choppiness(), 6).alias("choppiness"), r(ind.trend_strength(), 6).alias("trend_strength"))
+    return df.select("ticker", "date", F.round(ind.realized_vol(), 6).alias("realized_vol"), F.round(ind.choppiness(flat=0.0), 6).alias("choppiness"), r(ind.trend_strength(), 6).alias("trend_strength"))
 
 
 @query(

@@ -356,6 +356,12 @@ def test_skew_of_two_points_is_balanced(spark):
     assert {r["ticker"]: r["skew"] for r in markets.option_chain(chain, "2019-01-01").collect()} == {"A": "balanced", "B": "balanced", "C": "put-skew"}
 
 
+def test_choppiness_of_flat_closes(spark):
+    steps = indicators.with_steps(make(spark, [50.0] * 6))
+    got = [(r["a"], r["b"]) for r in steps.select("date", indicators.choppiness().alias("a"), indicators.choppiness(flat=0.0).alias("b")).orderBy("date").collect()]
+    assert got == [(0.5, 0.5)] * 3 + [(0.5, 0.0)] * 3
+
+
 def test_sentiment_weights(spark):
     rows = [("A", "Bullish", 0, 1.0), ("A", "bearish", 7, 1.0), ("A", "odd", 0, 1.0), ("A", "sell", -1, 1.0), ("B", None, 0, -1.0)]
     df = spark.createDataFrame(rows, "ticker string, label string, age_days int, credibility double")

@@ -16,7 +16,7 @@ def scan_signals(bars: DataFrame) -> DataFrame:
     df = ind.with_squeeze(ema(ind.with_steps(bars), "close", 20, "ema20"))
     volume = F.avg("volume").over(trail(20))
     df = df.withColumns({
-        "sma20": sma("close", 20), "sma50": sma("close", 50), "sma200": sma("close", 200), "rsi": ind.rsi(), "hi52_dist": ind.high_distance(),
+        **{f"sma{n}": F.round(sma("close", n), 8) for n in (20, 50, 200)}, "rsi": ind.rsi(), "hi52_dist": ind.high_distance(),
         "qret": full(64, F.try_divide(F.col("close"), F.lag("close", 63).over(by())) - 1), "rvol": F.when(volume != 0, F.col("volume") / volume),
     }).where("bar >= 200")
     c = F.col
@@ -27,8 +27,12 @@ def scan_signals(bars: DataFrame) -> DataFrame:
 
 
 def with_trend(df: DataFrame) -> DataFrame:
-    """Add sma50, sma200, ema20, above_sma50, above_sma200, sma50_rising, sma200_rising, ema20_above_sma50, stacked."""
-    df = ema(df, "close", 20, "ema20").withColumns({"sma50": sma("close", 50), "sma200": sma("close", 200)})
+    """Add sma50, sma200, ema20, above_sma50, above_sma200, sma50_rising, sma200_rising, ema20_above_sma50, stacked.
+
+    The plain means are rounded to eight places, which holds means of four-digit prices exactly: a mean that
+    equals the one before doesn't rise, in whatever order its sum was taken.
+    """
+    df = ema(df, "close", 20, "ema20").withColumns({f"sma{n}": F.round(sma("close", n), 8) for n in (50, 200)})
     c = F.col
     df = df.withColumns({
         "above_sma50": c("close") > c("sma50"), "above_sma200": c("close") > c("sma200"),

@@ -350,6 +350,24 @@ def test_series_are_fitted_side_by_side():
     assert time.perf_counter() - start < 60  # one by one it is several minutes
 
 
+def test_equal_means_do_not_rise(spark):
+    """Fifty closes with the sum of the fifty from five bars before, taken in another order, and one place more."""
+    rng = random.Random(4)
+    for more in (0.0, 0.0001):
+        got = []
+        for k in range(40):
+            closes = [round(rng.uniform(50, 150), 4) for _ in range(55)]
+            head = closes[:5]
+            rng.shuffle(head)
+            closes[50:] = [*head[:4], round(head[4] + more, 4)]
+            got.append(make(spark, closes, f"T{k}"))
+        frame = got[0]
+        for other in got[1:]:
+            frame = frame.unionByName(other)
+        rises = setups.with_trend(frame.coalesce(4)).where("bar = 55").groupBy("sma50_rising").count().collect()
+        assert [tuple(r) for r in rises] == [(more > 0, 40)]
+
+
 def test_skew_of_two_points_is_balanced(spark):
     rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
     chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textvec
-from .common import stored, text_slices
+from .common import give_back, stored, text_slices
 
 CAPACITY, END = 1024, 2
 #: A rank is counted inside a salt of about so many pieces.
@@ -41,12 +41,14 @@ def _classes() -> np.ndarray:
     """The class of every code point in the tokenizer's pre-token pattern."""
     import regex
 
-    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
     out = np.full(0x110000, _OTHER, np.uint8)
-    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
-        for m in regex.finditer(pattern, every):
-            out[m.start() : m.end()] = kind
-    out[0xD800:0xE000] = _OTHER
+    for lo in range(0, 0x110000, 0x800):  # a piece at a time: all at once take 70 MB of a worker
+        if lo == 0xD800:  # surrogates
+            continue
+        every = "".join(map(chr, range(lo, lo + 0x800)))
+        for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+            for m in regex.finditer(pattern, every):
+                out[lo + m.start() : lo + m.end()] = kind
     return out
 
 
@@ -194,7 +196,9 @@ class Encoder:
 @functools.cache
 def _encoder(path: str) -> Encoder:
     """One for each Python worker, which keeps it from task to task."""
-    return Encoder(path)
+    encoder = Encoder(path)
+    give_back()  # what reading the file took
+    return encoder
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

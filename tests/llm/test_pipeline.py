@@ -138,3 +138,17 @@ def test_the_rest_works_without_the_corpus_parts():
     for f in [*top.glob("*.py"), *(top / "quantloom").rglob("*.py"), *(top / "tests").glob("*.py")]:
         if "llm" not in f.parts and f.name not in ("corpus_pipeline.py", "__spark_entry__.py"):
             assert "quantloom.llm" not in f.read_text() and "from .llm" not in f.read_text(), f
+
+
+def test_character_classes_take_little_memory():
+    """Each worker makes the table; every code point as a string of its own took 80 MB."""
+    import tracemalloc
+
+    from quantloom.llm import packing
+
+    packing._classes.cache_clear()
+    tracemalloc.start()
+    out = packing._classes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20 and [int(out[ord(c)]) for c in " aé中7²_\U0001d7d8"] == [0, 1, 1, 1, 2, 2, 3, 2]

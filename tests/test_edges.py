@@ -368,6 +368,10 @@ def test_equal_means_do_not_rise(spark):
         assert [tuple(r) for r in rises] == [(more > 0, 40)]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_skew_of_two_points_is_balanced(spark):
     rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
     chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")

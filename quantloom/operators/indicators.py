@@ -37,7 +37,8 @@ def with_rsi_series(df: DataFrame, n: int = 14, wilder: bool = False, name: str
     start = F.lit(1.0 / n if wilder else 1.0)
     bar = F.col("bar")
     df = df.withColumns({"_gain": F.greatest("change", F.lit(0.0)), "_loss": F.greatest(-F.col("change"), F.lit(0.0))})
-    df = df.withColumns({f"{c}0": F.sum(c).over(trail(n)) for c in ("_gain", "_loss")})
+    run = by().rowsBetween(Window.unboundedPreceding, 0)  # read at bar n + 1; the first bar has no step
+    df = df.withColumns({f"{c}0": F.sum(c).over(run) for c in ("_gain", "_loss")})
     term = lambda c: F.when(bar > n + 1, F.col(c) / n).when(bar == n + 1, F.col(f"{c}0") * start)
     df = decayed_sums(df, {"_up": (term("_gain"), 1 - 1 / n), "_down": (term("_loss"), 1 - 1 / n)}).drop("_gain", "_loss", "_gain0", "_loss0")
     return df.withColumn(name, full(n + 1, _strength(F.col("_up"), F.col("_down")))).drop("_up", "_down")

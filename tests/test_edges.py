@@ -372,6 +372,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_recursive_means_share_one_sort(spark):
+    """One order by ticker and date serves smoothers and windows: a task sorts once, whatever the chain."""
+    bars = make(spark, [100.0 + i % 7 for i in range(60)])
+    chain = indicators.with_rsi_series(indicators.with_macd(windows.ema(indicators.with_steps(bars), "close", 9, "ema9")))
+    assert plan(chain).count(" Sort [") == 1
+    assert plan(indicators.with_indicator_set(bars)).count(" Sort [") == 1
+
+
 def test_skew_of_two_points_is_balanced(spark):
     rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
     chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")

@@ -18,8 +18,9 @@ def coerce_bars(raw: DataFrame) -> DataFrame:
 def fill_gaps(bars: DataFrame) -> DataFrame:
     """Carry each price forward over gaps; leading gaps take the first value that follows."""
     by = Window.partitionBy("ticker").orderBy("date")
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in PRICES}
+    back, every = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # where nothing stands before, the first value that follows is the first of all: one pass over a ticker's bars
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(every)) for c in PRICES}
     return bars.withColumns(filled)
 
 

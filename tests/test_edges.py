@@ -380,6 +380,12 @@ def test_recursive_means_share_one_sort(spark):
     assert plan(indicators.with_indicator_set(bars)).count(" Sort [") == 1
 
 
+def test_gaps_are_filled_in_one_pass(spark):
+    """No frame that runs from the current bar to the last, which takes the square of a ticker's bars."""
+    filled = cleaning.fill_gaps(make(spark, [1.0, 2.0, 3.0]))
+    assert "currentrow$(), unboundedfollowing$()" not in plan(filled)
+
+
 def test_skew_of_two_points_is_balanced(spark):
     rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
     chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.numeric import clamp
 from ..sources.warehouse import shared_dir
 from . import indicators as ind
-from .windows import by, trail
+from .windows import by, trail, with_far
 
 
 def surprise(actual: Column, estimate: Column) -> Column:
@@ -178,15 +178,21 @@ def overlays(bars: DataFrame, target_vol: float = 0.15) -> DataFrame:
     """
     df = ind.with_vol_scale(ind.with_steps(bars), target_vol)
     square = F.col("log_return") * F.col("log_return")
-    now, whole = F.sqrt(F.avg(square).over(trail(21))), F.when(F.col("bar") > 252, F.sqrt(F.avg(square).over(trail(252))))
-    df = df.withColumns({"_now": now, "_all": whole})
-    half = F.least(F.lit(200), F.floor(F.col("bar") / 2))
-    closes = F.collect_list("close").over(trail(200))  # 200 closes at most
-    mean = F.aggregate(F.slice(closes, -half.cast("int"), half.cast("int")), F.lit(0.0), lambda a, x: a + x) / half
+    df = df.withColumns({"_now": F.sqrt(F.avg(square).over(trail(21))), "_square": square, "_one": F.when(square.isNotNull(), 1.0)})
+    df = with_far(df, {"_sum": "_square", "_n": "_one"}, "sum", 12, 21)
+    df = df.withColumn("_all", F.when((F.col("bar") > 252) & (F.col("_n") > 0), F.sqrt(F.col("_sum") / F.col("_n")))).drop("_square", "_one", "_sum", "_n")
+    # the closes' running sum now and `half` bars ago: up to bar 400 that is among the first 200, which stand in one array
+    half = F.least(F.lit(200), F.floor(F.col("bar") / 2)).cast("int")
+    df = df.withColumn("_cum", F.sum("close").over(by().rowsBetween(Window.unboundedPreceding, 0)))
+    firsts = F.collect_list(F.when(F.col("bar") <= 200, F.col("_cum"))).over(by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    df = df.withColumns({"_firsts": firsts, "_before": F.lag("_cum", 200).over(by())})
+    mean = (F.col("_cum") - F.when(F.col("bar") > 400, F.col("_before")).otherwise(F.try_element_at("_firsts", F.col("bar") - half))) / half
+    df = df.withColumn("_mean", mean).drop("_firsts", "_before", "_cum")
+    mean = F.col("_mean")
     vol_pct = F.when((F.col("_now") > 0) & (F.col("_all") > 0) & (F.col("_now") > 1.5 * F.col("_all")), 0.9).when((F.col("_all") > 0) & (F.col("_now") < 0.5 * F.col("_all")), 0.1).otherwise(0.5)
     df = df.where("bar >= 30").withColumns({"vol_pct": vol_pct, "trend": (F.col("close") - mean) / mean, "momentum60": ind.momentum(60, 0), "high_distance": ind.high_distance(252)})
     scale = F.when(F.col("vol_scale") <= 0, 1.0).otherwise(F.round(F.least("vol_scale", F.lit(1.5)), 2))
-    return df.where("bar >= 60").withColumns({"regime": regime_label(F.col("vol_pct"), F.col("trend"), F.lit(0.4)), "position_scale": scale}).drop("_now", "_all")
+    return df.where("bar >= 60").withColumns({"regime": regime_label(F.col("vol_pct"), F.col("trend"), F.lit(0.4)), "position_scale": scale}).drop("_now", "_all", "_mean")
 
 
 def fold_flow(position_scale: Column, distribution: Column) -> Column:

@@ -386,6 +386,17 @@ def test_gaps_are_filled_in_one_pass(spark):
     assert "currentrow$(), unboundedfollowing$()" not in plan(filled)
 
 
+def test_overlays_collect_no_closes_by_bar(spark):
+    bars = make(spark, [100.0 + (i * i) % 13 for i in range(450)])
+    out = events.overlays(bars)
+    assert "-199, currentrow$()" not in plan(out) and "-251, currentrow$()" not in plan(out.select("vol_pct", "trend"))
+    closes = [100.0 + (i * i) % 13 for i in range(450)]
+    for r in out.select("bar", "trend").collect():
+        half = min(200, r["bar"] // 2)
+        mean = sum(closes[r["bar"] - half : r["bar"]]) / half
+        assert r["trend"] == pytest.approx((closes[r["bar"] - 1] - mean) / mean, abs=1e-12)
+
+
 def test_skew_of_two_points_is_balanced(spark):
     rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
     chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")

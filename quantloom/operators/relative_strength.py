@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .indicators import slope
-from .windows import by, prior, trail
+from .windows import by, with_far
 
 
 def by_date(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Add rs = close / benchmark close of the same date; bars without one have no row.
 
-    The benchmark has one row per calendar date, so its size is bounded; Spark broadcasts it by its
-    measured size and joins by shuffle beyond that.
+    The benchmark has one row per calendar date, so its size is bounded and it is broadcast: bars stay in
+    their exchange and order by ticker.
     """
-    out = bars.join(benchmark.select("date", F.col("close").alias("bench_close")), "date").where("close > 0 and bench_close > 0")
+    out = bars.join(F.broadcast(benchmark.select("date", F.col("close").alias("bench_close"))), "date").where("close > 0 and bench_close > 0")
     return out.withColumn("rs", F.col("close") / F.col("bench_close"))
 
 
@@ -29,13 +30,26 @@ def by_tail(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumn("rs", F.col("close") / F.col("bench_close")).drop("_back")
 
 
-def trend_columns(n: int = 63, bar: str = "bar", *parts: str) -> dict[str, Column]:
-    """rs_slope_pct per bar (of the mean), rs_above_sma, rs_uptrend; null before n values."""
-    mean = F.avg("rs").over(trail(n, *parts))
-    pct = F.when(F.abs(mean) >= 1e-12, slope("rs", n, bar, *parts) / F.abs(mean))
-    whole = F.count("rs").over(trail(n, *parts)) == n
+def with_trend_columns(df: DataFrame, n: int = 63, bar: str = "bar", *parts: str) -> DataFrame:
+    """Add rs_slope_pct per bar (of the mean), rs_above_sma, rs_uptrend; null before n values.
+
+    Wants an rs on every bar, numbered from 1 by `bar`: the least-squares slope then follows from two sums.
+    """
+    many = _factor(n)
+    df = df.withColumn("_at", F.col("rs") * F.col(bar))
+    df = with_far(df, {"_sum": "rs", "_turn": "_at"}, "sum", many, n // many, 0, *parts)
+    mean = F.col("_sum") / n
+    slope = (F.col("_turn") - F.col("_sum") * (F.col(bar) - (n - 1) / 2)) / (n * (n * n - 1) / 12)
+    pct = F.when(F.abs(mean) >= 1e-12, slope / F.abs(mean))
+    whole = F.col(bar) >= n
     above = F.when(mean > 0, F.col("rs") >= mean)
-    return {"rs_slope_pct": F.when(whole, pct * 100), "rs_above_sma": F.when(whole, above), "rs_uptrend": F.when(whole, F.coalesce((pct > 0) & above, F.lit(False)))}
+    out = {"rs_slope_pct": F.when(whole, pct * 100), "rs_above_sma": F.when(whole, above), "rs_uptrend": F.when(whole, F.coalesce((pct > 0) & above, F.lit(False)))}
+    return df.withColumns(out).drop("_at", "_sum", "_turn")
+
+
+def _factor(n: int) -> int:
+    """The divisor of n next to its root, from below or one above."""
+    return next(k for k in range(math.isqrt(n) + 1, 0, -1) if n % k == 0)
 
 
 def report(bars: DataFrame, benchmark: DataFrame, n: int = 63, lookback: int = 252, align: str = "date") -> DataFrame:
@@ -49,7 +63,7 @@ def with_verdict(bars: DataFrame, benchmark: DataFrame, n: int = 63, lookback: i
     No bar is dropped, so the verdict shares the exchange of the other windows over the ticker: bars
     with a benchmark close and those without are separate series inside it.
     """
-    out = bars.join(benchmark.select("date", F.col("close").alias("bench_close")), "date", "left")
+    out = bars.join(F.broadcast(benchmark.select("date", F.col("close").alias("bench_close"))), "date", "left")
     out = out.withColumn("_has", F.coalesce((F.col("close") > 0) & (F.col("bench_close") > 0), F.lit(False)))
     out = out.withColumn("rs", F.when(F.col("_has"), F.col("close") / F.col("bench_close")))
     out = _verdicts(out, n, lookback, "_bar", "_has")
@@ -57,13 +71,15 @@ def with_verdict(bars: DataFrame, benchmark: DataFrame, n: int = 63, lookback: i
 
 
 def _verdicts(df: DataFrame, n: int, lookback: int, bar: str = "bar", *parts: str) -> DataFrame:
-    df = df.withColumn(bar, F.row_number().over(by(*parts))).withColumns(trend_columns(n, bar, *parts))
-    top, price_top = F.max("rs").over(prior(lookback, 1, *parts)), F.max("close").over(prior(lookback, 1, *parts))
+    df = with_trend_columns(df.withColumn(bar, F.row_number().over(by(*parts))), n, bar, *parts)
+    many = _factor(lookback)  # 252 bars: 21 times 12
+    df = with_far(df, {"_top": "rs", "_price_top": "close"}, "max", many, lookback // many, 1, *parts)
+    top, price_top = F.col("_top"), F.col("_price_top")
     df = df.withColumns({"rs_new_high": F.col("rs") > top, "rs_near_high": F.col("rs") >= 0.97 * top, "rs_dist": F.col("rs") / top - 1, "price_new_high": F.col("close") > price_top})
     split = F.coalesce(F.col("price_new_high") & ~F.col("rs_near_high"), F.lit(False))
     up = F.coalesce(F.col("rs_uptrend"), F.lit(False))
     verdict = F.when(F.col(bar) < 2, "unknown").when(split, "diverging").when(up & F.col("rs_near_high"), "leading").when(up, "uptrend").otherwise("lagging")
-    return df.withColumns({"rs_divergence": split, "rs_verdict": verdict})
+    return df.withColumns({"rs_divergence": split, "rs_verdict": verdict}).drop("_top", "_price_top")
 
 
 def rank_sectors(sector_bars: DataFrame, one: int = 21, three: int = 63) -> DataFrame:

@@ -397,6 +397,22 @@ def test_overlays_collect_no_closes_by_bar(spark):
         assert r["trend"] == pytest.approx((closes[r["bar"] - 1] - mean) / mean, abs=1e-12)
 
 
+def test_strength_needs_no_exchange_by_date(spark):
+    bars = make(spark, [100.0 + (i * i) % 13 for i in range(300)])
+    benchmark = bars.select("date", "bar", (F.col("close") + F.col("bar") % 5).alias("close")).repartition(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(relative_strength.report(bars, benchmark))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r["bar"]: r["rs_slope_pct"] for r in relative_strength.report(bars, benchmark).collect()}
+    rs = [(100.0 + (i * i) % 13) / (100.0 + (i * i) % 13 + (i + 1) % 5) for i in range(300)]
+    for n in (62, 63, 200, 300):
+        own, mid = rs[n - 63 : n], (n - 31)
+        want = sum((n - 62 + k - mid) * x for k, x in enumerate(own)) / sum((k - 31) ** 2 for k in range(63)) / (sum(own) / 63) * 100 if n >= 63 else None
+        assert got[n] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
 def test_skew_of_two_points_is_balanced(spark):
     rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
     chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")

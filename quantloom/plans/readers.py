@@ -23,21 +23,22 @@ def _path(spark, name: str) -> str:
 @query(S.with_(S.BARS, "SELECT 'T' || ticker AS ticker, date, open, high, low, close, volume FROM bars"))
 def flat_bars(spark, sf):
     """Two bulk files hold each ticker, one of them only its later bars: the longer history is read."""
-    path = _path(spark, "flat")
+    path = _path(spark, "flat")  # each task writes its tickers: bars come by ticker, so that a ticker is whole in a file
     c = F.col
     start = (F.unix_micros(c("date").cast("timestamp")) + 5 * 3600 * 1_000_000) * 1000
     bars = wh.bars(spark, sf)
     rows = bars.select(F.concat(F.lit("t"), "ticker").alias("ticker"), "volume", "open", "close", "high", "low", start.alias("window_start"), F.lit(1).alias("transactions"), "bar")
-    rows.drop("bar").repartition(4, "ticker").write.option("header", True).csv(f"{path}/a")
-    rows.where("bar > 100").drop("bar").repartition(4, "ticker").write.option("header", True).csv(f"{path}/b")
+    rows.drop("bar").write.option("header", True).csv(f"{path}/a")
+    rows.where("bar > 100").drop("bar").write.option("header", True).csv(f"{path}/b")
     return files.longest_history(files.flat_bars(spark, f"{path}/*")).select("ticker", F.to_date("date").alias("date"), "open", "high", "low", "close", "volume")
 
 
 @query(S.with_(S.BARS, "SELECT 'T' || ticker AS ticker, date, " + ", ".join(f"round({c} + {S.OFF}, 2) AS {c}" for c in ("open", "high", "low", "close")) + ", volume FROM bars WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"))
 def vendor_csv(spark, sf):
+    """Files of many tickers each: a file a ticker would be more of them than rows pay for."""
     path = _path(spark, "vendor")
     bars = wh.bars(spark, sf).select(F.concat(F.lit("T"), "ticker").alias("ticker"), F.col("date").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
-    bars.repartition("ticker").write.partitionBy("ticker").option("header", True).csv(path)
+    bars.write.option("header", True).csv(path)
     return files.vendor_csv(spark, path, "1996-01-01", "1998-12-31")
 
 

@@ -28,7 +28,7 @@ def longest_history(bars: DataFrame) -> DataFrame:
 
 def vendor_csv(spark: SparkSession, path: str, start: str, end: str, ticker: str | None = None) -> DataFrame:
     """One ticker's CSV of daily bars (comment lines start with #), within a range of dates, both included; without
-    a ticker those of a folder that has a folder ticker=... for each."""
+    a ticker those of a folder, whose files have a column ticker or stand in a folder ticker=... for each."""
     raw = spark.read.option("header", True).option("comment", "#").csv(path)
     raw = raw.toDF(*(c.strip().lower().replace(" ", "_") for c in raw.columns))
     day = next(c for c in raw.columns if c in ("date", "timestamp", "datetime", "time", "index"))

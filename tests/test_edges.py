@@ -413,6 +413,15 @@ def test_strength_needs_no_exchange_by_date(spark):
         assert got[n] == (None if want is None else pytest.approx(want, abs=1e-9))
 
 
+def test_vendor_files_hold_many_tickers(spark, sf):
+    """Files grow with rows, not with tickers; bulk files are written by the tasks that hold the tickers' bars."""
+    from quantloom.plans import readers
+
+    assert len(readers.vendor_csv(spark, sf).inputFiles()) <= 8
+    written = readers.flat_bars(spark, sf)
+    assert 0 < len(written.inputFiles()) and written.groupBy("ticker", "date").count().where("count > 1").isEmpty()
+
+
 def test_skew_of_two_points_is_balanced(spark):
     rows = [("A", "CALL", 0.05), ("A", "PUT", 0.07), ("B", "CALL", 0.07), ("B", "PUT", 0.05), ("C", "CALL", 0.05), ("C", "PUT", 0.0701)]
     chain = spark.createDataFrame([(t, DAY, s, v, 1.0) for t, s, v in rows], "ticker string, expiry date, side string, iv double, oi double")

@@ -91,12 +91,36 @@ def ema(df: DataFrame, c: str, n: int, name: str, first: int = 1) -> DataFrame:
     return emas(df, {name: (c, n)}, first)
 
 
+def block_sums(df: DataFrame, sums: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Add for each name (term, q) the sum over bars up to the current one of q^(bars ago) * term.
+
+    The powers are taken inside blocks of bars short enough for doubles; a block starts from the sum
+    at the end of the one before. What is older weighs less than a double can hold (q^block < 1e-17).
+    All sums of a call share their blocks, and so one sort of each ticker's bars.
+    """
+    rates = [-math.log(q) for _, q in sums.values()]
+    block = math.ceil(40 / min(rates))
+    if block * max(rates) > 600:  # powers would leave the range of doubles: the slowest on its own
+        slow = max(sums, key=lambda n: sums[n][1])
+        return block_sums(block_sums(df, {slow: sums[slow]}), {n: x for n, x in sums.items() if n != slow})
+    at = df.withColumns({f"_t{i}": F.coalesce(term, F.lit(0.0)) for i, (term, _) in enumerate(sums.values())})
+    at = at.withColumns({"_b": F.floor((F.col("bar") - 1) / block), "_r": (F.col("bar") - 1) % block})
+    inner = Window.partitionBy("ticker", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda q, e: F.pow(F.lit(q), e)
+    at = at.withColumns({f"_s{i}": F.sum(F.col(f"_t{i}") * power(q, -F.col("_r"))).over(inner) * power(q, F.col("_r")) for i, (_, q) in enumerate(sums.values())})
+    before = Window.partitionBy("ticker").orderBy("_b").rangeBetween(-1, -1)
+    last = F.max_by(F.struct(*(f"_s{i}" for i in range(len(sums)))), "_r").over(before)
+    at = at.withColumn("_last", last)
+    out = {name: F.col(f"_s{i}") + F.coalesce(F.col(f"_last._s{i}"), F.lit(0.0)) * power(q, F.col("_r") + 1) for i, (name, (_, q)) in enumerate(sums.items())}
+    return at.withColumns(out).drop("_b", "_r", "_last", *(f"_{x}{i}" for i in range(len(sums)) for x in "ts"))
+
+
 def weighted_means(df: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
     """Add for each name (column, q) the exponential mean whose weights q^i are normalised by their sum over the values that are not null."""
     sums = {}
     for name, (c, q) in means.items():
         sums |= {f"_{name}_top": (F.col(c), q), f"_{name}_all": (F.when(F.col(c).isNotNull(), 1.0), q)}
-    out = decayed_sums(df, sums)
+    out = block_sums(df, sums)
     return out.withColumns({name: F.try_divide(f"_{name}_top", f"_{name}_all") for name in means}).drop(*sums)
 
 

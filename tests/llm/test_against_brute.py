@@ -336,6 +336,38 @@ def test_quality_on_held_out_rows_and_lines(spark):
     assert len(lines.row) == 14 and not quality.viterbi(chain, lines)[4:12].any()
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Lines of a kind that only the last labelled rows have, in the order in which a sample would be taken."""
+    frame = spark.range(3600).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id"))
+    ids = [r["doc_id"] for r in frame.collect()]
+    plain = lambda i: "\n".join(f"The {w} number {i} runs past the old mill of {i + k}." for k, w in enumerate(("river", "road")))
+    menu = lambda i: "\n".join(f"| a{i} | b{k} | c{i} | d |" for k in range(3))
+    late = [(i, menu(i) if n >= 3100 else f"{i} {i} {i}" if n % 9 == 0 else plain(i), int(n < 3100 and n % 9 > 0)) for n, i in enumerate(ids)]
+    table = spark.createDataFrame(late, "doc_id long, text string, quality int").repartition(4).cache()
+    chain = quality.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    shares = quality.measure(table, chain).join(table.select("doc_id", "quality"), "doc_id").groupBy("quality").agg(F.min("content_share"), F.max("content_share")).collect()
+    assert {tuple(r) for r in shares} == {(0, 0.0, 0.0), (1, 1.0, 1.0)}
+    at = 1 + sum(len(b) + 1 for b in list(quality._BOUNDS.values())[:5])
+    assert chain.emission[at + 2, 0] > chain.emission[at + 2, 1] + 0.1
+
+
+def test_quality_labels_of_shards(spark, monkeypatch):
+    """The lines' labels in shards are those of the whole in memory, whether a common line is hot or not."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "HOT", 4)
+    texts = ["\n".join([f"own line {i} here", "a line of all", *([f"now and then {i % 5}"] * (1 + i % 2)), ""]) for i in range(17)]
+    good = np.array([i % 4 > 0 for i in range(17)], np.int64)
+    data = "".join(texts).encode()
+    whole = quality.read_lines(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]))
+    frame = spark.createDataFrame([(i, t, int(g)) for i, (t, g) in enumerate(zip(texts, good))], "doc_id long, text string, quality int")
+    labelled = quality._labelled(quality.read(frame), frame.select("doc_id", "quality"), None)
+    dealt = quality._with_shared(labelled).withColumn("shard", F.lit(0))
+    (shard,) = dealt.groupBy("shard").applyInArrow(quality._shard, quality._SHARD).collect()
+    assert np.frombuffer(shard["gold"], np.int8).tolist() == quality.line_labels(whole, good).tolist()
+    assert np.frombuffer(shard["row"], np.int32).tolist() == whole.row.tolist() and 0 < sum(shard["gold"]) < len(whole.row)
+
+
 def test_quality_labels_change_inside_sequences():
     import numpy as np
 

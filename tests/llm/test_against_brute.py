@@ -531,6 +531,34 @@ def test_substring_needs_one_earlier_document_for_a_whole_span(spark):
     assert got == {(4, 1, 4, 32, 3), (6, 0, 2, 30, 5)}
 
 
+def test_shortest_spans_cover_what_spans_of_any_length_do():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(150):
+        words = rng.integers(1, 40 if rng.random() < 0.5 else 9, 60)
+        texts = [[*range(30)], []]
+        while len(texts[1]) < 30:  # stretches of the first text and sentences of its own
+            a = rng.integers(0, 30)
+            texts[1] += [*range(a, min(30, a + rng.integers(1, 14))), 30 + rng.integers(0, 30)]
+        covered = []
+        for ends in ("every", "shortest"):
+            found = []
+            for ids in map(np.array, texts):
+                upto = np.concatenate([[0], np.cumsum(words[ids])])
+                if ends == "every":
+                    pairs = [(i, j, tuple(ids[i:j])) for i in range(len(ids)) for j in range(i + 2, len(ids) + 1) if upto[j] - upto[i] >= 30]
+                else:
+                    pairs = list(zip(*(x.tolist() for x in substring._spans(words[ids], ids.astype(np.uint64), 30))))
+                found.append(pairs)
+            earlier = {span for _, _, span in found[0]}
+            covered.append({s for i, j, span in found[1] if span in earlier for s in range(i, j)})
+        assert covered[0] == covered[1]
+        met += len(covered[0])
+    assert met > 500
+
+
 def test_passages_are_found_whatever_marks_and_lines_do(spark):
     rng = __import__("random").Random(11)
     some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]

@@ -154,14 +154,22 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Of rows that share a doc_id (or have none), a source and a size as many are taken once more as `mix` says. These
     rows, few in most tables, are written once, so that each task's share of them is the same when it is read again.
+    Texts are shuffled once for all other rows, at every size alike, and once more only where many rows share these.
     """
     ids = ("_id", "_of", "_words")
     chosen = mix(docs, weights, share, most).groupBy("doc_id", "source", "size").agg(F.count("*").alias("_n"), F.min("copies").alias("_least"), F.sum("copies").alias("_sum"))
     chosen = stored(chosen.where("_sum > 0").toDF(*ids, "_n", "_least", "_sum"), "chosen")
     same = F.col("_id").eqNullSafe(docs["doc_id"].cast("long")) & F.col("_of").eqNullSafe(docs["source"].cast("string")) & (F.col("_words") == word_count(docs["text"].cast("string")))
-    taken = docs.join(chosen, same)
-    once = taken.where("_n = 1").withColumn("_copies", F.col("_sum"))
-    many = stored(taken.where("_n > 1").withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "repeats")
+    every = docs.join(chosen.where("_n = 1").hint("merge"), same).withColumn("_copies", F.col("_sum")).select(*docs.columns, "_copies")
+    shared = stored(chosen.where("_n > 1"), "shared")
+    if not shared.isEmpty():
+        every = every.union(_dealt(docs.join(shared, same), ids).select(*docs.columns, "_copies"))
+    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(docs.columns)
+
+
+def _dealt(rows: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    """Rows that share their ids, with _copies: as many as `_sum` asks for are taken once more than `_least`."""
+    many = stored(rows.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "repeats")
     parts = many.groupBy(*ids, "_part").agg(F.count("*").alias("_in"))
     before = F.coalesce(F.sum("_in").over(Window.partitionBy(*ids).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(*(F.col(c).alias(f"{c}_") for c in ids), F.col("_part").alias("_part_"), before.alias("_before"))
@@ -170,6 +178,4 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         of = of & F.col(c).eqNullSafe(F.col(f"{c}_"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy(*ids, "_part").orderBy("_row"))
     more = F.col("_sum") - F.col("_least") * F.col("_n")  # rows that are taken once more than the others
-    many = many.join(parts, of).withColumn("_copies", F.col("_least") + F.when(place <= more, 1).otherwise(0)).where("_copies > 0")
-    every = once.select(*docs.columns, "_copies").union(many.select(*docs.columns, "_copies"))
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(docs.columns)
+    return many.join(parts, of).withColumn("_copies", F.col("_least") + F.when(place <= more, 1).otherwise(0)).where("_copies > 0")

@@ -307,6 +307,18 @@ def test_mixing_none(none, docs):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_shuffles_texts_once(spark, monkeypatch):
+    """Where no rows share doc_id, source and size, no second join of the texts is made; small tables are joined as large ones are."""
+    frame = spark.createDataFrame([(i, f"some {'words ' * (i % 7)}", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    names, stored = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, what: names.append(what) or stored(df, what))
+    mixed = mixing.mixed_documents(frame)
+    assert "repeats" not in names
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
+    assert mixed.count() == mixing.mix(frame).agg(F.sum("copies")).first()[0]
+
+
 def test_quality(docs, rows, labels):
     got = quality.quality(docs, labels).collect()
     want = Counter((i, *brute.quality(t)) for i, t, _ in rows)

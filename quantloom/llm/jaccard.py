@@ -105,16 +105,23 @@ def _add(group: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def _clipped(group: pa.Table) -> pa.Table:
+    """The last sum, in half the width: what goes to the driver stays small there."""
+    total = np.minimum(np.frombuffer(_add(group).column("counts")[0].as_buffer(), np.uint64), np.uint64(0xFFFFFFFF))
+    return pa.table({"part": group.column("part")[:1].cast(pa.int32()), "counts": pa.array([total.astype(np.uint32).tobytes()], pa.binary())})
+
+
 def _bucket_counts(rows: DataFrame) -> np.ndarray:
     """Sum the tasks' counts: first in groups of about the root of the number of tasks, then all."""
     own = rows.where("part is not null")
     tasks = own.agg(F.max("task")).first()[0] or 0
     some = own.select("part", F.pmod("task", F.lit(int(tasks**0.5) + 1)).alias("lot"), "counts")
     some = some.groupBy("part", "lot").applyInArrow(_add, "part int, counts binary")
-    total = np.zeros(BUCKETS, np.uint64)
-    for part, counts in some.groupBy("part").applyInArrow(_add, "part int, counts binary").collect():  # PARTS rows
-        total[part * BUCKETS // PARTS : (part + 1) * BUCKETS // PARTS] = np.frombuffer(counts, np.uint64)
-    return np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    got = some.groupBy("part").applyInArrow(_clipped, "part int, counts binary").toArrow()  # PARTS rows
+    total = np.zeros(BUCKETS, np.uint32)
+    for part, counts in zip(got.column("part").to_pylist(), got.column("counts")):
+        total[part * BUCKETS // PARTS : (part + 1) * BUCKETS // PARTS] = np.frombuffer(counts.as_buffer(), np.uint32)
+    return total
 
 
 def _prefixes(k: int, percent: int, counts):

@@ -496,6 +496,21 @@ def test_toxicity_without_labels(docs, labels):
     assert toxicity.keep_clean(docs, labels).columns == docs.columns
 
 
+def test_bucket_counts_reach_the_driver_in_small_parts(spark):
+    """Counts of several tasks are added; sums beyond 32 bits stay at the largest number, and a part is one row of 4 bytes a bucket."""
+    import numpy as np
+
+    step = jaccard.BUCKETS // jaccard.PARTS
+    own = np.arange(step, dtype=np.uint64)
+    big = own + np.uint64(0xFFFFFFFF)
+    rows = [(p, task, bytearray((big if p == 3 else own).tobytes())) for p in (0, 3) for task in range(5)]
+    frame = spark.createDataFrame(rows, "part int, task int, counts binary")
+    clipped = jaccard._clipped(jaccard.pa.table({"part": [0], "counts": [own.tobytes()]}))
+    got = jaccard._bucket_counts(frame)
+    assert len(clipped.column("counts")[0].as_py()) == 4 * step
+    assert got.dtype == np.uint32 and (got[:step] == 5 * own).all() and (got[3 * step : 4 * step] == 0xFFFFFFFF).all() and not got[4 * step :].any()
+
+
 def test_substring(spark):
     passage = "The quick brown fox jumps over the lazy dog today again. It then sleeps for a long while under the old tree. After that the story of the fox goes on and on for many further words."
     texts = [(1, f"First alone here. {passage} End of one."), (2, f"  Second starts. {passage} End of two."), (3, "Nothing is shared in this text. It stands alone."), (4, None), (5, f"{passage} {passage}"), (None, passage), (6, ""), (7, " \n\n ")]

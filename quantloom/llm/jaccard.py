@@ -42,6 +42,8 @@ BUCKETS, PARTS = 1 << 20, 16
 #: candidate pair from being read into sets: 64 bits for each document in a pair; where 16 MB leave fewer than 8 bits
 #: each, documents are joined by id instead.
 FILTER_BITS = 1 << 27
+#: Bytes of text that a task turns into sets at a time: they take some sixteen times as much.
+SLICE = 1 << 18
 
 _READ = "doc_id long, key long, n long, cls long, part int, task int, counts binary"
 
@@ -74,12 +76,12 @@ def _first_pass(k: int):
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             n, cls = [], []
-            for _, _, data, offsets in text_slices(batch.column(1)):
+            for _, _, data, offsets in text_slices(batch.column(1), SLICE):
                 sets = textvec.shingle_sets(data, offsets, k)
                 n += map(len, sets)
                 cls += map(_class, sets)
-                if sets and (held := np.concatenate(sets)).size:
-                    counts += np.bincount((held & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+                if sets:
+                    np.add.at(counts, (np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
             none = [None] * len(n)
             yield _batch(batch.column(0), batch.column(2), n, cls, none, none, none)
         task = TaskContext.get().partitionId()
@@ -129,7 +131,7 @@ def _prefixes(k: int, percent: int, counts):
         table = counts.value
         seen: set[int] = set()  # classes of this task's rows: copies repeat a prefix
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
+            for _, _, data, offsets in text_slices(batch.column(0), SLICE):
                 token, cls, size, place, after = [], [], [], [], []
                 for s in textvec.shingle_sets(data, offsets, k):
                     if not len(s) or (own := _class(s)) in seen:
@@ -205,7 +207,7 @@ def _sets(k: int, wanted=None):
             if bits is not None:
                 h = _hash_bits(batch.column(0).to_numpy(), 8 * len(bits))
                 batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), SLICE):
                 sets = textvec.shingle_sets(data, offsets, k)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "cls", "held"])
@@ -213,18 +215,25 @@ def _sets(k: int, wanted=None):
     return read
 
 
-def _filter_bits(ids: DataFrame, size: int) -> np.ndarray:
-    """A bit for each id's hash, gathered as size / 64 words at most."""
+def _marked(size: int):
+    """ids -> the words of 64 bits, of `size` bits in all, that hold a bit of an id's hash."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+        words = np.zeros(size // 64, np.int64)  # a byte for each bit would take up to 128 MB
         for batch in batches:
-            bits[_hash_bits(batch.column(0).to_numpy(), size)] = True
-        words = np.packbits(bits, bitorder="little").view(np.int64)
+            h = _hash_bits(batch.column(0).to_numpy(), size)
+            np.bitwise_or.at(words, h >> 6, np.int64(1) << (h & 63))
         held = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(words[held])], ["at", "word"])
+        del words, held
+        give_back()
 
-    got = ids.mapInArrow(read, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    return read
+
+
+def _filter_bits(ids: DataFrame, size: int) -> np.ndarray:
+    """A bit for each id's hash, gathered as size / 64 words at most."""
+    got = ids.mapInArrow(_marked(size), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[got.column("at").to_numpy()] = got.column("word").to_numpy()
     return out.view(np.uint8)

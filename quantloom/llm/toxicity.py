@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .common import bounded, text_slices
+from .common import bounded, give_back, text_slices
 
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 18, 4, (1, 2, 3), 4
 #: Bytes of a word's hashed prefixes; the last one is the whole word.
@@ -32,6 +32,8 @@ MARKS = {"de": "äöüß", "es": "ñóíáú", "fr": "çèêàâîùé"}
 THRESHOLD = 0.7
 #: Bound on the text of the labelled sample; a larger sample gives up its last rows.
 SAMPLE_BYTES = 64 << 20
+#: Bytes of text that a task turns into features at a time: they take some fifty times as much.
+SLICE = 1 << 18
 
 
 @dataclass
@@ -272,9 +274,10 @@ def _scorer(shared, text: int, names: list[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            s = [own.scores(featurise(data, offsets)) for _, _, data, offsets in text_slices(batch.column(text))]
+            s = [own.scores(featurise(data, offsets)) for _, _, data, offsets in text_slices(batch.column(text), SLICE)]
             score = pa.array(np.concatenate(s) if s else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names)
+        give_back()
 
     return read
 

@@ -152,3 +152,49 @@ def test_character_classes_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 << 20 and [int(out[ord(c)]) for c in " aé中7²_\U0001d7d8"] == [0, 1, 1, 1, 2, 2, 3, 2]
+
+
+def test_tasks_take_little_memory(monkeypatch):
+    """What a task of the first two stages holds beside a batch of 4 MB: with slices of 1 MB 23, 17 and 23 MB, with a byte for each bit 151 MB."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quantloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 9999, 600)) for _ in range(1200)])
+    ids = pa.array(np.arange(len(texts)))
+    three = pa.RecordBatch.from_arrays([ids, texts, ids], ["doc_id", "text", "key"])
+    counts = SimpleNamespace(value=np.zeros(jaccard.BUCKETS, np.uint32))
+    none = toxicity._start(toxicity.Words(np.zeros((0, len(toxicity.PREFIXES)), np.int32), np.zeros(0, np.int64), 1, np.zeros(1, np.int64)), np.zeros(1, np.int64), rng)
+    passes = {
+        "sets": (jaccard._first_pass(5), three, 14),
+        "prefixes": (jaccard._prefixes(5, 80, counts), three.select(["text"]), 8),
+        "scores": (toxicity._scorer(SimpleNamespace(value=none), 1, ["doc_id", "text", "key", "score"]), three, 12),
+        "filter": (jaccard._marked(jaccard.FILTER_BITS), three, 30),
+    }
+    for name, (read, batch, most) in passes.items():
+        tracemalloc.start()
+        for _ in read(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most, (name, peak)
+
+
+def test_filter_has_each_id_s_bit():
+    import numpy as np
+    import pyarrow as pa
+
+    from quantloom.llm import jaccard
+
+    ids, size = np.arange(-5000, 5000) * 7919, 1 << 16
+    batches = [pa.RecordBatch.from_arrays([pa.array(x)], ["id"]) for x in np.array_split(ids, 3)]
+    (got,) = jaccard._marked(size)(iter(batches))
+    words = np.zeros(size // 64, np.int64)
+    words[got.column("at").to_numpy()] = got.column("word").to_numpy()
+    assert np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little")).tolist() == sorted(set(jaccard._hash_bits(ids, size).tolist()))
